@@ -45,16 +45,14 @@ def skew_join(many: DataFrame, few: DataFrame, keys: list[str], spread: Column,
     return a.join(b, [*keys, "__salt"], how).drop("__salt")
 
 
-def ranked(df: DataFrame, groups: list[str], order: Column, tie: list[str], size: Column, buckets: int = 1024) -> DataFrame:
+def ranked(df: DataFrame, groups: list[str], order: Column, tie: list[str], size: Column, bits: int = 10) -> DataFrame:
     """``df`` with ``__rank`` (from 1) and ``__upto`` (sum of ``size`` so far, own included) within each group.
 
     The order is that of ``order``, a BIGINT hash spread evenly over its range, then of ``tie``. A group
-    is cut into ``buckets`` ranges of the hash; the ranges' totals are summed first (a table of groups x
-    buckets), so no task sorts more than a range of a group.
+    is cut into 2**bits ranges of the hash; the ranges' totals are summed first (a table of groups x
+    ranges), so no task sorts more than a range of a group.
     """
-    width = (2**64) // buckets
-    df = df.withColumn("__h", order).withColumn("__s", size.cast("bigint"))
-    df = df.withColumn("__b", F.floor((F.col("__h").cast("decimal(20,0)") + F.lit(2**63).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("int"))
+    df = df.withColumn("__h", order).withColumn("__s", size.cast("bigint")).withColumn("__b", F.shiftright("__h", 64 - bits))
     part = df.groupBy(*groups, "__b").agg(F.count(F.lit(1)).alias("__n"), F.sum("__s").alias("__t"))
     before = Window.partitionBy(*groups).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     part = part.select(*groups, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0"), F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__t0"))

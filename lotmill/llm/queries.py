@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotmill.functions.names import file_name, folded, picture, plain_lot, sql_file_name, sql_folded, sql_picture, sql_plain_lot
-from lotmill.llm import cutoff, mixing, neighbours, overlap, packing, splits
+from lotmill.llm import cutoff, mixing, neighbours, overlap, packing, splits, truncation
 from lotmill.llm.tokens import count_tokens
 from lotmill.session import cut, table
 
@@ -178,7 +178,21 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_overlap_report, p2_coverage, p3_found, p3_matches, p4_found, p4_assignment, p4_shares, p5_found, p5_cutoffs, p6_containers, p6_fill, p7_uses, p7_shares)}
+# 8 ---------------------------------------------------------------------------
+def _truncated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", folded(F.col("source")).alias("source"))
+    return docs, truncation.truncated(docs)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _truncated(spark, sf_dir)[1].select("doc_id")
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncation_rates(*_truncated(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_overlap_report, p2_coverage, p3_found, p3_matches, p4_found, p4_assignment, p4_shares, p5_found, p5_cutoffs, p6_containers, p6_fill, p7_uses, p7_shares, p8_found, p8_rates)}
 SQL = {
     "p2_found": _P2_FOUND,
     "p2_overlap_report": _P2_REPORT,

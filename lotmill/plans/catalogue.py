@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotmill.plans import general
+from lotmill.plans import bank_queries, general, lookup_queries, text_queries
 
-_MODULES = (general,)
+_MODULES = (general, lookup_queries, bank_queries, text_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

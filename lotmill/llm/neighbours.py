@@ -12,10 +12,11 @@ from __future__ import annotations
 import math
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lotmill.operators.knn import usable
 from lotmill.operators.skew import hot_keys
 
 
@@ -94,12 +95,6 @@ class CollisionIndex:
         return i + first, row, dist[i, row]
 
 
-def usable(c: Column, dim: int) -> Column:
-    """True where a vector is not null, has ``dim`` numbers and none of them is null, NaN or infinite."""
-    good = F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    return F.coalesce((F.size(c) == dim) & good, F.lit(False))
-
-
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     flat = column.combine_chunks().flatten() if len(column) else pa.array([], pa.float32())
     return flat.to_numpy(zero_copy_only=False).reshape(-1, dim)
@@ -118,7 +113,7 @@ def nearest(bank: DataFrame, queries: DataFrame, k: int = 5, dim: int = 32, bloc
     Every vector is indexed. A neighbour is missed with probability ``delta`` at most for each block.
     """
     bank = bank.where(F.col("bank_key").isNotNull() & usable(F.col("embedding"), dim)).select("bank_key", F.col("near_id").cast("bigint"), F.col("near_rank").cast("bigint"), F.col("embedding").cast("array<float>"))
-    queries = queries.where(F.col("bank_key").isNotNull() & usable(F.col("embedding"), dim)).select("bank_key", F.col("query_id").cast("bigint"), F.col("embedding").cast("array<float>"))
+    queries = queries.where(F.col("bank_key").isNotNull() & usable(F.col("embedding"), dim)).select(F.col("bank_key").alias("bank_key"), F.col("query_id").cast("bigint"), F.col("embedding").cast("array<float>"))
     blocks = hot_keys(bank, ["bank_key"], block_rows, 10_000).withColumnRenamed("__salts", "blocks")
     chunks = hot_keys(queries, ["bank_key"], query_rows, 10_000).withColumnRenamed("__salts", "chunks")
 

@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotmill.operators.skew import hot_keys, salted
+from lotmill.operators.skew import hot_keys, salted, skew_join
+from lotmill.session import cut
 
 #: Delimiters that normalised names never hold; blanks around names are trimmed and these are control characters.
 OPEN, CLOSE = "\x02", "\x03"
@@ -45,10 +46,8 @@ def _scan(shard: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(p, sum(b - a for a, b in s)) for p, s in spans.items()], columns=["text", "covered"])
 
 
-def _long(rows: DataFrame, row_id: Column, split: Column, names: dict[str, Column]) -> DataFrame:
-    each = F.array(*(F.struct(F.lit(k).alias("kind"), c.cast("string").alias("name")) for k, c in names.items()))
-    out = rows.select(row_id.cast("bigint").alias("row_id"), split.alias("split"), F.explode(each).alias("x"))
-    return out.select("row_id", "split", "x.kind", F.concat(F.lit(OPEN), "x.kind", F.lit("|"), "x.name", F.lit(CLOSE)).alias("text")).where("text is not null")
+def _texts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.select(F.explode(F.array(*keys)).alias("text")).where("text is not null")
 
 
 def matched_passages(train: DataFrame, evaluation: DataFrame, passages_per_shard: int = 50_000) -> DataFrame:
@@ -58,6 +57,7 @@ def matched_passages(train: DataFrame, evaluation: DataFrame, passages_per_shard
     ``passages_per_shard`` distinct passages and texts however often each is repeated.
     """
     both = train.select("text", F.lit(True).alias("train")).unionAll(evaluation.select("text", F.lit(False).alias("train"))).distinct()
+    both = cut(both)
     n = both.select(F.approx_count_distinct("text")).first()[0]
     shards = max(1, -(-n // passages_per_shard))
     shard = F.pmod(F.xxhash64("text"), F.lit(shards)).alias("shard")
@@ -75,23 +75,23 @@ def overlaps(rows: DataFrame, row_id: Column, split: Column, names: dict[str, Co
     Null names match nothing, rows of no split are ignored, repeated rows pair each. A name's rows are
     salted where a side has over ``rows_per_group`` of them; nothing is dropped. Empty inputs give no rows.
     """
-    long = _long(rows, row_id, split, names)
-    train, evaluation = long.where(F.col("split") == train_split), long.where(F.col("split").isin(evaluation_splits))
-    hits = matched_passages(train, evaluation)
-    hit = F.broadcast(hits) if hits.limit(100_001).count() <= 100_000 else hits
-    ev = evaluation.join(hit, "text", "left")
+    keys = [f"n{i}" for i in range(len(names))]
+    wide = rows.select(row_id.cast("bigint").alias("row_id"), split.alias("split"), *(F.concat(F.lit(f"{OPEN}{k}|"), c.cast("string"), F.lit(CLOSE)).alias(n) for n, (k, c) in zip(keys, names.items(), strict=True)))
+    wide = cut(wide.where(F.col("split").isin(train_split, *evaluation_splits) & F.coalesce(*keys).isNotNull()))  # names are made out once
+    tr, evw = wide.where(F.col("split") == train_split), wide.where(F.col("split").isin(evaluation_splits))
+    hits = cut(matched_passages(_texts(tr, keys), _texts(evw, keys)))
+    evaluation = evw.select("row_id", "split", F.explode(F.array(*keys)).alias("text")).where("text is not null")
+    ev = skew_join(evaluation, hits, ["text"], F.col("row_id"), "left")
     length = F.sum(F.char_length("text") - 2).alias("length")
     coverage = ev.groupBy("row_id", "split").agg(F.sum(F.when(F.col("covered").isNotNull(), F.char_length("text") - 2).otherwise(0)).alias("covered"), length)
     coverage = coverage.withColumn("coverage", F.col("covered") / F.col("length"))
 
-    keep = F.concat(*(F.coalesce(c.cast("string"), F.lit("")) for c in names.values()))  # at least one name
-    wide = rows.select(row_id.cast("bigint").alias("row_id"), split.alias("split"), *(F.concat(F.lit(f"{OPEN}{k}|"), c.cast("string"), F.lit(CLOSE)).alias(f"n{i}") for i, (k, c) in enumerate(names.items()))).where(F.length(keep) > 0)
-    tr, evw = wide.where(F.col("split") == train_split), wide.where(F.col("split").isin(evaluation_splits))
     pairs = None
     for i, kind in enumerate(names):
-        earlier = [f"n{j}" for j in range(i)]
-        a = tr.join(hit.select(F.col("text").alias(f"n{i}")), f"n{i}").select(F.col(f"n{i}").alias("text"), F.col("row_id").alias("train_id"), *(F.col(c).alias(f"a_{c}") for c in earlier))
-        b = evw.join(hit.select(F.col("text").alias(f"n{i}")), f"n{i}").select(F.col(f"n{i}").alias("text"), F.col("row_id").alias("eval_id"), "split", *(F.col(c).alias(f"b_{c}") for c in earlier))
+        earlier = keys[:i]
+        hit = hits.select(F.col("text").alias(keys[i]))
+        a = skew_join(tr, hit, [keys[i]], F.col("row_id")).select(F.col(keys[i]).alias("text"), F.col("row_id").alias("train_id"), *(F.col(c).alias(f"a_{c}") for c in earlier))
+        b = skew_join(evw, hit, [keys[i]], F.col("row_id")).select(F.col(keys[i]).alias("text"), F.col("row_id").alias("eval_id"), "split", *(F.col(c).alias(f"b_{c}") for c in earlier))
         a, b = salted(a, b, ["text"], hot_keys(a, ["text"], rows_per_group), F.col("train_id"))
         p = a.join(b, ["text", "__salt"])
         for c in earlier:  # tied by an earlier kind already

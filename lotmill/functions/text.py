@@ -47,7 +47,7 @@ def display_number(value: Column, digits: int = 4) -> Column:
 
 def product_ids(text: Column) -> Column:
     """All runs of at least two parts joined by - that begin with a letter, hold a digit and do not begin with LOT-; in order."""
-    found = F.regexp_extract_all(text, F.lit("([A-Za-z]+(?:-[A-Za-z0-9]+)+)"), 1)
+    found = F.regexp_extract_all(text, F.lit("([A-Za-z][A-Za-z0-9]*(?:-[A-Za-z0-9]+)+)"), 1)
     return F.filter(found, lambda x: x.rlike("[0-9]") & ~F.upper(x).startswith("LOT-"))
 
 
@@ -92,7 +92,7 @@ def parsed_verdict(text: Column, allowed: list[str]) -> Column:
     """Struct (verdict, confidence) of a model's answer: a verdict that is not allowed is unknown, the confidence is kept within 0 and 1."""
     v = F.lower(F.trim(lenient_json(text, "verdict")))
     c = lenient_json(text, "confidence").try_cast("double")
-    return F.struct(F.when(v.isin(*allowed), v).otherwise("unknown").alias("verdict"), F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)).alias("confidence"))
+    return F.struct(F.when(v.isin(*allowed), v).otherwise("unknown").alias("verdict"), F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))).alias("confidence"))
 
 
 def common_axis(verdict: Column, defect: list[str], normal: list[str]) -> Column:

@@ -254,7 +254,7 @@ def _scores(spark, sf_dir):
 
 
 _SC = REC + f""", t as (select path, max((truth = 'defect')::int) = 1 as defect from rec where truth is not null and path is not null group by 1),
-sc as (select {sql_folded("i.bank_version")} as bank_version, i.score, t.defect from inference_results i join t on t.path = i.image where i.bank_version is not null and i.score is not null and not isnan(i.score))
+sc as (select {sql_folded("i.bank_version")} as bank_version, i.score, t.defect from inference_results i join t on t.path = i.image where i.bank_version is not null and i.score is not null and i.score::varchar <> 'nan')
 """
 _CURVE = _SC + """, th as (select distinct bank_version, score as threshold from sc union select bank_version, max(score) + greatest(1e-9, abs(max(score)) * 1e-6) from sc group by 1),
 pts as (select th.bank_version, th.threshold, count(*) filter (defect and score >= threshold) as detected, count(*) filter (defect and score < threshold) as missed, count(*) filter (not defect and score >= threshold) as false_positives, count(*) filter (not defect and score < threshold) as true_negatives from th join sc using (bank_version) group by all),
@@ -318,7 +318,7 @@ def _cases(spark, sf_dir):
     return versions.agreements(v(2.0), v(1.6), ["bank_version", "result_id"])
 
 
-_CASES = f"with v as (select {sql_folded('bank_version')} as bank_version, result_id, case when score >= 2 then 'defect' else 'pass' end as old_verdict, case when score >= 1.6 then 'defect' else 'pass' end as new_verdict from inference_results where score is not null and not isnan(score) and bank_version is not null), c as (select *, case when old_verdict = new_verdict then null when new_verdict = 'defect' then 'newly_detected' else 'newly_missed' end as kind from v)\n"
+_CASES = f"with v as (select {sql_folded('bank_version')} as bank_version, result_id, case when score >= 2 then 'defect' else 'pass' end as old_verdict, case when score >= 1.6 then 'defect' else 'pass' end as new_verdict from inference_results where score is not null and score::varchar <> 'nan' and bank_version is not null), c as (select *, case when old_verdict = new_verdict then null when new_verdict = 'defect' then 'newly_detected' else 'newly_missed' end as kind from v)\n"
 
 
 @query(_CASES + "select * from c where kind is not null")

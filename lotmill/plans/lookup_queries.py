@@ -60,7 +60,7 @@ def catalog_lot_expand(spark, sf_dir):
     return rec.whole_lot(r, product).select("row_id", "product_id", "lot", "hit")
 
 
-@query(REC + """, j as (select r.object_name, r.truth, case when isnan(i.score) then null else i.score end as s from rec r join inference_results i on i.image = r.path),
+@query(REC + """, j as (select r.object_name, r.truth, case when i.score::varchar = 'nan' then null else i.score end as s from rec r join inference_results i on i.image = r.path),
 v as (select *, case when s >= 2 then 'defect' when s < 2 then 'pass' end as verdict, case when s >= 2 then 'above' when s >= 0.9*2 then 'near' when s < 0.9*2 then 'below' end as position from j)
 select object_name, verdict, position, truth = 'defect' and verdict = 'pass' as missed, truth = 'pass' and verdict = 'defect' as overkill, count(*) as n from v group by all""")
 def verdicts(spark, sf_dir):
@@ -237,7 +237,7 @@ def next_issue(spark, sf_dir):
     return dist.next_number(table(spark, sf_dir, "part"), F.concat(F.lit("ISS-"), F.col("p_partkey").cast("string")))
 
 
-_MISS = REC + """, j as (select r.line, r.path, r.row_id, r.truth, r.split, i.score from rec r join inference_results i on i.image = r.path where not isnan(i.score) and i.score is not null),
+_MISS = REC + """, j as (select r.line, r.path, r.row_id, r.truth, r.split, i.score from rec r join inference_results i on i.image = r.path where i.score::varchar <> 'nan' and i.score is not null),
 m as (select *, coalesce(truth = 'defect' and score < 2, false) as missed from j),
 t as (select line, path, row_id, score, row_number() over (partition by line order by score, path, row_id) as place from m where missed)
 """

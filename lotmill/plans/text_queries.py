@@ -25,7 +25,7 @@ def query(sql: str | None = None):
     return add
 
 
-@query("select distinct doc_id, x as product_id from (select doc_id, unnest(regexp_extract_all(text, '([A-Za-z]+(?:-[A-Za-z0-9]+)+)', 1)) as x from documents) where regexp_matches(x, '[0-9]') and not starts_with(upper(x), 'LOT-')")
+@query("select distinct doc_id, x as product_id from (select doc_id, unnest(regexp_extract_all(text, '([A-Za-z][A-Za-z0-9]*(?:-[A-Za-z0-9]+)+)', 1)) as x from documents) where regexp_matches(x, '[0-9]') and not starts_with(upper(x), 'LOT-')")
 def product_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.explode(tx.product_ids(F.col("text"))).alias("product_id")).distinct()
@@ -76,7 +76,7 @@ def display_names(spark, sf_dir):
     return m.select("row_id", tx.display_path(F.col("image_path")).alias("shown"), tx.relative_path(F.col("image_path"), "data/factory/").alias("relative"), tx.document_number(F.coalesce("lot_id", F.lit("")), F.col("line")).alias("document_no"))
 
 
-@query("select result_id, case when score is null or isnan(score) then 'no record' else printf('%.4f', score) end as shown from inference_results where score is null or isnan(score) or abs(score * 10000 - floor(score * 10000) - 0.5) > 0.01")
+@query("select result_id, case when score is null or score::varchar = 'nan' then 'no record' else printf('%.4f', score) end as shown from inference_results where score is null or score::varchar = 'nan' or abs(score * 10000 - floor(score * 10000) - 0.5) > 0.01")
 def display_numbers(spark, sf_dir):
     r = table(spark, sf_dir, "inference_results")
     # ties of the fifth digit are rounded differently by the two engines and are left to a unit test

@@ -203,7 +203,7 @@ def test_text(spark):
     got = [tuple(r[0]) for r in df.select(text.parsed_verdict(F.col("t"), ["defect"])).collect()]
     assert got == [("defect", 1.0), ("unknown", None), ("unknown", None)]
     ids = spark.createDataFrame([("see LOT-ABC-1 and PCB1-X-22, a-b",), ("",), (None,)], "t string").select(text.product_ids(F.col("t")))
-    assert [r[0] for r in ids.collect()] == [["PCB1-X-22"], [], None] or [r[0] for r in ids.collect()][1:] == [[], None]
+    assert [r[0] for r in ids.collect()] == [["PCB1-X-22"], [], None]
     vocab = spark.createDataFrame([("scratch", "kratzer"), ("deep scratch", None)], "term string, alias string")
     texts = spark.createDataFrame([(1, "Scratch"), (2, "ein Kratzer"), (3, "a deep scratch"), (4, "none"), (5, None)], "id bigint, text string")
     assert {r.id: (r.term, r.stage) for r in text.match_terms(texts, vocab, "id", "text").collect()} == {1: ("scratch", 1), 2: ("scratch", 2), 3: ("deep scratch", 3)}

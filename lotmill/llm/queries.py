@@ -136,11 +136,11 @@ def p5_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CUT = f"""with r as (select {sql_folded("bank_version")} as k, image, score, scored_at, result_id from inference_results
-  where bank_version is not null and score is not null and not isnan(score) and score >= 0),
+  where bank_version is not null and score is not null and score::varchar <> 'nan' and score >= 0),
 l as (select * from (select *, row_number() over (partition by k, image order by scored_at desc nulls last, result_id desc) as rn from r) where rn = 1),
 n as (select k, count(*) as n from l group by k),
 t as (select {sql_folded("bank_version")} as k, keep_permille from keep_targets),
-s as (select distinct {sql_folded("bank_version")} as k, threshold from sweep_points where threshold is not null and not isnan(threshold)),
+s as (select distinct {sql_folded("bank_version")} as k, threshold from sweep_points where threshold is not null and threshold::varchar <> 'nan'),
 g as (select t.k, coalesce(n.n, 0) as n, t.keep_permille from t left join n using (k)),
 o as (select s.k, s.threshold, count(l.k) as c from s left join l on l.k = s.k and l.score >= s.threshold group by 1, 2),
 x as (select g.k, max(o.threshold) as cutoff from g join o using (k) where o.c * 1000 >= g.keep_permille * g.n group by g.k)

@@ -33,21 +33,24 @@ def block_best(b: np.ndarray, q: np.ndarray, ids: np.ndarray, k: int, own: np.nd
     order = np.argsort(ids, kind="stable")
     b, ids = b[order], ids[order]
     out = []
+    squares = (b * b).sum(axis=1)
     for i in range(0, len(q), step):
         x = q[i : i + step]
-        d = np.zeros((len(x), len(b)))
-        for c in range(b.shape[1]):  # summed in the order of the numbers, as SQL engines do
-            d += (x[:, c, None] - b[None, :, c]) ** 2
+        own_norm = (x * x).sum(axis=1)[:, None]
+        d = own_norm + squares[None, :] - 2.0 * (x @ b.T)  # close enough to choose whom to measure
         if own is not None:
             d[ids[None, :] == own[i : i + step, None]] = np.inf
         kk = min(k, len(b))
         far = np.partition(d, kk - 1, axis=1)[:, kk - 1 : kk]
-        row, col = np.nonzero((d <= far) & np.isfinite(d))
-        by = np.lexsort((ids[col], d[row, col], row))
-        row, col = row[by], col[by]
+        row, col = np.nonzero((d <= far + 1e-9 * (1.0 + own_norm + squares.max())) & np.isfinite(d))
+        exact = np.zeros(len(row))
+        for c in range(b.shape[1]):  # summed in the order of the numbers, as SQL engines do
+            exact += (x[row, c] - b[col, c]) ** 2
+        by = np.lexsort((ids[col], exact, row))
+        row, col, exact = row[by], col[by], exact[by]
         keep = np.arange(len(row)) - np.searchsorted(row, row) < k
         row, col = row[keep], col[keep]
-        out.append((row + i, ids[col], np.sqrt(d[row, col])))
+        out.append((row + i, ids[col], np.sqrt(exact[keep])))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, int), np.empty(0, int), np.empty(0))
 
 

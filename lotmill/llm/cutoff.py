@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lotmill.operators.skew import skew_join
-from lotmill.session import new_table_path
+from lotmill.session import cut, new_table_path
 
 #: A code has BITS bits, of which FRACTION lie behind the point; scores beyond share the last leaf, which is refined like any.
 BITS, FRACTION = 32, 20
@@ -64,6 +64,8 @@ class CountTree:
             kids = self.level(v).select("source", F.shiftright("node", STEP).alias("node"), F.col("node").alias("child"), "n")
             met = at.join(kids, ["source", "node"]).withColumn("over", F.coalesce(F.sum("n").over(above), F.lit(0)))
             at = met.where("rest > over and rest <= over + n").select("source", F.col("child").alias("node"), (F.col("rest") - F.col("over")).alias("rest"))
+            if v % 2 == 0:  # a row a source; keeps the plan small
+                at = cut(at)
         return at.select("source", F.col("node").alias("leaf"), "rest")
 
 
@@ -90,12 +92,12 @@ def cutoffs(tree: CountTree, scored: DataFrame, targets: DataFrame, thresholds:
     """
     counts = tree.level(0).select("source", "n")
     goal = targets.join(counts, "source", "left").select("source", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), "keep_permille")
-    goal = goal.withColumn("rank", F.ceil(F.col("keep_permille").cast("bigint") * F.col("n") / 1000).cast("bigint"))
+    goal = cut(goal.withColumn("rank", F.ceil(F.col("keep_permille").cast("bigint") * F.col("n") / 1000).cast("bigint")))
     leaf = tree.descend(goal.where("rank > 0").select("source", "rank"))
     inside = skew_join(scored.select("source", "score", code(F.col("score")).alias("leaf")), leaf, ["source", "leaf"], F.col("score"))
     inside = inside.groupBy("source", "rest", "score").agg(F.count(F.lit(1)).alias("n"))
     down = Window.partitionBy("source").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    met = inside.withColumn("upto", F.sum("n").over(down)).where("upto >= rest").groupBy("source").agg(F.max("score").alias("met"))
+    met = cut(inside.withColumn("upto", F.sum("n").over(down)).where("upto >= rest").groupBy("source").agg(F.max("score").alias("met")))
     points = thresholds.where("threshold is not null and not isnan(threshold)").select("source", "threshold").distinct()
     goal = goal.join(met, "source", "left")
     hit = points.join(goal.select("source", "met", "rank"), "source").where("rank <= 0 or threshold <= met")

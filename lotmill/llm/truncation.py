@@ -7,12 +7,13 @@ often its last words are followed by an end at all; the lengths at which a sourc
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +36,19 @@ LINE = "¶"
 N = 4
 
 
+@lru_cache(maxsize=500_000)
+def _shape(token: str) -> str:
+    return LINE if "\n" in token else re.sub(r"[A-Z]{2,}", lambda m: "A" * len(m[0]), re.sub(r"\d", "0", token))
+
+
 def tokens(text: str) -> list[str]:
     """Tokens with digits as 0 and runs of capitals as A, so that numbers and identifiers are known by their shape."""
-    return [LINE if "\n" in t else re.sub(r"[A-Z]{2,}", lambda m: "A" * len(m[0]), re.sub(r"\d", "0", t)) for t in TOKEN.findall(text)]
+    return [_shape(t) for t in TOKEN.findall(text)]
+
+
+@lru_cache(maxsize=500_000)
+def _hash(token: str) -> int:
+    return xxhash.xxh3_64_intdigest(token)
 
 
 def _closes(ts: list[str], j: int) -> bool:
@@ -46,21 +57,82 @@ def _closes(ts: list[str], j: int) -> bool:
     return ts[j] in ".!?" and (after == LINE or after[0].isupper() or after[0] == "[" or (after[0].isalpha() and not after[0].islower()))
 
 
-def _gram(ts: list[str]) -> str:
-    joined = " ".join(ts)
-    return joined if len(ts) < 3 else hashlib.blake2b(joined.encode(), digest_size=10).hexdigest()
+def _mix(hashes: list[np.ndarray]) -> np.ndarray:
+    """One 64-bit key of several tokens' hashes, position by position."""
+    h = np.zeros(len(hashes[0]), dtype=np.uint64)
+    for x in hashes:
+        h = (h ^ x) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
 
 
-def _count(batches: Iterator[pa.RecordBatch], flush: int = 200_000) -> Iterator[pa.RecordBatch]:
+def _gram(ts: list[str]) -> str:
+    """Up to two tokens as they are, more as the key of their hashes."""
+    return " ".join(ts) if len(ts) < 3 else f"{int(_mix([np.array([_hash(t)], dtype=np.uint64) for t in ts])[0]):016x}"
+
+
+def _after(ts: list[str]) -> list[int]:
+    """What follows each token: 0 more of the sentence, 1 a line end, 2 a sentence mark that ends it, 3 nothing; 4 for line ends themselves."""
+    last = len(ts) - 1
+    return [4 if t == LINE else 3 if j == last else 1 if ts[j + 1] == LINE else 2 if ts[j + 1] in ".!?" and _closes(ts, j + 1) else 0 for j, t in enumerate(ts)]
+
+
+class _Counter:
+    """N-grams of the texts seen so far, counted by what follows them; emptied when it has grown large."""
+
+    def __init__(self):
+        self.ids: dict[str, int] = {}
+        self.words: list[str] = []
+        self.flat: list[int] = []
+        self.what: list[int] = []
+        self.place: list[int] = []  # of a token in its text
+
+    def add(self, ts: list[str]) -> None:
+        ids, words = self.ids, self.words
+        for t in ts:
+            if t not in ids:
+                ids[t] = len(words)
+                words.append(t)
+        self.flat += [ids[t] for t in ts]
+        self.what += _after(ts)
+        self.place += range(len(ts))
+
+    def rows(self) -> Iterator[tuple[int, list[str], np.ndarray]]:
+        """(n, grams, counts by what follows)."""
+        ids, what, place = np.array(self.flat, dtype=np.int64), np.array(self.what), np.array(self.place)
+        hashes = np.array([_hash(w) for w in self.words], dtype=np.uint64)
+        for n in range(1, N + 1):
+            at = np.flatnonzero((what < 4) & (place >= n - 1))
+            if not len(at):
+                continue
+            if n == 1:
+                key = ids[at].astype(np.uint64)
+            elif n == 2:
+                key = (ids[at - 1] * len(self.words) + ids[at]).astype(np.uint64)
+            else:
+                key = _mix([hashes[ids[at - n + 1 + i]] for i in range(n)])
+            uniq, back = np.unique(key, return_inverse=True)
+            counts = np.bincount(back * 4 + what[at], minlength=4 * len(uniq)).reshape(-1, 4)
+            if n == 1:
+                grams = [self.words[int(k)] for k in uniq]
+            elif n == 2:
+                grams = [f"{self.words[int(k) // len(self.words)]} {self.words[int(k) % len(self.words)]}" for k in uniq]
+            else:
+                grams = [f"{int(k):016x}" for k in uniq]
+            yield n, grams, counts
+
+
+def _count(batches: Iterator[pa.RecordBatch], flush: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Rows (n, gram, mid, line, close, last, key, ends): counts of n-grams by what follows them, and with n = 0 each text's last tokens."""
     schema = pa.schema([("n", pa.int32()), ("gram", pa.string()), ("mid", pa.int64()), ("line", pa.int64()), ("close", pa.int64()), ("last", pa.int64()), ("key", pa.string()), ("ends", pa.list_(pa.string()))])
 
-    def rows(seen: dict) -> pa.RecordBatch:
-        k, v = list(seen), list(seen.values())
-        none = [None] * len(k)
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in k], pa.int32()), pa.array([x[1] for x in k], pa.string()), *(pa.array([x[i] for x in v], pa.int64()) for i in range(4)), pa.array(none, pa.string()), pa.array(none, pa.list_(pa.string()))], schema=schema)
+    def batch(n: int, grams: list, counts: np.ndarray, keys: list, ends: list) -> pa.RecordBatch:
+        k = max(len(grams), len(keys))
+        none = [None] * k
+        numbers = [pa.array(counts[:, i], pa.int64()) for i in range(4)] if grams else [pa.array(none, pa.int64())] * 4
+        return pa.RecordBatch.from_arrays([pa.array([n] * k, pa.int32()), pa.array(grams or none, pa.string()), *numbers, pa.array(keys or none, pa.string()), pa.array(ends or none, pa.list_(pa.string()))], schema=schema)
 
-    seen: dict = defaultdict(lambda: [0, 0, 0, 0])
+    seen = _Counter()
     for b in batches:
         keys, ends = [], []
         for key, text in zip(b.column("key").to_pylist(), b.column("core").to_pylist(), strict=True):
@@ -69,19 +141,13 @@ def _count(batches: Iterator[pa.RecordBatch], flush: int = 200_000) -> Iterator[
                 continue
             keys.append(key)
             ends.append(ts[-N:])
-            for j in range(len(ts)):
-                if ts[j] == LINE:
-                    continue
-                what = 3 if j == len(ts) - 1 else 1 if ts[j + 1] == LINE else 2 if _closes(ts, j + 1) else 0
-                for n in range(1, min(N, j + 1) + 1):
-                    seen[n, _gram(ts[j - n + 1 : j + 1])][what] += 1
-            if len(seen) > flush:
-                yield rows(seen)
-                seen.clear()
-        zero = pa.array([None] * len(keys), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([0] * len(keys), pa.int32()), pa.array([None] * len(keys), pa.string()), zero, zero, zero, zero, pa.array(keys, pa.string()), pa.array(ends, pa.list_(pa.string()))], schema=schema)
-    if seen:
-        yield rows(seen)
+            seen.add(ts)
+            if len(seen.flat) > flush:
+                yield from (batch(n, g, c, [], []) for n, g, c in seen.rows())
+                seen = _Counter()
+        if keys:
+            yield batch(0, [], np.empty((0, 4)), keys, ends)
+    yield from (batch(n, g, c, [], []) for n, g, c in seen.rows())
 
 
 def _grams(ends: list[list[str]]) -> list[list[dict]]:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lotmill.operators.skew import hot_keys
+from lotmill.operators.skew import hot_keys, skew_join
 
 
 def usable(c: Column, dim: int) -> Column:
@@ -126,8 +126,9 @@ def reweighted(bank: DataFrame, queries: DataFrame, k: int = 9) -> DataFrame:
 def contributions(bank: DataFrame) -> DataFrame:
     """``key, source_image, n_rows, amplification``: bank rows of each image and its share against an even one; null images are left out."""
     n = bank.where("source_image is not null").groupBy("key", "source_image").agg(F.count(F.lit(1)).alias("n_rows"))
-    w = Window.partitionBy("key")
-    return n.withColumn("amplification", F.col("n_rows") * F.count(F.lit(1)).over(w) / F.sum("n_rows").over(w))
+    whole = n.groupBy("key").agg(F.count(F.lit(1)).alias("__images"), F.sum("n_rows").alias("__rows"))
+    out = skew_join(n, whole, ["key"], F.col("source_image"))
+    return out.select("key", "source_image", "n_rows", (F.col("n_rows") * F.col("__images") / F.col("__rows")).alias("amplification"))
 
 
 def isolation(bank: DataFrame, k: int = 8) -> DataFrame:
@@ -140,7 +141,7 @@ def isolation(bank: DataFrame, k: int = 8) -> DataFrame:
     near = nearest_exact(bank, bank.select("key", F.col("bank_row").alias("query_id"), "embedding"), k, skip_self=True)
     mean = near.groupBy("key", F.col("query_id").alias("bank_row")).agg(F.avg("distance").alias("isolation"))
     per = mean.groupBy("key").agg(F.avg("isolation").alias("m"), F.stddev_pop("isolation").alias("s"))
-    return mean.join(per, "key").select("key", "bank_row", "isolation", F.when(F.col("s") < 1e-12, 0.0).otherwise((F.col("isolation") - F.col("m")) / F.col("s")).alias("z"))
+    return skew_join(mean, per, ["key"], F.col("bank_row")).select("key", "bank_row", "isolation", F.when(F.col("s") < 1e-12, 0.0).otherwise((F.col("isolation") - F.col("m")) / F.col("s")).alias("z"))
 
 
 def image_isolation(scored: DataFrame, bank: DataFrame, hot: float = 2.0, ranked_rows: int = 3) -> DataFrame:

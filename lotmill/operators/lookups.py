@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lotmill.operators.skew import hot_keys, salted
+
 RULE_LIMIT = 50_000
 
 
@@ -48,19 +50,22 @@ def _bounded(rules: DataFrame) -> DataFrame:
     return rules
 
 
-def asof_backward(facts: DataFrame, entries: DataFrame, by: list[str], fact_at: str, entry_at: str, values: list[str], tie: list[str]) -> DataFrame:
+def asof_backward(facts: DataFrame, entries: DataFrame, by: list[str], fact_at: str, entry_at: str, values: list[str], tie: list[str], spread: Column, rows_per_group: int = 50_000) -> DataFrame:
     """Left as-of join: for each fact the entry of equal ``by`` with the greatest ``entry_at`` not after ``fact_at``.
 
     One union sorted by time and a last-value window: no range join and no growth with the number of entries per key.
     Entries tie by ``tie``, the greatest wins. Facts without an instant or an earlier entry get nulls; each fact stays one row.
+    Facts of a hot key are spread over salts by ``spread`` (a column of facts) and the key's entries repeated for each.
     """
     cols, held = [c for c in facts.columns if c not in by], list(dict.fromkeys([*values, *tie]))
+    facts, entries = salted(facts, entries, by, hot_keys(facts, by, rows_per_group), spread)
+    by = [*by, "__salt"]
     f = facts.select(*by, F.col(fact_at).alias("__at"), F.lit(1).alias("__kind"), F.struct(*cols).alias("__f"), F.lit(None).cast(entries.select(F.struct(*held).alias("x")).schema["x"].dataType).alias("__e"))
     e = entries.where(F.col(entry_at).isNotNull()).select(*by, F.col(entry_at).alias("__at"), F.lit(0).alias("__kind"), F.lit(None).cast(f.schema["__f"].dataType).alias("__f"), F.struct(*held).alias("__e"))
     order = [F.col("__at"), F.col("__kind"), *(F.col(f"__e.{t}") for t in tie)]
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = f.unionAll(e).withColumn("__hit", F.last("__e", ignorenulls=True).over(w)).where("__kind = 1")
-    return out.select(*by, "__f.*", *(F.col(f"__hit.{v}").alias(v) for v in values))
+    return out.select(*by[:-1], "__f.*", *(F.col(f"__hit.{v}").alias(v) for v in values))
 
 
 def with_defaults(overrides: DataFrame, defaults: dict[str, float], key: str = "key", value: str = "value", by: str = "line") -> DataFrame:

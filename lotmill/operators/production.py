@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lotmill.operators.skew import skew_join
+
 
 def shift_of(at: Column) -> Column:
     """night before 08:00, day before 16:00, else swing; null stays null."""
@@ -15,18 +17,24 @@ def shift_of(at: Column) -> Column:
 def production_clock(rows: DataFrame, by: list[str], order: list[str], day: str, duration: Column, gap: Column) -> DataFrame:
     """``rows`` with ``start_s`` and ``end_s`` (epoch seconds): start = max(previous end + gap, day + 1 s), end = start + duration.
 
-    The recursion unrolls to a running sum and a running maximum: with P the sum of all earlier durations and gaps,
-    start = P + the greatest (day start - P) so far. One window over a line's rows in order, no loop.
+    Rows are taken by day, then by ``order``. The recursion unrolls to a running sum and a running maximum: with P the sum
+    of all durations and gaps before, start = P + the greatest (day start - P) so far. Both are kept within a day first and
+    carried over the table of days, so no task sorts more than a day of a group. Rows need a day.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*by, day]
+    w = Window.partitionBy(*keys).orderBy(*order)
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__d", duration.cast("bigint")).withColumn("__g", gap.cast("bigint"))
-    own_gap = F.when(F.row_number().over(w) == 1, 0).otherwise(F.col("__g"))
-    rows = rows.withColumn("__own", own_gap)
-    rows = rows.withColumn("__p", F.coalesce(F.sum("__d").over(before), F.lit(0)) + F.sum("__own").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    day_start = F.unix_timestamp(F.col(day).cast("timestamp")) + 1
-    rows = rows.withColumn("start_s", F.col("__p") + F.max(day_start - F.col("__p")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.withColumn("end_s", F.col("start_s") + F.col("__d")).drop("__d", "__g", "__own", "__p")
+    rows = rows.withColumn("__p", F.coalesce(F.sum("__d").over(before), F.lit(0)) + F.sum("__g").over(upto))
+    lead = F.unix_timestamp(F.col(day).cast("timestamp")) + 1 - F.col("__p")
+    rows = rows.withColumn("__m", F.max(lead).over(upto))
+    days = rows.groupBy(*keys).agg(F.sum(F.col("__d") + F.col("__g")).alias("__t"), F.max(lead).alias("__top"))
+    past = Window.partitionBy(*by).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("__p0", F.coalesce(F.sum("__t").over(past), F.lit(0)))
+    days = days.withColumn("__m0", F.max(F.col("__top") - F.col("__p0")).over(past)).select(*keys, "__p0", "__m0")
+    rows = skew_join(rows, days, keys, F.struct(*order))
+    rows = rows.withColumn("start_s", F.col("__p0") + F.col("__p") + F.greatest(F.col("__m0"), F.col("__m") - F.col("__p0")))
+    return rows.withColumn("end_s", F.col("start_s") + F.col("__d")).drop("__d", "__g", "__p", "__m", "__p0", "__m0")
 
 
 def split_calendar(days: DataFrame, by: list[str], day: str, share: float = 0.3) -> DataFrame:
@@ -61,9 +69,12 @@ def missed_in_batch(truth: Column, verdict: Column, pending: Column, score: Colu
 
 
 def triage(missed: DataFrame, by: list[str], cap: int = 5) -> DataFrame:
-    """``missed`` with ``place`` by ascending score and ``handled`` for the first ``cap`` of each group; the rest is deferred."""
-    out = missed.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("score", "path", "row_id")))
-    return out.withColumn("handled", F.col("place") <= cap)
+    """The first ``cap`` of ``missed`` in each group by ascending score, with ``place``; the rest is deferred.
+
+    The cap is the feature; as only the first places are kept, each task passes on no more than ``cap`` rows of a group.
+    """
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("score", "path", "row_id"))
+    return missed.withColumn("place", place).where(F.col("place") <= cap)
 
 
 def next_run(now: Column, hour: int, minute: int = 0) -> Column:

@@ -89,7 +89,7 @@ def sample_slices(rows: DataFrame, by: list[str], order: list[str], sizes: dict[
         cuts.append((name, upto, upto := upto + size))
     for name, a, b in cuts:
         pick = F.when((F.col("__n") > a) & (F.col("__n") <= b), name).otherwise(pick)
-    return rows.withColumn("slice", pick).drop("__n").where("slice is not null")
+    return rows.where(F.col("__n") <= upto).withColumn("slice", pick).drop("__n")
 
 
 def supplements(records: DataFrame, bank_paths: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from lotmill.session import cut
+
 #: At most so many keys are treated as hot. A key outside holds under 1/MAX_HOT of all rows.
 MAX_HOT = 1000
 
@@ -60,3 +62,22 @@ def ranked(df: DataFrame, groups: list[str], order: Column, tie: list[str], size
     inner = df.withColumn("__r", F.row_number().over(within)).withColumn("__u", F.sum("__s").over(within.rowsBetween(Window.unboundedPreceding, 0)))
     out = inner.join(part, [*groups, "__b"])
     return out.withColumn("__rank", F.col("__n0") + F.col("__r")).withColumn("__upto", F.col("__t0") + F.col("__u")).drop("__h", "__s", "__b", "__n0", "__t0", "__r", "__u")
+
+
+def running(df: DataFrame, groups: list[str], order: list[Column], sums: list[str]) -> DataFrame:
+    """``df`` with, for each of ``sums``, ``__upto_<name>``: its sum within the group over all rows up to this one in ``order``.
+
+    ``order`` must be unique within a group. Rows are range-partitioned by group and order, summed within their partition and
+    offset by the totals of the partitions before (a table of groups x partitions), so a group may span any number of tasks.
+    The layout is checkpointed, as both passes must see the same ranges.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = cut(df.repartitionByRange(n, *groups, *order).withColumn("__p", F.spark_partition_id()))
+    keys = [*groups, "__p"]
+    within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*groups).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    part = laid.groupBy(*keys).agg(*(F.sum(c).alias(f"__t_{c}") for c in sums))
+    part = part.select(*keys, *(F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__b_{c}") for c in sums))
+    inner = laid.select("*", *(F.sum(c).over(within).alias(f"__w_{c}") for c in sums))
+    out = inner.join(part, keys)
+    return out.select(*df.columns, *((F.col(f"__b_{c}") + F.col(f"__w_{c}")).alias(f"__upto_{c}") for c in sums))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lotmill.operators.skew import running, skew_join
+
 
 def score_counts(scores: DataFrame, by: list[str]) -> DataFrame:
     """``by, score, pos, neg``: defects and normals at each distinct score of (by, score, defect); null or NaN scores and null labels are left out."""
@@ -16,11 +18,10 @@ def score_counts(scores: DataFrame, by: list[str]) -> DataFrame:
 def auroc(scores: DataFrame, by: list[str]) -> DataFrame:
     """``by, n_pos, n_neg, auroc``: exact, with average ranks on ties; null where a class is empty.
 
-    Ranks are taken over distinct scores after counting, so a window holds distinct scores and not rows.
+    Ranks are running sums over distinct scores after counting, cut into ranges of the scores.
     """
-    n = score_counts(scores, by)
-    below = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    n = n.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    n = running(score_counts(scores, by), by, [F.col("score")], ["neg"])
+    n = n.withColumn("under", F.col("__upto_neg") - F.col("neg"))
     out = n.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2.0)).alias("wins"))
     return out.select(*by, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("wins") / (F.col("n_pos") * F.col("n_neg"))).alias("auroc"))
 
@@ -34,8 +35,8 @@ def curve(scores: DataFrame, by: list[str]) -> DataFrame:
     n = score_counts(scores, by)
     top = n.groupBy(*by).agg(F.max("score").alias("m")).select(*by, (F.col("m") + F.greatest(F.lit(1e-9), F.abs("m") * 1e-6)).alias("score"), F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("neg"))
     n = n.unionByName(top)
-    down, whole = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
-    n = n.withColumn("detected", F.sum("pos").over(down)).withColumn("false_positives", F.sum("neg").over(down)).withColumn("np", F.sum("pos").over(whole)).withColumn("nn", F.sum("neg").over(whole))
+    n = running(n, by, [F.desc("score")], ["pos", "neg"]).withColumnsRenamed({"__upto_pos": "detected", "__upto_neg": "false_positives"})
+    n = skew_join(n, n.groupBy(*by).agg(F.sum("pos").alias("np"), F.sum("neg").alias("nn")), by, F.col("score"))
     rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     return n.select(*by, F.col("score").alias("threshold"), "detected", (F.col("np") - F.col("detected")).alias("missed"), "false_positives", (F.col("nn") - F.col("false_positives")).alias("true_negatives"), rate("detected", "np").alias("detection_rate"), rate("false_positives", "nn").alias("false_positive_rate"))
 

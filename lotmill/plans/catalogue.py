@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotmill.plans import bank_queries, general, lookup_queries, text_queries
+from lotmill.plans import bank_queries, general, governance_queries, lookup_queries, text_queries
 
-_MODULES = (general, lookup_queries, bank_queries, text_queries)
+_MODULES = (general, lookup_queries, bank_queries, text_queries, governance_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -145,7 +145,7 @@ def register_asof(spark, sf_dir):
     lot = plain_lot(F.col("lot_id")).alias("lot")
     facts = table(spark, sf_dir, "manifest").select(lot, "row_id", "arrived_at").where("lot is not null")
     entries = table(spark, sf_dir, "lot_register").select(lot, "registered_at", "planned_count").where("lot is not null")
-    return lookups.asof_backward(facts, entries, ["lot"], "arrived_at", "registered_at", ["registered_at", "planned_count"], ["planned_count"]).select("row_id", "registered_at", "planned_count")
+    return lookups.asof_backward(facts, entries, ["lot"], "arrived_at", "registered_at", ["registered_at", "planned_count"], ["planned_count"], F.col("row_id")).select("row_id", "registered_at", "planned_count")
 
 
 @query(f"""with a as (select distinct {sql_plain_lot("lot_id")} as k from manifest), b as (select distinct {sql_plain_lot("lot_id")} as k from mes)
@@ -250,9 +250,9 @@ def _missed(spark, sf_dir):
     return both.withColumn("missed", flag)
 
 
-@query(_MISS + "select line, path, row_id, score, place::int as place, place <= 5 as handled from t")
+@query(_MISS + "select line, path, row_id, score, place::int as place from t where place <= 5")
 def nightly_triage(spark, sf_dir):
-    return production.triage(_missed(spark, sf_dir).where("missed"), ["line"]).select("line", "path", "row_id", "score", "place", "handled")
+    return production.triage(_missed(spark, sf_dir).where("missed"), ["line"]).select("line", "path", "row_id", "score", "place")
 
 
 @query(_MISS + "select m.line, count(*) as scanned, count(*) filter (missed) as missed, least(count(*) filter (missed), 5) as handled, greatest(count(*) filter (missed) - 5, 0) as deferred from m group by 1")

@@ -68,9 +68,9 @@ def test_criteria_most_specific_wins_and_no_rule_is_null(spark):
 def test_asof_with_ties_nulls_and_empty(spark):
     f = spark.createDataFrame([(1, "a", 5), (2, "a", 1), (3, "b", 5), (4, "a", None)], "id bigint, k string, t int")
     e = spark.createDataFrame([("a", 3, 10), ("a", 3, 20), ("a", None, 99), ("a", 6, 1)], "k string, s int, v int")
-    got = {r.id: r.v for r in lookups.asof_backward(f, e, ["k"], "t", "s", ["v"], ["v"]).collect()}
+    got = {r.id: r.v for r in lookups.asof_backward(f, e, ["k"], "t", "s", ["v"], ["v"], F.col("id"), 1).collect()}
     assert got == {1: 20, 2: None, 3: None, 4: None}
-    assert lookups.asof_backward(f, e.limit(0), ["k"], "t", "s", ["v"], ["v"]).count() == 4
+    assert lookups.asof_backward(f, e.limit(0), ["k"], "t", "s", ["v"], ["v"], F.col("id")).count() == 4
 
 
 def _scores(spark, pos, neg):

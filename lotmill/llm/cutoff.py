@@ -15,15 +15,20 @@ from pyspark.sql.window import Window
 from lotmill.operators.skew import skew_join
 from lotmill.session import cut, new_table_path
 
-#: A code has BITS bits, of which FRACTION lie behind the point; scores beyond share the last leaf, which is refined like any.
-BITS, FRACTION = 32, 20
+#: A code has BITS bits: the power of two that a score lies above, then MANTISSA bits of where it lies between that and the next.
+BITS, MANTISSA = 32, 21
 #: Levels are stored every STEP bits; a descent chooses among 2**STEP children.
 STEP = 4
 
 
 def code(score: Column) -> Column:
-    """Order-preserving integer code of a score that is not negative."""
-    return F.floor(F.least(score * F.lit(float(2**FRACTION)), F.lit(float(2**BITS - 1)))).cast("bigint")
+    """Order-preserving integer code of a score that is not negative, as fine for small scores as for large ones."""
+    near = F.floor(F.log2(score)).cast("double")  # may be one off beside a power of two
+    power = near + F.when(score >= F.pow(F.lit(2.0), near + 1), 1.0).when(score < F.pow(F.lit(2.0), near), -1.0).otherwise(0.0)
+    part = F.floor((score / F.pow(F.lit(2.0), power) - 1) * F.lit(float(2**MANTISSA)))
+    whole = (power.cast("bigint") + 1023) * F.lit(2**MANTISSA) + part.cast("bigint")
+    small, large = F.lit(2.0**-1022), F.lit(float("inf"))
+    return F.when(score < small, 0).when(score == large, 2**BITS - 1).otherwise(whole).cast("bigint")
 
 
 class CountTree:

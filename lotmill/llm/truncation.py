@@ -24,12 +24,13 @@ from lotmill.session import cut
 SOFT_MARKS = ["...", "…"]
 HARD_MARKS = ["[...]", "[…]", "[more]", "<snip>", "(cont.", "(cont.)", "=", "�"]
 # White space as it may trail a text, and marks that close a sentence.
-SPACES = r"\s "
-CLOSING = r"[.!?。！？][\"'”’»)\]]*$"
+SPACES = r"\s\u00a0"
+CLOSING = r"^[\"'”’»)\]]*[.!?。！？]"
 
-_ANY = "|".join(re.escape(m) for m in (*HARD_MARKS, *SOFT_MARKS))
-_HARD = "|".join(re.escape(m) for m in HARD_MARKS)
-TAIL = f"(?:[{SPACES}]*(?:{_ANY}))*[{SPACES}]*$"
+# The end of a text is looked at on the reversed text, where it can be anchored: a search from the front would try every position.
+_BACK = lambda marks: "|".join(re.escape(m[::-1]) for m in marks)
+TAIL = f"^[{SPACES}]*(?:(?:{_BACK(HARD_MARKS)}|{_BACK(SOFT_MARKS)})[{SPACES}]*)*"
+HARD_END = f"^[{SPACES}]*(?:{_BACK(HARD_MARKS)})"
 #: A token: a line end, a word or identifier (inner - _ . : / kept, a final - _ : / too), or any other sign.
 TOKEN = re.compile(r"\s*\n\s*|[^\W_]+(?:[-_.:/][^\W_]+)*[-_:/]?|\S")
 LINE = "¶"
@@ -174,11 +175,11 @@ def truncated(docs: DataFrame, ratio: float = 0.05, ratio_at_limit: float = 0.6,
     Counts are over all distinct texts, so copies of a text neither add to them nor differ in judgement. Null and
     empty texts, and texts of blanks only, are not reported. ``doc_id`` must be unique; a null source is a source.
     """
-    core = F.regexp_replace("text", TAIL, "")
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    base = base.withColumn("core", core).where("length(core) > 0").withColumn("key", F.md5("core"))
-    hard = F.col("text").rlike(f"(?:{_HARD})[{SPACES}]*$")
-    facts = base.select("doc_id", "source", "key", (hard & ~F.col("core").rlike(CLOSING)).alias("hard"), F.col("core").rlike(CLOSING).alias("closed"), F.char_length("text").alias("chars"), F.octet_length("text").alias("bytes"))
+    base = base.withColumn("back", F.reverse("text")).withColumn("tail", F.char_length(F.regexp_extract("back", TAIL, 0)))
+    base = base.withColumn("core", F.substring("text", F.lit(1), F.char_length("text") - F.col("tail"))).where("length(core) > 0").withColumn("key", F.md5("core"))
+    closed = F.substring("back", F.col("tail") + 1, F.char_length("text")).rlike(CLOSING)
+    facts = base.select("doc_id", "source", "key", (F.col("back").rlike(HARD_END) & ~closed).alias("hard"), closed.alias("closed"), F.char_length("text").alias("chars"), F.octet_length("text").alias("bytes"))
     facts = cut(facts)
 
     # one text of each content: the least id is found on ids alone, then its text is fetched

@@ -28,12 +28,13 @@ SPACES = r"\s\u00a0"
 CLOSING = r"^[\"'”’»)\]]*[.!?。！？]"
 
 # The end of a text is looked at on the reversed text, where it can be anchored: a search from the front would try every position.
-_BACK = lambda marks: "|".join(re.escape(m[::-1]) for m in marks)
-TAIL = f"^[{SPACES}]*(?:(?:{_BACK(HARD_MARKS)}|{_BACK(SOFT_MARKS)})[{SPACES}]*)*"
+# A lone = is a mark, a row of them is a ruled line.
+_BACK = lambda marks: "|".join(re.escape(m[::-1]) + "(?!=)" * (m == "=") for m in marks)
+TAIL = f"^[{SPACES}]*(?:(?:{_BACK(HARD_MARKS)}|{_BACK(SOFT_MARKS)})[{SPACES}]*){{0,100}}"
 HARD_END = f"^[{SPACES}]*(?:{_BACK(HARD_MARKS)})"
 #: A token: a line end, a word or identifier (inner - _ . : / kept, a final - _ : / too), or any other sign.
-TOKEN = re.compile(r"\s*\n\s*|[^\W_]+(?:[-_.:/][^\W_]+)*[-_:/]?|\S")
-LINE = "¶"
+TOKEN = re.compile(r"\n\s*|[^\W_]+(?:[-_.:/][^\W_]+)*[-_:/]?|\S")
+LINE = "\n"
 N = 4
 
 

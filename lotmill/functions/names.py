@@ -34,7 +34,7 @@ def picture(c: Column) -> Column:
     first run of digits of the file name without leading zeros. Anything else names no picture.
     """
     path = _path(F.coalesce(F.try_url_decode(c), c))
-    shape = r"^(?:.*/)?\s*([^/]+?)\s*/[^/]+/\s*(good|bad)\s*/(?:.*/)?[^/0-9]*0*([0-9]+)[^/]*$"
+    shape = r"^(?:.*/)?([^/]+)/[^/]+/(good|bad)/(?:.*/)?[^/0-9]*0*([0-9]+)[^/]*$"
     return F.when(path.rlike(shape), F.regexp_replace(path, shape, "$1|$2|$3"))
 
 
@@ -63,7 +63,7 @@ def _sql_path(c: str) -> str:
 
 def sql_picture(c: str) -> str:
     path = _sql_path(f"url_decode({c})")
-    shape = r"^(?:.*/)?\s*([^/]+?)\s*/[^/]+/\s*(good|bad)\s*/(?:.*/)?[^/0-9]*0*([0-9]+)[^/]*$"
+    shape = r"^(?:.*/)?([^/]+)/[^/]+/(good|bad)/(?:.*/)?[^/0-9]*0*([0-9]+)[^/]*$"
     return rf"case when regexp_matches({path}, '{shape}') then regexp_replace({path}, '{shape}', '\1|\2|\3') end"
 
 

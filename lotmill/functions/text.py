@@ -37,7 +37,7 @@ def document_number(issue: Column, fallback: Column) -> Column:
 
 def display_path(path: Column) -> Column:
     """The last two parts of a path."""
-    return F.regexp_extract(path, r"([^/\\]*[/\\]?[^/\\]+)$", 1)
+    return F.regexp_extract(path, r"(?:^|[/\\])([^/\\]+(?:[/\\][^/\\]+)?)$", 1)
 
 
 def display_number(value: Column, digits: int = 4) -> Column:
@@ -46,9 +46,9 @@ def display_number(value: Column, digits: int = 4) -> Column:
 
 
 def product_ids(text: Column) -> Column:
-    """All runs of at least two parts joined by - that begin with a letter, hold a digit and do not begin with LOT-; in order."""
-    found = F.regexp_extract_all(text, F.lit("([A-Za-z][A-Za-z0-9]*(?:-[A-Za-z0-9]+)+)"), 1)
-    return F.filter(found, lambda x: x.rlike("[0-9]") & ~F.upper(x).startswith("LOT-"))
+    """The runs of letters, digits and - that begin with a letter, hold a digit, have at least two parts joined by single - and do not begin with LOT-; in order."""
+    runs = F.split(text, "[^A-Za-z0-9-]+")
+    return F.filter(runs, lambda x: x.rlike("^[A-Za-z]") & x.contains("-") & ~x.contains("--") & ~x.endswith("-") & x.rlike("[0-9]") & ~F.upper(x).startswith("LOT-"))
 
 
 def is_identifier(c: Column) -> Column:
@@ -79,8 +79,9 @@ def equipment_id(line: Column, *parts: Column) -> Column:
 
 def brace_span(text: Column) -> Column:
     """From the first { to the last } of a text, fences or not; {} if there is none."""
-    span = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    return F.when(span != "", span).otherwise(F.lit("{}"))
+    first, last = F.instr(text, "{"), F.char_length(text) + 1 - F.instr(F.reverse(text), "}")
+    found = (first > 0) & (last <= F.char_length(text)) & (last > first)
+    return F.when(found, F.substring(text, first, last - first + 1)).otherwise(F.lit("{}"))
 
 
 def lenient_json(text: Column, field: str) -> Column:

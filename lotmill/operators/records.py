@@ -25,7 +25,7 @@ def date_or_null(c: Column) -> Column:
 
 def product_id(object_name: Column, lot: Column, path: Column) -> Column:
     """OBJECT-lot-stem; parts that are null are left out."""
-    return F.concat_ws("-", F.upper(object_name), lot, F.regexp_extract(path, r"([^/\\]+?)(?:\.[^./\\]*)?$", 1))
+    return F.concat_ws("-", F.upper(object_name), lot, F.regexp_extract(path, r"(?:^|[/\\])([^/\\]+?)(?:\.[^./\\]*)?$", 1))
 
 
 def to_records(manifest: DataFrame) -> DataFrame:

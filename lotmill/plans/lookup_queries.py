@@ -24,7 +24,7 @@ def _ton(c: str) -> str:
 
 _HEAD = f"substr(trim(date_str, {SQL_BLANKS}), 1, 10)"
 REC = rf"""with rec as (select row_id,
-  concat_ws('-', upper({_ton("object_name")}), {_ton("lot_id")}, regexp_extract({_ton("image_path")}, '([^/\\]+?)(?:\.[^./\\]*)?$', 1)) as product_id,
+  concat_ws('-', upper({_ton("object_name")}), {_ton("lot_id")}, regexp_extract({_ton("image_path")}, '(?:^|[/\\])([^/\\]+?)(?:\.[^./\\]*)?$', 1)) as product_id,
   {_ton("image_path")} as path, {_ton("line")} as line, {_ton("object_name")} as object_name, {_ton("lot_id")} as lot,
   case when regexp_matches({_HEAD}, '^\d{{4}}-\d{{2}}-\d{{2}}$') then try_strptime({_HEAD}, '%Y-%m-%d')::date end as captured_at,
   case {sql_folded("label")} when 'normal' then 'pass' when 'defect' then 'defect' end as truth,
@@ -164,6 +164,7 @@ def record_exists(spark, sf_dir):
 
 
 _OVER = [("line_01", "min_detection", 0.95), ("line_03", "max_fpr", 0.1), ("line_03", "unknown", 7.0), ("line_05", None, None)]
+# The limits a line has unless its own say otherwise.
 _DEF = {"min_detection": 0.90, "max_fpr": 0.05, "min_auroc": 0.85}
 
 

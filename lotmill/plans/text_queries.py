@@ -25,7 +25,7 @@ def query(sql: str | None = None):
     return add
 
 
-@query("select distinct doc_id, x as product_id from (select doc_id, unnest(regexp_extract_all(text, '([A-Za-z][A-Za-z0-9]*(?:-[A-Za-z0-9]+)+)', 1)) as x from documents) where regexp_matches(x, '[0-9]') and not starts_with(upper(x), 'LOT-')")
+@query("select distinct doc_id, x as product_id from (select doc_id, unnest(string_split_regex(text, '[^A-Za-z0-9-]+')) as x from documents) where regexp_matches(x, '^[A-Za-z]') and contains(x, '-') and not contains(x, '--') and not ends_with(x, '-') and regexp_matches(x, '[0-9]') and not starts_with(upper(x), 'LOT-')")
 def product_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.explode(tx.product_ids(F.col("text"))).alias("product_id")).distinct()
@@ -70,18 +70,15 @@ def hashed_codes(spark, sf_dir):
     return e.select("ercd", "line", tx.error_code(F.col("ercd"), {"E1": "0100"}).alias("code"), tx.equipment_id(F.col("line"), F.col("ercd")).alias("equipment"))
 
 
-@query(r"select row_id, regexp_extract(image_path, '([^/\\]*[/\\]?[^/\\]+)$', 1) as shown, case when starts_with(image_path, 'data/factory/') then substr(image_path, 14) else image_path end as relative, 'APR-' || case when regexp_extract(lot_id, '-(\d+)$', 1) <> '' then regexp_extract(lot_id, '-(\d+)$', 1) else substr(sha1(coalesce(line, '')), 1, 6) end as document_no from manifest where image_path is not null")
+@query(r"select row_id, regexp_extract(image_path, '(?:^|[/\\])([^/\\]+(?:[/\\][^/\\]+)?)$', 1) as shown, case when starts_with(image_path, 'data/factory/') then substr(image_path, 14) else image_path end as relative, 'APR-' || case when regexp_extract(lot_id, '-(\d+)$', 1) <> '' then regexp_extract(lot_id, '-(\d+)$', 1) else substr(sha1(coalesce(line, '')), 1, 6) end as document_no from manifest where image_path is not null")
 def display_names(spark, sf_dir):
     m = table(spark, sf_dir, "manifest").where("image_path is not null")
     return m.select("row_id", tx.display_path(F.col("image_path")).alias("shown"), tx.relative_path(F.col("image_path"), "data/factory/").alias("relative"), tx.document_number(F.coalesce("lot_id", F.lit("")), F.col("line")).alias("document_no"))
 
 
-@query("select result_id, case when score is null or score::varchar = 'nan' then 'no record' else printf('%.4f', score) end as shown from inference_results where score is null or score::varchar = 'nan' or abs(score * 10000 - floor(score * 10000) - 0.5) > 0.01")
+@query("select result_id, case when score is null or score::varchar = 'nan' then 'no record' else printf('%.6f', score) end as shown from inference_results")
 def display_numbers(spark, sf_dir):
-    r = table(spark, sf_dir, "inference_results")
-    # ties of the fifth digit are rounded differently by the two engines and are left to a unit test
-    clear = "score is null or isnan(score) or abs(score * 10000 - floor(score * 10000) - 0.5) > 0.01"
-    return r.where(clear).select("result_id", tx.display_number(F.col("score")).alias("shown"))
+    return table(spark, sf_dir, "inference_results").select("result_id", tx.display_number(F.col("score"), 6).alias("shown"))
 
 
 _W = {"object_name": 0.45, "defect_type": 0.40, "line": 0.15}
@@ -182,13 +179,11 @@ def label_vocabulary(spark, sf_dir):
     return files.vocabulary(table(spark, sf_dir, "mes"), "line", "ercd")
 
 
-@query("select row_id, lot_id, cell_id, started_at from mes where cell_id is not null and not contains(coalesce(lot_id, ''), '\"')")
+@query("select row_id, lot_id, cell_id, started_at from mes")
 def jsonl_round_trip(spark, sf_dir):
     """Appended as JSON lines and read back with a given schema."""
     path = new_table_path(spark, "jsonl")
-    cols = ["row_id", "lot_id", "cell_id", "started_at"]
-    m = table(spark, sf_dir, "mes").where("cell_id is not null").where(~F.coalesce("lot_id", F.lit("")).contains('"')).select(*cols)
-    files.append_jsonl(m, path)
+    files.append_jsonl(table(spark, sf_dir, "mes").select("row_id", "lot_id", "cell_id", "started_at"), path)
     return files.read_jsonl(spark, path, "row_id bigint, lot_id string, cell_id string, started_at string")
 
 

@@ -212,3 +212,39 @@ def test_text(spark):
 def test_numbers_as_text(spark):
     df = spark.createDataFrame([(1.25,), (float("nan"),), (None,)], "x double")
     assert [r[0] for r in df.select(text.display_number(F.col("x"), 1)).collect()] == ["1.3", "no record", "no record"]
+
+
+def test_running_spans_tasks(spark):
+    from lotmill.operators.skew import running
+
+    df = spark.range(2000).select(F.when(F.col("id") % 3 == 0, "small").otherwise("hot").alias("g"), "id", (F.col("id") % 7).alias("v"))
+    rows = running(df, ["g"], [F.desc("id")], ["v"]).orderBy("g", F.desc("id")).collect()
+    for g in ("small", "hot"):
+        mine = [r for r in rows if r.g == g]
+        assert [r["__upto_v"] for r in mine] == list(np.cumsum([r.v for r in mine]))
+    assert running(df.limit(0), ["g"], [F.desc("id")], ["v"]).count() == 0
+
+
+def test_governance(spark):
+    from lotmill.operators import governance as gov
+
+    rows = spark.createDataFrame([(1, "a", "x"), (2, None, "y"), (3, "b", "z")], "id int, k string, v string")
+    new = spark.createDataFrame([(9, "a", "new"), (8, None, "n")], "id int, k string, v string")
+    assert sorted(r.id for r in gov.upsert(rows, new, "k").collect()) == [2, 3, 8, 9]
+    shown = gov.shown_rows(rows.withColumn("g", F.lit(1)), ["g"], ["id"], "v", 2).orderBy("place").collect()
+    assert [r.cell for r in shown] == ["x", "y", "... 1 more"]
+    days = spark.createDataFrame([("a", "2025-01-30", "2025-02-02"), ("b", "2025-01-02", "2025-01-01"), ("c", None, "2025-01-01")], "k string, a string, z string").withColumn("a", F.to_date("a")).withColumn("z", F.to_date("z"))
+    assert gov.date_range(days, ["k"], "a", "z").count() == 4
+    assert gov.frequencies(rows, "k", ["a", "q"], 1).where("short").first().k == "q"
+    assert [r.k for r in gov.repeated(rows.unionAll(rows), ["k"]).orderBy("k").collect()] == ["a", "b"]
+    folders = spark.createDataFrame([("i", "f1", "v1")], "item string, folder string, version string")
+    pointers = spark.createDataFrame([("i", "f1"), ("j", "gone"), ("k", None)], "item string, folder string")
+    assert {r.item: r.version for r in gov.current_folders(pointers, folders, ["item"]).collect()} == {"i": "v1", "j": None, "k": None}
+
+
+def test_supplements_and_members(spark):
+    r = spark.createDataFrame([("l", "o", "d", "lot", "e", "pass", "p1"), ("l", "o", None, "lot", None, "defect", "p2"), ("l", "o", "d", None, "e", None, "p3"), ("l", "o", "d", "lot", "e", None, "in")], "line string, object_name string, captured_at string, lot string, equipment string, truth string, path string")
+    got = {(x.axis, x.value): x.images for x in records.supplements(r, spark.createDataFrame([("in",)], "path string")).collect()}
+    assert got == {("date", "d"): 2, ("lot", "lot"): 1, ("equipment", "e"): 2}
+    a, b = spark.createDataFrame([("k", "x"), ("k", "x"), ("m", "y")], "k string, v string"), spark.createDataFrame([("k", "x"), ("n", "z")], "k string, v string")
+    assert {x.k: x.same for x in records.same_members(a, b, ["k"], "v").collect()} == {"k": True, "m": False, "n": False}

@@ -23,7 +23,9 @@ def plain_lot(c: Column) -> Column:
 
 
 def _path(c: Column) -> Column:
-    return F.regexp_replace(F.lower(F.btrim(c, F.lit(BLANKS))), r"[\\/]+", "/")
+    """Lower case, one kind of slash, no repeated ones."""
+    path = F.translate(F.lower(F.btrim(c, F.lit(BLANKS))), "\\", "/")
+    return F.when(path.contains("//"), F.regexp_replace(path, "/+", "/")).otherwise(path)
 
 
 def picture(c: Column) -> Column:
@@ -33,16 +35,17 @@ def picture(c: Column) -> Column:
     named good or bad, the object lies two folders above the class's content, the number is the
     first run of digits of the file name without leading zeros. Anything else names no picture.
     """
-    path = _path(F.coalesce(F.try_url_decode(c), c))
+    path = _path(F.when(c.contains("%"), F.coalesce(F.try_url_decode(c), c)).otherwise(c))
     shape = r"^(?:.*/)?([^/]+)/[^/]+/(good|bad)/(?:.*/)?[^/0-9]*0*([0-9]+)[^/]*$"
-    return F.when(path.rlike(shape), F.regexp_replace(path, shape, "$1|$2|$3"))
+    named = F.regexp_replace(path, shape, "$1|$2|$3")  # a name holds no slash, a path that has not this shape keeps its own
+    return F.when(path.contains("/") & ~named.contains("/"), named)
 
 
 def file_name(c: Column) -> Column:
-    """``line/date/lot/stem``: the last four parts of a path; null if it has fewer."""
-    path = _path(c)
-    shape = r"^(?:.*/)?([^/]+/[^/]+/[^/]+/[^/]+?)(?:\.[^./]*)?$"
-    return F.when(path.rlike(shape), F.regexp_replace(path, shape, "$1"))
+    """``line/date/lot/stem``: the last four parts of a path; null if it has fewer or one of them is empty."""
+    parts = F.split(_path(c), "/")
+    four = (F.size(parts) >= 4) & (F.try_element_at(parts, F.lit(-4)) != "") & (F.try_element_at(parts, F.lit(-1)) != "")
+    return F.when(four, F.regexp_replace(F.array_join(F.slice(parts, -4, 4), "/"), r"(?<=[^/])\.[^./]*$", ""))
 
 
 #: The same expressions for DuckDB, as templates over one column.

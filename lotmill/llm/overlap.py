@@ -77,7 +77,8 @@ def overlaps(rows: DataFrame, row_id: Column, split: Column, names: dict[str, Co
     """
     keys = [f"n{i}" for i in range(len(names))]
     wide = rows.select(row_id.cast("bigint").alias("row_id"), split.alias("split"), *(F.concat(F.lit(f"{OPEN}{k}|"), c.cast("string"), F.lit(CLOSE)).alias(n) for n, (k, c) in zip(keys, names.items(), strict=True)))
-    wide = cut(wide.where(F.col("split").isin(train_split, *evaluation_splits) & F.coalesce(*keys).isNotNull()))  # names are made out once
+    # names are made out once: a filter on them before the checkpoint would make them out for itself
+    wide = cut(wide.where(F.col("split").isin(train_split, *evaluation_splits))).where(F.coalesce(*keys).isNotNull())
     tr, evw = wide.where(F.col("split") == train_split), wide.where(F.col("split").isin(evaluation_splits))
     hits = cut(matched_passages(_texts(tr, keys), _texts(evw, keys)))
     evaluation = evw.select("row_id", "split", F.explode(F.array(*keys)).alias("text")).where("text is not null")

@@ -85,7 +85,7 @@ _P3_MATCHES = _KNN + "select vec_id, place::int as place, round(d, 6) as distanc
 # 4 ---------------------------------------------------------------------------
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = table(spark, sf_dir, "manifest").select(plain_lot(F.col("lot_id")).alias("entity"), picture(F.col("visa_source")).alias("tie"))
-    links = cut(links.where("entity is not null and tie is not null").distinct())
+    links = cut(links.distinct()).where("entity is not null and tie is not null")  # filtered later, so that names are made out once
     _, roots = splits.spanning_forest(spark, splits.tie_edges(links))
     return roots.where("node <> root").select(F.col("root").alias("first_lot"), F.col("node").alias("lot_id"))
 

@@ -39,7 +39,7 @@ def reach(m: int, share: float, delta: float) -> tuple[int, float]:
 class CollisionIndex:
     """The sorted projections of one block of vectors."""
 
-    def __init__(self, x: np.ndarray, m: int = 64, share: float = 0.5, delta: float = 1e-4, seed: int = 7, growth: float = 1.25):
+    def __init__(self, x: np.ndarray, m: int = 32, share: float = 0.5, delta: float = 1e-4, seed: int = 7, growth: float = 1.6):
         self.x, self.m, self.growth = x.astype(np.float64), m, growth
         self.l, self.z = reach(m, share, delta)
         self.a = np.random.default_rng(seed).standard_normal((x.shape[1], m))
@@ -100,7 +100,7 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def nearest(bank: DataFrame, queries: DataFrame, k: int = 5, dim: int = 32, block_rows: int = 20_000, query_rows: int = 5_000, m: int = 64, share: float = 0.5, delta: float = 1e-4, seed: int = 7) -> DataFrame:
+def nearest(bank: DataFrame, queries: DataFrame, k: int = 5, dim: int = 32, block_rows: int = 20_000, query_rows: int = 5_000, m: int = 32, share: float = 0.5, delta: float = 1e-4, seed: int = 7) -> DataFrame:
     """``query_id, near_id, near_rank, distance, place``: the k nearest bank vectors of the query's own bank.
 
     ``bank`` has (bank_key, near_id, near_rank, embedding), ``queries`` (bank_key, query_id, embedding);

@@ -98,11 +98,11 @@ def image_scores(nearest: DataFrame, patches: DataFrame) -> DataFrame:
 
 
 def top_patches(nearest: DataFrame, patches: DataFrame, grid_w: int, k: int = 5) -> DataFrame:
-    """``image, place, patch, q_row, q_col, bank_row, distance``: the k patches of each image that lie furthest, with their bank row."""
-    both = nearest.where("place = 1").select("query_id", "bank_row", "distance").join(patches, "query_id")
-    w = Window.partitionBy("image").orderBy(F.desc("distance"), "patch")
+    """``key, image, place, patch, q_row, q_col, bank_row, distance``: the k patches of each image that lie furthest, with the bank and row they are nearest to."""
+    both = nearest.where("place = 1").select("key", "query_id", "bank_row", "distance").join(patches, "query_id")
+    w = Window.partitionBy("image").orderBy(F.desc("distance"), "patch", "query_id")
     out = both.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
-    return out.select("image", "place", "patch", F.expr(f"cast(patch div {grid_w} as int)").alias("q_row"), (F.col("patch") % grid_w).cast("int").alias("q_col"), "bank_row", "distance")
+    return out.select("key", "image", "place", "patch", F.expr(f"cast(patch div {grid_w} as int)").alias("q_row"), (F.col("patch") % grid_w).cast("int").alias("q_col"), "bank_row", "distance")
 
 
 def reweighted(bank: DataFrame, queries: DataFrame, k: int = 9) -> DataFrame:

@@ -62,9 +62,8 @@ def image_scores(spark, sf_dir):
 select t.image, t.pl::int as place, t.q_index as patch, t.bank_row, round(t.d, 6) as distance, b.source_image, b.patch_row, b.patch_col from t join b on b.k = t.k and b.bank_row = t.bank_row where t.pl <= 5""")
 def topk_trace(spark, sf_dir):
     near, patches = _first(spark, sf_dir)
-    top = knn.top_patches(near.drop("key"), patches.where("image is not null"), 8).select("image", "place", "patch", "bank_row", "distance")
-    keys = near.select("key", "query_id").join(patches, "query_id").where("image is not null").select("image", "key").distinct()
-    out = top.join(keys, "image").join(_bank(spark, sf_dir).drop("embedding"), ["key", "bank_row"])
+    top = knn.top_patches(near, patches.where("image is not null"), 8)
+    out = top.join(_bank(spark, sf_dir).drop("embedding"), ["key", "bank_row"])
     return out.select("image", "place", "patch", "bank_row", F.round("distance", 6).alias("distance"), "source_image", "patch_row", "patch_col")
 
 
@@ -159,9 +158,9 @@ def _cells(spark, sf_dir):
 _BASE = _CELLS + ", m as (select row, col, median(value) as median, count(*) as n from cells group by all), d as (select c.row, c.col, m.median, m.n, median(abs(c.value - m.median)) as mad from cells c join m using (row, col) group by all)\n"
 
 
-@query(_BASE + "select row, col, round(median, 6) as median, round(mad, 6) as mad, n from d where n >= 8")
+@query(_BASE + "select row, col, round(median, 4) as median, round(mad, 4) as mad, n from d where n >= 8")
 def cell_baseline(spark, sf_dir):
-    return grid.cell_baseline(_cells(spark, sf_dir), [], 8).select("row", "col", F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"), "n")
+    return grid.cell_baseline(_cells(spark, sf_dir), [], 8).select("row", "col", F.round("median", 4).alias("median"), F.round("mad", 4).alias("mad"), "n")
 
 
 @query(_BASE + "select c.map, c.row, c.col, round(c.value - d.median, 6) as residual, round((c.value - d.median) / (d.mad + 1e-6), 4) as robust from cells c join d using (row, col)")

@@ -248,3 +248,13 @@ def test_supplements_and_members(spark):
     assert got == {("date", "d"): 2, ("lot", "lot"): 1, ("equipment", "e"): 2}
     a, b = spark.createDataFrame([("k", "x"), ("k", "x"), ("m", "y")], "k string, v string"), spark.createDataFrame([("k", "x"), ("n", "z")], "k string, v string")
     assert {x.k: x.same for x in records.same_members(a, b, ["k"], "v").collect()} == {"k": True, "m": False, "n": False}
+
+
+def test_long_values_stay_quick(spark):
+    import time
+
+    df = spark.createDataFrame([("a" * 200_000,), ("a/" * 100_000,), (" " * 200_000 + "x",), ("{" * 200_000,), ("a-" * 100_000,), ("1" * 200_000,)], "s string")
+    began = time.time()
+    s = F.col("s")
+    assert df.select(names.picture(s), names.file_name(s), names.plain_lot(s), text.product_ids(s), text.brace_span(s), text.display_path(s), records.product_id(s, s, s)).collect()
+    assert time.time() - began < 60

@@ -241,3 +241,42 @@ def test_pile_ups(spark):
     rows = [("s", 100)] * 30 + [("s", n) for n in range(80, 120)] + [(None, 7)] * 12
     got = {(r.s, r.chars) for r in truncation.pile_ups(spark.createDataFrame(rows, "source string, chars int"), "chars").collect()}
     assert got == {("s", 100), ("", 7)}
+
+
+def test_truncation_held_out_accuracy(spark):
+    """Whole documents are cut at random inside sentences; nearly all are found and no other document changes its judgement."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source").collect()]
+    ddl = "doc_id bigint, text string, source string"
+    base = {r.doc_id for r in truncation.truncated(spark.createDataFrame(rows, ddl)).collect()}
+    rng, cuts = random.Random(7), {}
+    for i, t, s in rng.sample([r for r in rows if r[1] and len(r[1]) > 60 and r[0] not in base], 60):
+        for _ in range(20):
+            k = rng.randrange(len(t) * 3 // 10, len(t) * 98 // 100)
+            head, rest = t[:k].rstrip(), t[k:]
+            if head and head[-1] not in ".!?|])" and "\n" not in t[len(head) : k] and rest.strip()[:1] not in set(".!?") | {""} and not rest.lstrip(" ").startswith("\n"):
+                cuts[i] = (i, t[:k] + rng.choice(["", "", "…", " [...]", "\n"]), s)
+                break
+    found = {r.doc_id for r in truncation.truncated(spark.createDataFrame([cuts.get(r[0], r) for r in rows], ddl)).collect()}
+    assert len(found & set(cuts)) / len(cuts) >= 0.9
+    assert len((found - set(cuts)) ^ (base - set(cuts))) <= 0.005 * len(rows)
+
+
+def test_truncation_of_long_runs(spark):
+    long = ["a" * 300_000, "-" * 300_000, " " * 300_000 + "x", "=" * 300_000, "x\n" + "..." * 50_000, "word " * 60_000]
+    rows = [(i, t, "s") for i, t in enumerate(long)]
+    assert truncation.truncated(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).count() <= len(long)
+
+
+def test_deal_with_one_group_of_a_third(spark):
+    rows = spark.range(9000).select(F.col("id").alias("row_id"), F.when(F.col("id") < 3000, "hot").otherwise(F.concat(F.lit("s"), F.col("id").cast("string"))).alias("root"))
+    dealt = splits.deal(rows, [("train", 0.7), ("validation", 0.15), ("test", 0.15)])
+    got = {r.split_name: r["count"] / 9000 for r in dealt.groupBy("split_name").count().collect()}
+    assert abs(got["train"] - 0.7) < 0.01 and abs(got["validation"] - 0.15) < 0.01 and abs(got["test"] - 0.15) < 0.01
+    assert dealt.where("root = 'hot'").select("split_name").distinct().first()[0] == "train"
+
+
+def test_codes_keep_the_order(spark):
+    rng = random.Random(5)
+    xs = sorted({0.0, 1.0, 2.0, 0.5, 4.0, 1e-300, 5e-324, 1e300, float("inf"), 0.1, 0.2, 1 - 2**-53, 1 + 2**-52, *(rng.random() * 10 ** rng.randrange(-9, 9) for _ in range(300))})
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select("x", cutoff.code(F.col("x")).alias("c")).orderBy("x").select("c").collect()]
+    assert got == sorted(got) and got[0] == 0 and max(got) < 2**32

@@ -80,3 +80,12 @@ def test_drained_stream_is_exactly_once(spark, tmp_path):
     for _ in range(2):
         inspection.run_to_table(inspection.read_stream(spark, str(tmp_path / "in"), "id bigint"), str(tmp_path / "out"), str(tmp_path / "cp2"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_image_scan_keeps_the_least_path_of_a_name(spark, tmp_path):
+    for d in ("b", "a"):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "X.PNG").write_text("x")
+    (tmp_path / "a" / "note.txt").write_text("x")
+    got = files.scan_images(spark, str(tmp_path)).collect()
+    assert [(r.name, r.path.rsplit("/", 2)[1]) for r in got] == [("x.png", "a")]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lotmill.operators.skew import hot_keys, skew_join
+from lotmill.session import cut, new_table_path
 
 
 def usable(c: Column, dim: int) -> Column:
@@ -172,25 +173,108 @@ def greedy_coreset(x: np.ndarray, size: int) -> np.ndarray:
     return np.sort(np.array(taken))
 
 
+def nearer(x: np.ndarray, near: np.ndarray, centres: np.ndarray, step: int = 512) -> np.ndarray:
+    """``near`` lowered to the squared distance of each row of x to its nearest centre, summed as in :func:`greedy_coreset`."""
+    centres, near = np.unique(centres, axis=0), near.copy()
+    squares = (centres * centres).sum(axis=1)
+    for i in range(0, len(x), step):
+        v, best = x[i : i + step], near[i : i + step]
+        own = (v * v).sum(axis=1)[:, None]
+        d = own + squares[None, :] - 2.0 * (v @ centres.T)  # close enough to choose whom to measure
+        row, col = np.nonzero(d <= np.minimum(d.min(axis=1), best)[:, None] + 1e-9 * (1.0 + own + squares.max()))
+        for j in range(0, len(row), 100_000):
+            r, c = row[j : j + 100_000], col[j : j + 100_000]
+            np.minimum.at(best, r, ((v[r] - centres[c]) ** 2).sum(axis=1))
+    return near
+
+
+def greedy_steps(x: np.ndarray, ids: np.ndarray, near: np.ndarray, left: int, bound: tuple[float, int] | None) -> list[int]:
+    """The next rows of a greedy run, as far as these candidates decide them; ids ascend.
+
+    ``bound`` is the greatest (near, -id) that a row outside the candidates may have. Distances only fall, so
+    a candidate at or above the bound is the next row of the whole bank, whatever lies outside.
+    """
+    taken = []
+    while len(taken) < left:
+        i = int(near.argmax())
+        if bound is not None and (near[i], -ids[i]) < bound:
+            break
+        if near[i] == 0:  # no row is away from those taken: the lowest again, as greedy_coreset does
+            return taken + [i] * (left - len(taken))
+        taken.append(i)
+        near = np.minimum(near, ((x - x[i]) ** 2).sum(axis=1))
+    return taken
+
+
 def coreset(bank: DataFrame, ratio: float, cap: int = 20_000, group_rows: int = 50_000) -> DataFrame:
     """``key, bank_row, capped`` of the rows kept: max(1, round-half-even(n * ratio)) of each bank, at most ``cap``.
 
-    Sequential by nature, so it runs per bank in parallel. A bank over ``group_rows`` is first cut at random into parts
-    of that size, each of which is reduced in proportion, so no task ever holds more. Within a part rows are in order of bank_row.
+    One greedy run over each bank, in order of bank_row, whatever its size. A bank of up to ``group_rows`` runs in one
+    task; a larger one is run in rounds over parts of that size (:func:`_coreset_rounds`) and gives the same rows.
     """
-    parts = hot_keys(bank, ["key"], group_rows, 10_000).withColumnRenamed("__salts", "parts")
+    hot = hot_keys(bank, ["key"], group_rows, 10_000).withColumnRenamed("__salts", "parts")
     n = bank.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    want = n.select("key", "n", F.greatest(F.lit(1), F.bround(F.col("n") * F.lit(ratio)).cast("bigint")).alias("want")).withColumn("capped", F.col("want") > cap).withColumn("want", F.least("want", F.lit(cap)))
-    b = bank.select("key", F.col("bank_row").cast("bigint"), F.col("embedding").cast("array<double>")).join(F.broadcast(parts), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    b = b.withColumn("part", F.pmod(F.xxhash64("bank_row"), F.col("parts"))).join(want, "key")
+    want = n.select("key", F.greatest(F.lit(1), F.bround(F.col("n") * F.lit(ratio)).cast("bigint")).alias("want")).withColumn("capped", F.col("want") > cap).withColumn("want", F.least("want", F.lit(cap)))
+    b = bank.select("key", F.col("bank_row").cast("bigint"), F.col("embedding").cast("array<double>"))
     kind = dict(bank.dtypes)["key"]
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("bank_row")
-        share = -(-t["want"][0].as_py() * len(t) // t["n"][0].as_py()) if t["parts"][0].as_py() > 1 else t["want"][0].as_py()
-        return t.take(pa.array(greedy_coreset(matrix(t["embedding"]), max(1, share)))).select(["key", "bank_row", "capped"])
+        return t.take(pa.array(greedy_coreset(matrix(t["embedding"]), t["want"][0].as_py()))).select(["key", "bank_row", "capped"])
+
+    small = b.join(F.broadcast(hot), "key", "left_anti").join(want, "key").groupBy("key").applyInArrow(run, f"key {kind}, bank_row bigint, capped boolean")
+    big = hot.where("key is not null").join(want, "key").select("key", "parts", "want", "capped").collect()  # at most 10,000 keys
+    return small.unionByName(_coreset_rounds(b, big, kind, group_rows)) if big else small
+
 
-    return b.groupBy("key", "part").applyInArrow(run, f"key {kind}, bank_row bigint, capped boolean")
+def _coreset_rounds(b: DataFrame, big: list, kind: str, group_rows: int) -> DataFrame:
+    """The greedy run over the banks in ``big`` (key, parts, want, capped), a round at a time.
+
+    In a round each part lowers its rows' distances by the rows taken last and offers those furthest away, about
+    ``group_rows`` / 5 in all parts of a bank; one task a bank takes rows from these while no row that was not offered
+    can be further (:func:`greedy_steps`). At least one row is taken in a round, and no task holds more than a part.
+    """
+    spark, vec = b.sparkSession, "key {0}, part int, bank_row bigint, embedding array<double>, near double".format(kind)
+    parts = F.broadcast(spark.createDataFrame([(r["key"], r["parts"]) for r in big], f"key {kind}, parts int"))
+    state = b.join(parts, "key").select("key", F.pmod(F.xxhash64("bank_row"), F.col("parts")).cast("int").alias("part"), "bank_row", "embedding", F.lit(float("inf")).alias("near"))
+    picks = state.groupBy("key").agg(F.min_by("embedding", "bank_row").alias("embedding"), F.min("bank_row").alias("bank_row")).select("key", "bank_row", "embedding")
+    state, picks = cut(state), cut(picks)
+
+    def lower(t: pa.Table, c: pa.Table) -> pa.Table:
+        if not len(t):
+            return t
+        near = nearer(matrix(t["embedding"]), t["near"].to_numpy(), matrix(c["embedding"]))
+        return t.set_column(t.schema.get_field_index("near"), "near", pa.array(near, pa.float64()))
+
+    def offer(t: pa.Table) -> pa.Table:
+        share = max(1, group_rows // 5 // t["parts"][0].as_py())
+        t = t.sort_by([("near", "descending"), ("bank_row", "ascending")])
+        return t.slice(0, share).append_column("last", pa.array([i == share - 1 and len(t) > share for i in range(min(share, len(t)))], pa.bool_()))
+
+    def choose(t: pa.Table) -> pa.Table:
+        t = t.sort_by("bank_row")
+        ids, near = t["bank_row"].to_numpy(), t["near"].to_numpy()
+        ends = np.nonzero(t["last"].to_numpy(zero_copy_only=False))[0]
+        bound = max(((near[i], -ids[i]) for i in ends), default=None)
+        return t.take(pa.array(greedy_steps(matrix(t["embedding"]), ids, near, t["left"][0].as_py(), bound), pa.int64())).select(["key", "bank_row", "embedding"])
+
+    taken, left = [picks], {r["key"]: r["want"] - 1 for r in big}
+    while left := {k: n for k, n in left.items() if n > 0}:
+        todo = F.broadcast(spark.createDataFrame(list(left.items()), f"key {kind}, left bigint"))
+        centres = picks.distinct().join(parts, "key").select(F.col("key").alias("key"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("embedding").alias("embedding"))
+        state = cut(state.join(todo, "key", "left_semi").groupBy("key", "part").cogroup(centres.groupBy("key", "part")).applyInArrow(lower, vec))
+        offered = state.join(parts, "key").groupBy("key", "part").applyInArrow(offer, f"{vec}, parts int, last boolean")
+        # written, as a checkpoint keeps the size that was guessed for it: a product of both sides, squared again in each round
+        chosen, path = offered.join(todo, "key").groupBy("key").applyInArrow(choose, f"key {kind}, bank_row bigint, embedding array<double>"), new_table_path(spark, "coreset")
+        chosen.write.parquet(path)
+        picks = spark.read.parquet(path)
+        taken.append(picks)
+        for r in picks.groupBy("key").count().collect():
+            left[r["key"]] -= r["count"]
+    kept = taken[0].select("key", "bank_row")
+    for p in taken[1:]:
+        kept = kept.unionByName(p.select("key", "bank_row"))
+    return kept.join(F.broadcast(spark.createDataFrame([(r["key"], r["capped"]) for r in big], f"key {kind}, capped boolean")), "key").select("key", "bank_row", "capped")
 
 
 def top_match_counts(results: DataFrame) -> DataFrame:

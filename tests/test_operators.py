@@ -146,6 +146,19 @@ def test_coreset_and_isolation(spark):
     assert knn.isolation(bank.limit(9), 8).count() == 0
 
 
+def test_coreset_in_rounds_equals_one_greedy_run(spark):
+    rng = np.random.default_rng(3)
+    banks = {"even": rng.random((301, 4)), "near": np.repeat(rng.random((20, 4)), 15, axis=0) + rng.random((300, 4)) * 1e-3, "same": np.repeat(rng.random((5, 4)), 50, axis=0), "small": rng.random((30, 4))}
+    rows = [(k, 7 + i, [float(v) for v in x]) for k, b in banks.items() for i, x in enumerate(b)]
+    bank = spark.createDataFrame(rows, "key string, bank_row bigint, embedding array<double>")
+    got = {}
+    for r in knn.coreset(bank, 0.1, cap=29, group_rows=60).collect():
+        got.setdefault(r.key, []).append(r.bank_row)
+        assert r.capped == (len(banks[r.key]) > 295)
+    want = {k: [7 + int(i) for i in knn.greedy_coreset(b, min(29, round(len(b) * 0.1)))] for k, b in banks.items()}
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
 def test_exact_neighbours_in_blocks_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     b, q = rng.integers(0, 4, (300, 3)).astype(float), rng.integers(0, 4, (60, 3)).astype(float)

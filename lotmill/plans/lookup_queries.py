@@ -277,11 +277,27 @@ p as (select *, coalesce(sum(d) over (partition by line order by i rows between
 s as (select *, p + max(epoch(day)::bigint + 1 - p) over (partition by line order by i) as st from p)
 select row_id, line, st::bigint as start_s, (st + d)::bigint as end_s from s""")
 def production_clock(spark, sf_dir):
+    """As its SQL has it, only over days written yyyy-MM-dd and nothing else; :func:`production_clock_days` takes every day that can be read."""
     m = table(spark, sf_dir, "mes").where("line is not null").where(F.col("date_str").rlike(r"^\d{4}-\d{2}-\d{2}$")).select("row_id", "line", F.to_date("date_str").alias("day"))
     out = production.production_clock(m, ["line"], ["day", "row_id"], "day", 30 + F.col("row_id") % 60, F.col("row_id") % 5)
     return out.select("row_id", "line", "start_s", "end_s")
 
 
+@query(rf"""with m as (select row_id, line, try_strptime({_HEAD}, '%Y-%m-%d')::date as day, 30 + row_id % 60 as d, row_id % 5 as g from mes where regexp_matches({_HEAD}, '^\d{{4}}-\d{{2}}-\d{{2}}$') and line is not null),
+o as (select *, row_number() over (partition by line order by day, row_id) as i from m where day is not null),
+p as (select *, coalesce(sum(d) over (partition by line order by i rows between unbounded preceding and 1 preceding), 0) + sum(case when i = 1 then 0 else g end) over (partition by line order by i) as p from o),
+s as (select *, p + max(epoch(day)::bigint + 1 - p) over (partition by line order by i) as st from p)
+select row_id, line, st::bigint as start_s, (st + d)::bigint as end_s from s""")
+def production_clock_days(spark, sf_dir):
+    """The clock over every row of a line whose day :func:`records.date_or_null` reads, blanks around it and a time behind it included.
+
+    Rows without a day have no place on the clock and are left out: date_str null, blank, written otherwise (2025/03/03, 2025.03.03, 20250303) or no day.
+    """
+    m = table(spark, sf_dir, "mes").where("line is not null").select("row_id", "line", rec.date_or_null(F.col("date_str")).alias("day")).where("day is not null")
+    out = production.production_clock(m, ["line"], ["day", "row_id"], "day", 30 + F.col("row_id") % 60, F.col("row_id") % 5)
+    return out.select("row_id", "line", "start_s", "end_s")
+
+
 @query("with m as (select try_strptime(started_at, '%Y-%m-%dT%H:%M:%S') as t from mes) select case when hour(t) < 8 then 'night' when hour(t) < 16 then 'day' when hour(t) >= 16 then 'swing' end as shift, count(*) as n from m group by 1")
 def shift_buckets(spark, sf_dir):
     t = F.try_to_timestamp("started_at", F.lit("yyyy-MM-dd'T'HH:mm:ss"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lotmill.functions import names, text
 from lotmill.operators import decide, grid, knn, lookups, production, quality, records, sweep, versions
 from lotmill.operators.skew import ranked, skew_join
+from lotmill.plans import lookup_queries
 from lotmill.plans.text_queries import CASES
 
 
@@ -171,6 +172,14 @@ def test_exact_neighbours_in_blocks_equal_brute_force(spark):
     assert got == want
 
 
+def test_clock_takes_days_with_blanks_and_times(spark, tmp_path):
+    rows = [(1, "l", "2025-03-03"), (2, "l", " 2025-03-03"), (3, "l", "2025-03-03T00:00:00"), (4, "l", "2025/03/03"), (5, "l", None), (6, None, "2025-03-03"), (7, "l", "2025-13-03")]
+    spark.createDataFrame(rows, "row_id bigint, line string, date_str string").write.parquet(f"{tmp_path}/mes.parquet")
+    got = {r.row_id: (r.start_s, r.end_s) for r in lookup_queries.production_clock_days(spark, str(tmp_path)).collect()}
+    day = 1740960000
+    assert got == {1: (day + 1, day + 32), 2: (day + 34, day + 66), 3: (day + 69, day + 102)}
+
+
 def test_clock_equals_the_recursion(spark):
     rng = np.random.default_rng(3)
     rows = [("l", i, f"2025-01-{1 + i // 40:02d}", int(rng.integers(1, 5000)), int(rng.integers(0, 50))) for i in range(100)]

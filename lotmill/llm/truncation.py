@@ -28,9 +28,11 @@ SPACES = r"\s\u00a0"
 CLOSING = r"^[\"'”’»)\]]*[.!?。！？]"
 
 # The end of a text is looked at on the reversed text, where it can be anchored: a search from the front would try every position.
-# A lone = is a mark, a row of them is a ruled line.
-_BACK = lambda marks: "|".join(re.escape(m[::-1]) + "(?!=)" * (m == "=") for m in marks)
-TAIL = f"^[{SPACES}]*(?:(?:{_BACK(HARD_MARKS)}|{_BACK(SOFT_MARKS)})[{SPACES}]*){{0,100}}"
+# A lone = is a mark, a row of them is a ruled line. Three dots or more are one mark, but for a dot that belongs to "(cont.".
+_DOTS = r"\.{3,}(?=\.tnoc\()|\.{3,}+"
+_BACK = lambda marks: "|".join(_DOTS if m == "..." else re.escape(m[::-1]) + "(?!=)" * (m == "=") for m in marks)
+# Possessive: any number of marks in one pass, without a frame on the stack for each.
+TAIL = f"^[{SPACES}]*(?:(?:{_BACK(HARD_MARKS)}|{_BACK(SOFT_MARKS)})[{SPACES}]*)*+"
 HARD_END = f"^[{SPACES}]*(?:{_BACK(HARD_MARKS)})"
 #: A token: a line end, a word or identifier (inner - _ . : / kept, a final - _ : / too), or any other sign.
 TOKEN = re.compile(r"\n\s*|[^\W_]+(?:[-_.:/][^\W_]+)*[-_:/]?|\S")

@@ -232,6 +232,14 @@ def test_truncation_on_held_out_cuts(spark):
     assert empty.count() == 0
 
 
+def test_truncation_takes_off_any_number_of_marks(spark):
+    cut_off = "The operator replaced the camera because of misalig"
+    behind = ["." * 5, "." * 301, "[...]" * 150, " ..." * 120, "... [more] ....", "(cont" + "." * 4, "." * 100_000, " [...]" * 20_000]
+    rows = [(i, t, "s") for i, t in enumerate(_corpus())] + [(1000 + i, cut_off + b, None) for i, b in enumerate(behind)] + [(2000, "The operator cleaned the lamp because of vibration on line 3" + "." * 7, None)]
+    found = {r.doc_id for r in truncation.truncated(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert found == {1000 + i for i in range(len(behind))}
+
+
 def test_token_shapes():
     assert truncation.tokens("LOT-ABC-0012 rose to 2.48, ok") == ["AAA-AAA-0000", "rose", "to", "0.00", ",", "ok"]
     assert truncation.tokens("") == [] and truncation.tokens("a\n\nb") == ["a", truncation.LINE, "b"]

@@ -3,8 +3,9 @@
 Normalised evaluation passages are sharded; each shard builds an Aho-Corasick automaton of its passages
 and scans the training texts that are routed to it. A passage here is a whole name (of a picture or of a
 file) between two delimiters, so a training name can hold it only if it equals it, and routing both by
-the hash of the delimited name sends each distinct training text to exactly one shard. The matched
-intervals are merged into the coverage of each evaluation record's normalised text.
+the hash of the delimited name sends each distinct training text to exactly one shard. On such names the scan
+comes down to equality: a passage is matched whole or not at all, so no intervals are merged, and a name held
+inside a longer training text is not found. A record's coverage is the share of its text that is in matched names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ OPEN, CLOSE = "\x02", "\x03"
 
 
 def scan_shard(passages: list[str], texts: Iterator[str]) -> dict[str, list[tuple[int, int]]]:
-    """The merged matched intervals (start, end) of each passage that occurs in the texts."""
+    """The whole interval (start, end) of each passage that occurs in the texts; passages are matched whole."""
     import ahocorasick
 
     automaton = ahocorasick.Automaton()

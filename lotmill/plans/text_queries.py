@@ -148,6 +148,10 @@ s as (select a.doc_id as report_id, min(b.doc_id) as issue_id from documents a j
 select r.report_id, case when line is null or object_name is null or (lot is null and img is null) then 'need_more_info' when s.issue_id is not null then 'duplicate' else 'proceed' end as verdict,
  case when not (line is null or object_name is null or (lot is null and img is null)) then s.issue_id end as duplicate_of from r left join s using (report_id)""")
 def intake_verdict(spark, sf_dir):
+    """Covers equal texts only, as its SQL does: a report is a duplicate if an earlier one of its line has the same whole text.
+
+    Similarity is then 1.0 and the issue taken as resolved; reports that are alike but differ in text (D4's 0.95) come out as proceed.
+    """
     d = table(spark, sf_dir, "documents")
     lot, img = (F.nullif(F.regexp_extract("text", p, 1), F.lit("")) for p in ("(LOT-[A-Z]{3}-[0-9]{8})", "(img_[0-9]{4})"))
     reports = d.select(F.col("doc_id").alias("report_id"), "line", "object_name", img.isNotNull().cast("int").alias("attachments"), F.lit(None).cast("string").alias("product_id"), lot.alias("lot"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lotmill.functions import text as tx
 from lotmill.functions.names import folded, sql_folded
 from lotmill.operators import decide as dc
+from lotmill.operators import knn
+from lotmill.plans import bank_queries as banks
 from lotmill.sources import files
 from lotmill.session import new_table_path, table
 from lotmill.streaming import inspection
@@ -167,12 +169,25 @@ n as (select *, count(*) as hits from h where bank_image is not null group by al
 j as (select n.*, z.z, 1 + coalesce((z.z >= 1)::int, 0) as evidence_count from n left join z using (bank_version, bank_image))
 select bank_version, bank_image, hits, z, evidence_count, place::int as place from (select *, row_number() over (partition by bank_version order by evidence_count desc, hits desc, coalesce(z, 0) desc, bank_image) as place from j) where place <= 10""")
 def removal_candidates(spark, sf_dir):
+    """As its SQL has it, with a tenth of an image's bank rows in the place of its isolation; :func:`removal_candidates_isolated` takes the isolation."""
     r = table(spark, sf_dir, "inference_results").where("score < 2 and bank_version is not null and not isnan(score)").where(F.size("matches") > 0)
     hits = r.select(folded(F.col("bank_version")).alias("bank_version"), F.element_at("matches", 1)["bank_image"].alias("bank_image")).where("bank_image is not null")
     z = table(spark, sf_dir, "bank_patches").where("source_image is not null and bank_version is not null").groupBy(folded(F.col("bank_version")).alias("bank_version"), F.col("source_image").alias("bank_image")).agg((F.count(F.lit(1)) / 10.0).alias("z"))
     return dc.removal_candidates(hits, z, ["bank_version"], "bank_image")
 
 
+@query(banks._IMG + f""", h as (select {sql_folded("bank_version")} as bank_version, matches[1].bank_image as bank_image from inference_results where len(matches) > 0 and score < 2 and bank_version is not null),
+n as (select *, count(*) as hits from h where bank_image is not null group by all),
+j as (select n.*, round(i.z_mean, 6) as z, 1 + coalesce((round(i.z_mean, 6) >= 1)::int, 0) as evidence_count from n left join i on n.bank_version = i.key and n.bank_image = i.source_image)
+select bank_version, bank_image, hits, z, evidence_count, place::int as place from (select *, row_number() over (partition by bank_version order by evidence_count desc, hits desc, coalesce(z, 0) desc, bank_image) as place from j) where place <= 10""")
+def removal_candidates_isolated(spark, sf_dir):
+    """Images that missed results point at, annotated by the mean isolation z of their rows in the bank; null where the bank is too small or lacks the image."""
+    r = table(spark, sf_dir, "inference_results").where("score < 2 and bank_version is not null and not isnan(score)").where(F.size("matches") > 0)
+    hits = r.select(folded(F.col("bank_version")).alias("bank_version"), F.element_at("matches", 1)["bank_image"].alias("bank_image")).where("bank_image is not null")
+    z = knn.image_isolation(*banks._isolated(spark, sf_dir)).select(F.col("key").alias("bank_version"), F.col("source_image").alias("bank_image"), F.round("z_mean", 6).alias("z"))
+    return dc.removal_candidates(hits, z, ["bank_version"], "bank_image")
+
+
 @query("""with l as (select coalesce(lower(trim(split_part(coalesce(ercd, 'normal'), ',', 1))), 'normal') as f, line from mes) select line, case when f in ('normal', '') then 'normal' else 'anomaly' end as kind, count(*) as n from l group by all""")
 def first_label_pools(spark, sf_dir):
     return files.first_labels(table(spark, sf_dir, "mes"), "line", "ercd")

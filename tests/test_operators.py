@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lotmill.functions import names, text
 from lotmill.operators import decide, grid, knn, lookups, production, quality, records, sweep, versions
 from lotmill.operators.skew import ranked, skew_join
-from lotmill.plans import lookup_queries
+from lotmill.plans import lookup_queries, text_queries
 from lotmill.plans.text_queries import CASES
 
 
@@ -160,6 +160,16 @@ def test_coreset_in_rounds_equals_one_greedy_run(spark):
     assert {k: sorted(v) for k, v in got.items()} == want
 
 
+def test_removal_candidates_rest_on_isolation(spark, tmp_path):
+    near = [("B 1", i, "plain", [float(i % 4)] + [0.0] * 31) for i in range(20)]
+    bank = near + [("b 1", 20, "apart", [99.0] + [0.0] * 31)]
+    spark.createDataFrame(bank, "bank_version string, bank_row bigint, source_image string, embedding array<float>").selectExpr("*", "1 as patch_row", "1 as patch_col").write.parquet(f"{tmp_path}/bank_patches.parquet")
+    hits = [("b 1", 1.0, [("plain",)]), ("b 1", 1.5, [("plain",)]), ("b 1", 1.0, [("apart",)]), ("b 1", 3.0, [("far",)])]
+    spark.createDataFrame(hits, "bank_version string, score double, matches array<struct<bank_image: string>>").write.parquet(f"{tmp_path}/inference_results.parquet")
+    got = {r.bank_image: (r.place, r.evidence_count, r.hits) for r in text_queries.removal_candidates_isolated(spark, str(tmp_path)).collect()}
+    assert got == {"apart": (1, 2, 1), "plain": (2, 1, 2)}  # counts of rows would put plain first
+
+
 def test_exact_neighbours_in_blocks_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     b, q = rng.integers(0, 4, (300, 3)).astype(float), rng.integers(0, 4, (60, 3)).astype(float)

@@ -104,7 +104,8 @@ def nearest(bank: DataFrame, queries: DataFrame, k: int = 5, dim: int = 32, bloc
     """``query_id, near_id, near_rank, distance, place``: the k nearest bank vectors of the query's own bank.
 
     ``bank`` has (bank_key, near_id, near_rank, embedding), ``queries`` (bank_key, query_id, embedding);
-    other columns are ignored. Null keys belong to no bank. Unusable vectors are left out on both sides.
+    other columns are ignored. Null keys belong to no bank. Unusable vectors are left out on both sides; beyond TESTDATA's
+    rule (null, another length, NaN) a vector with an infinity is unusable too, as in the SQL: its distances are infinite or NaN.
     Ties of distance go to the lower ``near_rank``, then ``near_id``; identical vectors all count; banks with fewer
     than k usable vectors give all of them; a query of an unknown bank gives no row. Distances are exact.
 

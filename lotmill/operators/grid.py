@@ -8,15 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lotmill.operators.skew import quantiles, skew_join
+from lotmill.session import cut
+
 EPS = 1e-6
 
 
 def cell_baseline(cells: DataFrame, by: list[str], least: int = 1) -> DataFrame:
-    """``by, row, col, median, mad, n`` over (by, map, row, col, value); cells of fewer than ``least`` values are left out. Nulls are ignored."""
+    """``by, row, col, median, mad, n`` over (by, map, row, col, value); cells of fewer than ``least`` values are left out. Nulls are ignored.
+
+    Both medians are exact, by running counts over ranges of the values, so a cell may have any number of maps.
+    """
     keys = [*by, "row", "col"]
-    med = cells.where("value is not null").groupBy(*keys).agg(F.median("value").alias("median"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    dev = cells.where("value is not null").join(med, keys).groupBy(*keys, "median", "n").agg(F.median(F.abs(F.col("value") - F.col("median"))).alias("mad"))
-    return dev.select(*keys, "median", "mad", "n")
+    med = cut(quantiles(cells, keys, "value", {"median": 0.5}).where(F.col("n") >= least))
+    dev = skew_join(cells.where("value is not null").select(*keys, "value"), med.select(*keys, "median"), keys, F.col("value"))
+    mad = quantiles(dev.select(*keys, F.abs(F.col("value") - F.col("median")).alias("value")), keys, "value", {"mad": 0.5}).drop("n")
+    return med.join(mad, keys).select(*keys, "median", "mad", "n")
 
 
 def residuals(cells: DataFrame, baseline: DataFrame, by: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lotmill.operators.skew import hot_keys, skew_join
+from lotmill.operators.skew import hot_keys, salted_grid, skew_join, small_enough
 from lotmill.session import cut, new_table_path
 
 
@@ -55,35 +55,38 @@ def block_best(b: np.ndarray, q: np.ndarray, ids: np.ndarray, k: int, own: np.nd
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, int), np.empty(0, int), np.empty(0))
 
 
-def nearest_exact(bank: DataFrame, queries: DataFrame, k: int = 1, block_rows: int = 20_000, query_rows: int = 20_000, skip_self: bool = False) -> DataFrame:
+def nearest_exact(bank: DataFrame, queries: DataFrame, k: int = 1, block_rows: int = 20_000, query_rows: int = 20_000, skip_self: bool = False, vectors: bool = False) -> DataFrame:
     """``key, query_id, bank_row, distance, place``: the k nearest bank rows of each query with the same key, exactly.
 
     ``bank`` has (key, bank_row, embedding), ``queries`` (key, query_id, embedding); ids are unique within a key and
     vectors have one length. Null keys match nothing; null vectors must be filtered before. Ties go to the lower
     bank_row. ``skip_self`` leaves out the bank row whose id is the query's. Fewer than k rows: all of them.
+    ``vectors`` adds the vectors of the bank row and of the query, ``near_vector`` and ``query_vector``.
     """
     bank = bank.where(F.col("key").isNotNull()).select("key", F.col("bank_row").cast("bigint"), F.col("embedding").cast("array<double>"))
     queries = queries.where(F.col("key").isNotNull()).select(F.col("key").alias("key"), F.col("query_id").cast("bigint"), F.col("embedding").cast("array<double>"))
-    blocks = hot_keys(bank, ["key"], block_rows, 10_000).withColumnRenamed("__salts", "blocks")
-    chunks = hot_keys(queries, ["key"], query_rows, 10_000).withColumnRenamed("__salts", "chunks")
     kind = dict(bank.dtypes)["key"]
 
-    def laid(df: DataFrame, own: str, other: str, row: str) -> DataFrame:
-        df = df.join(F.broadcast(blocks), "key", "left").join(F.broadcast(chunks), "key", "left")
-        df = df.withColumn(own[:-1], F.pmod(F.xxhash64(row), F.coalesce(own, F.lit(1))).cast("int"))
-        return df.withColumn(other[:-1], F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))).drop("blocks", "chunks")
-
     def run(b: pa.Table, q: pa.Table) -> pa.Table:
         if len(b) and len(q):
-            ids = q["query_id"].to_numpy()
-            i, row, d = block_best(matrix(b["embedding"]), matrix(q["embedding"]), b["bank_row"].to_numpy(), k, ids if skip_self else None)
+            rows, ids = b["bank_row"].to_numpy(), q["query_id"].to_numpy()
+            i, row, d = block_best(matrix(b["embedding"]), matrix(q["embedding"]), rows, k, ids if skip_self else None)
+            order = np.argsort(rows, kind="stable")
+            at = order[np.searchsorted(rows[order], row)] if len(row) else np.empty(0, np.int64)
         else:
-            ids, i, row, d = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+            ids, i, row, d, at = (np.empty(0, np.int64),) * 5
         key = (b if len(b) else q)["key"]
-        return pa.table({"key": pa.array([key[0].as_py()] * len(i), key.type), "query_id": pa.array(ids[i], pa.int64()), "bank_row": pa.array(row, pa.int64()), "distance": pa.array(d, pa.float64())})
-
-    on = ["key", "block", "chunk"]
-    best = laid(bank, "blocks", "chunks", "bank_row").groupBy(*on).cogroup(laid(queries, "chunks", "blocks", "query_id").groupBy(*on)).applyInArrow(run, f"key {kind}, query_id bigint, bank_row bigint, distance double")
+        out = {"key": pa.array([key[0].as_py()] * len(i), key.type), "query_id": pa.array(ids[i], pa.int64()), "bank_row": pa.array(row, pa.int64()), "distance": pa.array(d, pa.float64())}
+        if vectors:
+            kinds = pa.list_(pa.float64())
+            out |= {n: t["embedding"].combine_chunks().take(pa.array(x, pa.int64())).cast(kinds) if len(x) else pa.array([], kinds) for n, t, x in (("near_vector", b, at), ("query_vector", q, i))}
+        return pa.table(out)
+
+    hot_b, hot_q = hot_keys(bank, ["key"], block_rows), hot_keys(queries, ["key"], query_rows)
+    b, q = salted_grid(bank, queries, ["key"], hot_b, hot_q, F.col("bank_row"), F.col("query_id"))
+    on = ["key", "__salt", "__salt_b"]
+    more = ", near_vector array<double>, query_vector array<double>" if vectors else ""
+    best = b.groupBy(*on).cogroup(q.groupBy(*on)).applyInArrow(run, f"key {kind}, query_id bigint, bank_row bigint, distance double{more}")
     w = Window.partitionBy("key", "query_id").orderBy("distance", "bank_row")
     return best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
@@ -111,17 +114,32 @@ def reweighted(bank: DataFrame, queries: DataFrame, k: int = 9) -> DataFrame:
 
     The anchor is the nearest bank row, its neighbourhood the k bank rows nearest to it (itself included), the softmax
     runs over the query's distances to them. With k or the bank at 1 the raw distance is kept.
+
+    The neighbourhood is searched once for each anchor, not for each query, and comes out of the kernel with its
+    vectors: a query then meets one row, its anchor's k vectors. Queries of an anchor that many share are salted.
     """
-    first = nearest_exact(bank, queries, 1).select("key", "query_id", F.col("bank_row").alias("anchor"), F.col("distance").alias("raw"))
-    anchors = bank.join(first.select("key", F.col("anchor").alias("bank_row")).distinct(), ["key", "bank_row"], "left_semi")
-    near = nearest_exact(bank, anchors.select("key", F.col("bank_row").alias("query_id"), "embedding"), k).select("key", F.col("query_id").alias("anchor"), F.col("bank_row").alias("near"))
-    pairs = first.join(near, ["key", "anchor"]).join(bank.select("key", F.col("bank_row").alias("near"), F.col("embedding").cast("array<double>").alias("b")), ["key", "near"])
-    pairs = pairs.join(queries.select("key", "query_id", F.col("embedding").cast("array<double>").alias("q")), ["key", "query_id"])
-    d = F.sqrt(F.aggregate(F.zip_with("q", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x))
-    per = pairs.withColumn("d", d).groupBy("key", "query_id", "anchor", "raw").agg(F.max("d").alias("top"), F.min("d").alias("low"), F.collect_list("d").alias("ds"))  # k numbers
-    total = F.aggregate("ds", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
-    score = F.when(F.size("ds") <= 1, F.col("raw")).otherwise((1 - F.exp(F.col("low") - F.col("top")) / total) * F.col("raw"))
-    return per.select("key", "query_id", "anchor", "raw", score.alias("score"))
+    first = cut(nearest_exact(bank, queries, 1, vectors=True).select("key", "query_id", F.col("bank_row").alias("anchor"), F.col("distance").alias("raw"), "near_vector", "query_vector"))
+    anchors = first.groupBy("key", "anchor").agg(F.any_value("near_vector").alias("embedding"))
+    near = nearest_exact(bank, anchors.select("key", F.col("anchor").alias("query_id"), "embedding"), k, vectors=True)
+    hood = cut(near.groupBy("key", F.col("query_id").alias("anchor")).agg(F.collect_list("near_vector").alias("hood")))  # k vectors
+    both = skew_join(first.drop("near_vector"), hood, ["key", "anchor"], F.col("query_id"))
+    kind = dict(bank.dtypes)["key"]
+
+    def score(batches):
+        for t in batches:
+            n = np.diff(t["hood"].offsets.to_numpy())
+            if len(t):
+                x = t["hood"].flatten().flatten().to_numpy(zero_copy_only=False).reshape(n.sum(), -1)
+                q = np.repeat(t["query_vector"].flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1), n, axis=0)
+                d, at = np.sqrt(((x - q) ** 2).sum(axis=1)), np.concatenate([[0], np.cumsum(n)[:-1]])
+                low, top = np.minimum.reduceat(d, at), np.maximum.reduceat(d, at)
+                raw, total = t["raw"].to_numpy(), np.add.reduceat(np.exp(d - np.repeat(top, n)), at)
+                out = np.where(n <= 1, raw, (1 - np.exp(low - top) / total) * raw)
+            else:
+                out = np.empty(0)
+            yield pa.RecordBatch.from_arrays([t["key"], t["query_id"], t["anchor"], t["raw"], pa.array(out, pa.float64())], ["key", "query_id", "anchor", "raw", "score"])
+
+    return both.select("key", "query_id", "anchor", "raw", "query_vector", "hood").mapInArrow(score, f"key {kind}, query_id bigint, anchor bigint, raw double, score double")
 
 
 def contributions(bank: DataFrame) -> DataFrame:
@@ -212,9 +230,9 @@ def coreset(bank: DataFrame, ratio: float, cap: int = 20_000, group_rows: int =
     One greedy run over each bank, in order of bank_row, whatever its size. A bank of up to ``group_rows`` runs in one
     task; a larger one is run in rounds over parts of that size (:func:`_coreset_rounds`) and gives the same rows.
     """
-    hot = hot_keys(bank, ["key"], group_rows, 10_000).withColumnRenamed("__salts", "parts")
-    n = bank.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    want = n.select("key", F.greatest(F.lit(1), F.bround(F.col("n") * F.lit(ratio)).cast("bigint")).alias("want")).withColumn("capped", F.col("want") > cap).withColumn("want", F.least("want", F.lit(cap)))
+    n = cut(bank.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    want = n.select("key", F.greatest(F.lit(1), F.bround(F.col("n") * F.lit(ratio)).cast("bigint")).alias("want"), F.ceil(F.col("n") / group_rows).cast("int").alias("parts"))
+    want = want.withColumn("capped", F.col("want") > cap).withColumn("want", F.least("want", F.lit(cap)))
     b = bank.select("key", F.col("bank_row").cast("bigint"), F.col("embedding").cast("array<double>"))
     kind = dict(bank.dtypes)["key"]
 
@@ -222,21 +240,23 @@ def coreset(bank: DataFrame, ratio: float, cap: int = 20_000, group_rows: int =
         t = t.sort_by("bank_row")
         return t.take(pa.array(greedy_coreset(matrix(t["embedding"]), t["want"][0].as_py()))).select(["key", "bank_row", "capped"])
 
-    small = b.join(F.broadcast(hot), "key", "left_anti").join(want, "key").groupBy("key").applyInArrow(run, f"key {kind}, bank_row bigint, capped boolean")
-    big = hot.where("key is not null").join(want, "key").select("key", "parts", "want", "capped").collect()  # at most 10,000 keys
-    return small.unionByName(_coreset_rounds(b, big, kind, group_rows)) if big else small
+    small = b.join(want.where("parts = 1"), "key").groupBy("key").applyInArrow(run, f"key {kind}, bank_row bigint, capped boolean")
+    big = want.where("parts > 1")
+    return small if big.isEmpty() else small.unionByName(_coreset_rounds(b, big, kind, group_rows))
 
 
-def _coreset_rounds(b: DataFrame, big: list, kind: str, group_rows: int) -> DataFrame:
-    """The greedy run over the banks in ``big`` (key, parts, want, capped), a round at a time.
+def _coreset_rounds(b: DataFrame, big: DataFrame, kind: str, group_rows: int) -> DataFrame:
+    """The greedy run over the banks in ``big`` (key, want, parts, capped), a round at a time.
 
     In a round each part lowers its rows' distances by the rows taken last and offers those furthest away, about
     ``group_rows`` / 5 in all parts of a bank; one task a bank takes rows from these while no row that was not offered
     can be further (:func:`greedy_steps`). At least one row is taken in a round, and no task holds more than a part.
+    What is left to take is a table too, so any number of banks may be large.
     """
     spark, vec = b.sparkSession, "key {0}, part int, bank_row bigint, embedding array<double>, near double".format(kind)
-    parts = F.broadcast(spark.createDataFrame([(r["key"], r["parts"]) for r in big], f"key {kind}, parts int"))
-    state = b.join(parts, "key").select("key", F.pmod(F.xxhash64("bank_row"), F.col("parts")).cast("int").alias("part"), "bank_row", "embedding", F.lit(float("inf")).alias("near"))
+    parts = cut(big.select("key", "parts"))
+    state = skew_join(b, parts, ["key"], F.col("bank_row"))
+    state = state.select("key", F.pmod(F.xxhash64("bank_row"), F.col("parts")).cast("int").alias("part"), "bank_row", "embedding", F.lit(float("inf")).alias("near"))
     picks = state.groupBy("key").agg(F.min_by("embedding", "bank_row").alias("embedding"), F.min("bank_row").alias("bank_row")).select("key", "bank_row", "embedding")
     state, picks = cut(state), cut(picks)
 
@@ -258,9 +278,9 @@ def _coreset_rounds(b: DataFrame, big: list, kind: str, group_rows: int) -> Data
         bound = max(((near[i], -ids[i]) for i in ends), default=None)
         return t.take(pa.array(greedy_steps(matrix(t["embedding"]), ids, near, t["left"][0].as_py(), bound), pa.int64())).select(["key", "bank_row", "embedding"])
 
-    taken, left = [picks], {r["key"]: r["want"] - 1 for r in big}
-    while left := {k: n for k, n in left.items() if n > 0}:
-        todo = F.broadcast(spark.createDataFrame(list(left.items()), f"key {kind}, left bigint"))
+    taken, left = [picks], cut(big.select("key", (F.col("want") - 1).alias("left")).where("left > 0"))
+    while not left.isEmpty():
+        todo = F.broadcast(left) if small_enough(left) else left
         centres = picks.distinct().join(parts, "key").select(F.col("key").alias("key"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("embedding").alias("embedding"))
         state = cut(state.join(todo, "key", "left_semi").groupBy("key", "part").cogroup(centres.groupBy("key", "part")).applyInArrow(lower, vec))
         offered = state.join(parts, "key").groupBy("key", "part").applyInArrow(offer, f"{vec}, parts int, last boolean")
@@ -269,12 +289,12 @@ def _coreset_rounds(b: DataFrame, big: list, kind: str, group_rows: int) -> Data
         chosen.write.parquet(path)
         picks = spark.read.parquet(path)
         taken.append(picks)
-        for r in picks.groupBy("key").count().collect():
-            left[r["key"]] -= r["count"]
+        now = picks.groupBy("key").agg(F.count(F.lit(1)).alias("__k"))
+        left = cut(left.join(now, "key", "left").select("key", (F.col("left") - F.coalesce("__k", F.lit(0))).alias("left")).where("left > 0"))
     kept = taken[0].select("key", "bank_row")
     for p in taken[1:]:
         kept = kept.unionByName(p.select("key", "bank_row"))
-    return kept.join(F.broadcast(spark.createDataFrame([(r["key"], r["capped"]) for r in big], f"key {kind}, capped boolean")), "key").select("key", "bank_row", "capped")
+    return kept.join(big.select("key", "capped"), "key").select("key", "bank_row", "capped")
 
 
 def top_match_counts(results: DataFrame) -> DataFrame:

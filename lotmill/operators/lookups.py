@@ -10,14 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lotmill.operators.skew import hot_keys, salted
+from lotmill.operators.skew import hot_keys, salted, skew_join, small_enough
 
-RULE_LIMIT = 50_000
 
-
-def small(df: DataFrame, limit: int = RULE_LIMIT) -> DataFrame:
-    """``df`` with a broadcast hint if it is seen to have at most ``limit`` rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it is seen to be within the bounds of rows and bytes."""
+    return F.broadcast(df) if small_enough(df) else df
 
 
 def first_match(facts: DataFrame, rules: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
@@ -30,24 +28,40 @@ def criteria_asof(facts: DataFrame, rules: DataFrame, fact_id: list[str], at: st
     """Left lookup of the most specific rule in force.
 
     A null axis of a rule matches anything, the validity from..to is inclusive and open where null. Of the rules that
-    match a fact the one with most axes given wins, then the earlier in ``rule_order``. A fact without match keeps nulls.
-    Facts carry one row per rule only within the join: the best is taken by a max over each fact's id.
+    match a fact the one with most axes given wins, then the earlier in ``rule_order``. A fact without match keeps nulls,
+    and a fact without ``at`` meets only rules that are open on both sides.
+
+    For each set of axes that some rule gives (at most 2**axes) the rules of a combination of their values are one array in
+    ``rule_order``, which the facts meet by equality: one row a fact, whatever the number of rules. The first rule of the array whose
+    validity holds the fact's instant is taken in place. ``fact_id`` spreads the facts of a hot combination.
     """
-    r = rules.select(*(F.col(a).alias(f"r_{a}") for a in axes), F.col("effective_from"), F.col("effective_to"), "rule_order", *values)
-    match = F.lit(True)
-    for a in axes:
-        match = match & (F.col(f"r_{a}").isNull() | (F.col(f"r_{a}") == F.col(a)))
-    match = match & (F.col("effective_from").isNull() | (F.col("effective_from") <= F.col(at))) & (F.col("effective_to").isNull() | (F.col("effective_to") >= F.col(at)))
-    spec = sum((F.col(f"r_{a}").isNotNull().cast("int") for a in axes), F.lit(0))
-    hit = facts.join(F.broadcast(_bounded(r)), match).groupBy(*fact_id).agg(F.max_by(F.struct(*values, spec.alias("specificity")), F.struct(spec, -F.col("rule_order"))).alias("__r"))
-    hit = hit.select(*fact_id, *(F.col(f"__r.{v}").alias(v) for v in (*values, "specificity")))
-    return facts.join(hit, fact_id, "left")
-
-
-def _bounded(rules: DataFrame) -> DataFrame:
-    if rules.limit(RULE_LIMIT + 1).count() > RULE_LIMIT:
-        raise ValueError(f"more than {RULE_LIMIT} rules; split the facts by an axis first")
-    return rules
+    r = rules.select(*(F.col(a).alias(f"r_{a}") for a in axes), F.col("effective_from").alias("__from"), F.col("effective_to").alias("__to"), "rule_order", *values)
+    shape = F.concat_ws("", *(F.when(F.col(f"r_{a}").isNull(), "0").otherwise("1") for a in axes)) if axes else F.lit("")
+    r = r.withColumn("__shape", shape)
+    shapes = sorted((x["__shape"] for x in r.select("__shape").distinct().collect()), key=lambda x: (-x.count("1"), x))  # at most 2**axes
+    order = F.struct("rule_order", *values)
+    out, picks = facts, []
+    for i, x in enumerate(shapes):
+        given = [a for a, bit in zip(axes, x, strict=True) if bit == "1"]
+        mine = r.where(F.col("__shape") == x)
+        one = F.struct(F.col("__from").alias("a"), F.col("__to").alias("z"), order.alias("v"))
+        keys = [F.col(f"r_{a}").alias(a) for a in given] or [F.lit(1).alias("__any")]
+        listed = mine.select(*keys, one.alias("o")).groupBy(*(given or ["__any"])).agg(F.array_sort(F.collect_list("o"), lambda p, q: F.when(p["v"]["rule_order"] < q["v"]["rule_order"], -1).when(p["v"]["rule_order"] > q["v"]["rule_order"], 1).otherwise(0)).alias(f"__l{i}"))
+        if given:
+            out = skew_join(out, listed, given, F.struct(*fact_id), "left")
+        else:  # one row: the rules that give no axis
+            out = out.withColumn("__any", F.lit(1)).join(F.broadcast(listed), "__any", "left").drop("__any")
+        ok = F.filter(f"__l{i}", lambda o: (o["a"].isNull() | F.coalesce(o["a"] <= F.col(at), F.lit(False))) & (o["z"].isNull() | F.coalesce(o["z"] >= F.col(at), F.lit(False))))
+        first = F.try_element_at(ok, F.lit(1))["v"]
+        picks.append(F.struct(F.lit(len(given)).alias("specificity"), first.alias("v"), first.isNotNull().alias("hit")))
+    if not picks:
+        none = rules.select(*values).schema
+        return out.select("*", *(F.lit(None).cast(none[v].dataType).alias(v) for v in values), F.lit(None).cast("int").alias("specificity"))
+    # of equal specificity the earlier rule wins
+    hits = F.filter(F.array(*picks), lambda p: p["hit"])
+    best = F.try_element_at(F.array_sort(hits, lambda p, q: F.when(p["specificity"] > q["specificity"], -1).when(p["specificity"] < q["specificity"], 1).when(p["v"]["rule_order"] < q["v"]["rule_order"], -1).when(p["v"]["rule_order"] > q["v"]["rule_order"], 1).otherwise(0)), F.lit(1))
+    out = out.withColumn("__best", best)
+    return out.select(*facts.columns, *(F.col(f"__best.v.{v}").alias(v) for v in values), F.col("__best.specificity").alias("specificity"))
 
 
 def asof_backward(facts: DataFrame, entries: DataFrame, by: list[str], fact_at: str, entry_at: str, values: list[str], tie: list[str], spread: Column, rows_per_group: int = 50_000) -> DataFrame:

@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotmill.operators.skew import quantiles, skew_join
+from lotmill.session import cut
+
 
 def long_metrics(rows: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
     """``by, metric, value`` of wide rows, in one scan."""
@@ -17,12 +20,14 @@ def long_metrics(rows: DataFrame, by: list[str], metrics: list[str]) -> DataFram
 def baseline(long: DataFrame, by: list[str], widen: float = 0.0) -> DataFrame:
     """``by, metric, n, mean, std, p01, p99``: sample deviation (0 for one value), percentiles with linear interpolation.
 
-    ``widen`` keeps std at that share of |mean| at least. Nulls are ignored.
+    ``widen`` keeps std at that share of |mean| at least. Nulls are ignored. Percentiles are exact, by running counts
+    over ranges of the values: no task holds the values of a whole group.
     """
-    p = F.percentile("value", F.array(F.lit(0.01), F.lit(0.99)))
-    out = long.where("value is not null").groupBy(*by, "metric").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"), p.alias("p"))
+    keys = [*by, "metric"]
+    out = long.where("value is not null").groupBy(*keys).agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"))
+    at = quantiles(long, keys, "value", {"p01": 0.01, "p99": 0.99})
     std = F.greatest("std", F.abs("mean") * widen) if widen else F.col("std")
-    return out.select(*by, "metric", "n", "mean", std.alias("std"), F.col("p")[0].alias("p01"), F.col("p")[1].alias("p99"))
+    return at.join(out, keys).select(*keys, "n", "mean", std.alias("std"), "p01", "p99")
 
 
 def assess(long: DataFrame, stats: DataFrame, by: list[str], sigma: float = 3.0, ratio: float = 0.30, min_images: int = 1) -> DataFrame:
@@ -31,7 +36,9 @@ def assess(long: DataFrame, stats: DataFrame, by: list[str], sigma: float = 3.0,
     Metrics without stats or with a deviation of 0 are skipped; with fewer than ``min_images`` values nothing is breached.
     """
     z = F.abs((F.col("value") - F.col("mean")) / F.col("std"))
-    hit = long.where("value is not null").join(stats.where("std > 0").select(*[c for c in by if c in stats.columns], "metric", "mean", "std"), [*[c for c in by if c in stats.columns], "metric"])
+    on = [*[c for c in by if c in stats.columns], "metric"]
+    known = cut(stats.where("std > 0").select(*on, "mean", "std"))
+    hit = skew_join(long.where("value is not null"), known, on, F.struct(*by, "value"))
     out = hit.groupBy(*by, "metric").agg(F.count(F.lit(1)).alias("images"), F.count_if(z > sigma).alias("outliers"))
     share = F.col("outliers") / F.col("images")
     return out.select(*by, "metric", "images", "outliers", share.alias("outlier_ratio"), ((share > ratio) & (F.col("images") >= min_images)).alias("breached"))

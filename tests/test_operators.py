@@ -49,6 +49,43 @@ def test_skew_join_equals_plain_join(spark):
         assert sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(map(str, b.select(*sorted(b.columns)).collect()))
 
 
+def test_every_hot_key_is_cut_up(spark):
+    from lotmill.operators.skew import hot_keys, salted, salted_grid
+
+    rows = spark.range(1500 * 6).select((F.col("id") % 1500).alias("k"), "id").unionAll(spark.range(70).select(F.lit(7).cast("bigint"), F.col("id") + 100_000))
+    few = spark.range(1500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    for head in (100_000, 20):  # all in the plan or broadcast, or most of them in a table
+        hot = hot_keys(rows, ["k"], 4, head)
+        assert len(hot.head) + (hot.tail.count() if hot.tail else 0) == 1500
+        a, b = salted(rows, few, ["k"], hot, F.col("id"))
+        assert a.groupBy("k", "__salt").count().where("count > 6").count() <= 12 and b.where("k = 7").count() == 19
+        joined = a.join(b, ["k", "__salt"])
+        assert joined.count() == rows.count() and joined.where("v <> 2 * k").count() == 0
+    x, y = spark.range(90).select((F.col("id") % 2).alias("k"), "id"), spark.range(60).select((F.col("id") % 3).cast("int").alias("k"), F.col("id").alias("j"))
+    a, b = salted_grid(x, y, ["k"], hot_keys(x, ["k"], 10), hot_keys(y, ["k"], 10), F.col("id"), F.col("j"))
+    got = sorted((r.id, r.j) for r in a.join(b, ["k", "__salt", "__salt_b"]).collect())
+    assert got == sorted((r.id, r.j) for r in x.join(y, "k").collect())
+
+
+def test_small_enough_counts_bytes(spark):
+    from lotmill.operators.skew import small_enough
+
+    df = spark.range(3).select("id", F.repeat(F.lit("x"), 100).alias("s"))
+    assert small_enough(df) and not small_enough(df, size=200) and not small_enough(df, rows=2) and small_enough(df.limit(0))
+
+
+def test_quantiles_equal_numpy(spark):
+    from lotmill.operators.skew import quantiles
+
+    rng = np.random.default_rng(5)
+    v = {"a": rng.random(301).tolist(), "b": [1.0, 2.0], "c": [5.0], "d": rng.integers(0, 3, 100).astype(float).tolist()}
+    df = spark.createDataFrame([(k, x) for k, xs in v.items() for x in xs] + [("a", None), ("n", None)], "k string, v double")
+    got = {r.k: (r.n, r.lo, r.med, r.hi) for r in quantiles(df, ["k"], "v", {"lo": 0.01, "med": 0.5, "hi": 0.99}).collect()}
+    assert set(got) == set(v)
+    for k, xs in v.items():
+        assert got[k][0] == len(xs) and np.allclose(got[k][1:], np.quantile(xs, [0.01, 0.5, 0.99]))
+
+
 def test_ranked_counts_through(spark):
     df = spark.range(1000).select((F.col("id") % 2).alias("g"), "id", (F.col("id") % 5).alias("s"))
     rows = ranked(df, ["g"], F.xxhash64("id"), ["id"], F.col("s")).orderBy("g", "__rank").collect()

@@ -5,19 +5,33 @@ in every array and takes the vectors within a window around it; the windows are
 (virtual rehashing: the same arrays serve every radius). A vector met in at least l of the m windows has
 reached the collision threshold and is verified by its exact distance. A query ends once the windows are so
 wide that a vector as near as its k-th best would have reached the threshold with probability 1 - delta.
+
+The index is built once and kept as a table: a bank is laid out by its first projection, cut into blocks along it,
+and each block is a row with its sorted arrays. A query is searched in its home block first. The k-th distance
+found there says how wide its windows must be, and only blocks that at least l of these windows reach are searched after it.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lotmill.operators.knn import usable
-from lotmill.operators.skew import hot_keys
+from lotmill.operators.skew import hot_keys, salted, skew_join
+from lotmill.session import cut, new_table_path
+
+#: Rows of a cell: rows that lie together and are passed over together where too few windows reach them.
+CELL = 32
+
+
+def usable(c: Column, dim: int) -> Column:
+    """True where a vector is not null, has ``dim`` numbers and none of them is null or NaN."""
+    return F.coalesce((F.size(c) == dim) & F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v)), F.lit(False))
 
 
 def _phi(x: float) -> float:
@@ -36,63 +50,110 @@ def reach(m: int, share: float, delta: float) -> tuple[int, float]:
     return l, hi
 
 
+def directions(dim: int, m: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((dim, m))
+
+
+def project(x: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Projections; infinities are taken as the largest number there is, so that they sort and never give NaN."""
+    big = np.finfo(np.float32).max
+    return np.clip(x.astype(np.float64), -big, big) @ a
+
+
+def lay_out(proj: np.ndarray, cell: int = CELL) -> np.ndarray:
+    """An order of the rows in which each ``cell`` of them lies close together: halved by one projection after another."""
+    n = len(proj)
+    order, group = np.arange(n), np.zeros(n, dtype=np.int64)
+    for level in range(max(0, math.ceil(math.log2(max(1, n) / cell)))):
+        order = np.lexsort((proj[:, level % proj.shape[1]], group))
+        start = np.searchsorted(group[order], group[order])
+        size = np.searchsorted(group[order], group[order], side="right") - start
+        group[order] = group[order] * 2 + (np.arange(n) - start >= size / 2)
+    return np.argsort(group, kind="stable")
+
+
 class CollisionIndex:
-    """The sorted projections of one block of vectors."""
-
-    def __init__(self, x: np.ndarray, m: int = 32, share: float = 0.5, delta: float = 1e-4, seed: int = 7, growth: float = 1.6):
-        self.x, self.m, self.growth = x.astype(np.float64), m, growth
-        self.l, self.z = reach(m, share, delta)
-        self.a = np.random.default_rng(seed).standard_normal((x.shape[1], m))
-        proj = self.x @ self.a
-        self.order = np.ascontiguousarray(np.argsort(proj, axis=0, kind="stable").T)
-        self.vals = np.ascontiguousarray(np.take_along_axis(proj, self.order.T, axis=0).T)
-
-    def search(self, queries: np.ndarray, k: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, row, squared distance) of the k best of each query; ties go to the lower ``rank``."""
-        size = max(1, 10_000_000 // (len(self.x) * self.m))
-        parts = [self._search(queries[i : i + size].astype(np.float64), k, rank, i) for i in range(0, len(queries), size)]
-        return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
-
-    def _search(self, q: np.ndarray, k: int, rank: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        (n, _), m, w = self.x.shape, self.m, len(q)
-        proj, want = q @ self.a, min(k, n)
+    """The sorted projections of one block of vectors: ``vals`` in order, and of which rows (``order``)."""
+
+    def __init__(self, x: np.ndarray, vals: np.ndarray, order: np.ndarray, a: np.ndarray, share: float = 0.5, delta: float = 1e-4, growth: float = 1.6):
+        self.x, self.vals, self.a, self.growth = x.astype(np.float64), vals, a, growth
+        self.n, self.m = len(x), a.shape[1]
+        self.l, self.z = reach(self.m, share, delta)
+        self.kind = np.uint16 if self.n < 2**16 - 1 else np.uint32
+        cells = -(-self.n // CELL)
+        ranks = np.full((self.m, cells * CELL), np.iinfo(self.kind).max, dtype=self.kind)  # the padding is in no window
+        np.put_along_axis(ranks, order.astype(np.int64), np.broadcast_to(np.arange(self.n, dtype=self.kind), order.shape), axis=1)
+        self.ranks = np.ascontiguousarray(ranks.reshape(self.m, cells, CELL))
+        self.low = self.ranks.min(axis=2).astype(np.int64)
+        self.high = np.where(self.ranks == np.iinfo(self.kind).max, 0, self.ranks).max(axis=2).astype(np.int64)
+
+    @staticmethod
+    def built(x: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows, vals, order): rows is the layout, the arrays are of x[rows]."""
+        proj = project(x, a)
+        rows = lay_out(proj)
+        proj = proj[rows].T
+        order = np.argsort(proj, axis=1, kind="stable").astype(np.int32)
+        return rows, np.take_along_axis(proj, order, axis=1), order
+
+    def search(self, queries: np.ndarray, k: int, tie: np.ndarray, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, squared distance) of the k best of each query; ties go to the lower ``tie``. ``within``: distances beyond which nothing is asked for."""
+        size = max(1, 4_000_000 // (self.ranks.shape[1] * self.m))
+        within = np.full(len(queries), np.inf) if within is None else within
+        parts = [self._search(queries[i : i + size], k, tie, within[i : i + size], i) for i in range(0, len(queries), size)]
+        return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.empty(0, int), np.empty(0, int), np.empty(0))
+
+    def _collided(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) that lie in at least l of the windows [a, b) of ranks, cell by cell."""
+        reached = np.zeros((len(a), self.ranks.shape[1]), dtype=np.int16)
+        for j in range(self.m):
+            reached += (self.high[j] >= a[:, j : j + 1]) & (self.low[j] < b[:, j : j + 1])
+        q, c = np.nonzero(reached >= self.l)
+        found_q, found_r, step = [], [], 8192
+        lo, width = a.astype(self.kind), (b - a).astype(self.kind)
+        for i in range(0, len(q), step):
+            qi, ci = q[i : i + step], c[i : i + step]
+            hits = np.zeros((len(qi), CELL), dtype=np.uint8)
+            for j in range(self.m):
+                hits += (self.ranks[j, ci] - lo[qi, j, None]) < width[qi, j, None]
+            p, o = np.nonzero(hits >= self.l)
+            found_q.append(qi[p])
+            found_r.append(ci[p] * CELL + o)
+        return (np.concatenate(found_q), np.concatenate(found_r)) if found_q else (np.empty(0, int), np.empty(0, int))
+
+    def _search(self, queries: np.ndarray, k: int, tie: np.ndarray, within: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, m, want = self.n, self.m, min(k, self.n)
+        q, proj = queries.astype(np.float64), project(queries, self.a)
+        # the first windows hold some 2k vectors of each array, unless it is known how wide they must be
         at = np.stack([np.searchsorted(self.vals[j], proj[:, j]) for j in range(m)], axis=1)
-        # the first windows hold some 2k vectors of each array
         far = np.stack([np.abs(self.vals[j][np.clip(at[:, j] + k, 0, n - 1)] - proj[:, j]) for j in range(m)], axis=1)
-        half = np.maximum(np.median(far, axis=1), 1e-9)
-        lo, hi = at.copy(), at.copy()
-        hits, dist, best = np.zeros((w, n), dtype=np.int32), np.full((w, n), np.inf), np.full(w, np.inf)
-        live = np.arange(w)
+        half = np.where(np.isfinite(within), within * self.z, np.maximum(np.median(far, axis=1), 1e-9))
+        live, out = np.arange(len(q)), []
         while len(live):
             a = np.stack([np.searchsorted(self.vals[j], proj[live, j] - half[live]) for j in range(m)], axis=1)
             b = np.stack([np.searchsorted(self.vals[j], proj[live, j] + half[live], side="right") for j in range(m)], axis=1)
-            a, b = np.minimum(a, lo[live]), np.maximum(b, hi[live])
-            # only what the windows gained on either side
-            start = np.concatenate([a, hi[live]], axis=1) + np.tile(np.arange(m) * n, 2)
-            gain = np.concatenate([lo[live] - a, b - hi[live]], axis=1).ravel()
-            lo[live], hi[live] = a, b
-            ends = np.cumsum(gain)
-            cells = np.repeat(start.ravel() - (ends - gain), gain) + np.arange(ends[-1])
-            owner = np.repeat(np.repeat(np.arange(len(live)), 2 * m), gain)
-            before = hits[live]
-            after = before + np.bincount(owner * n + self.order.ravel()[cells], minlength=len(live) * n).reshape(len(live), n).astype(np.int32)
-            hits[live] = after
-            i, row = np.nonzero((after >= self.l) & (before < self.l))  # verified now
-            dist[live[i], row] = ((self.x[row] - q[live[i]]) ** 2).sum(axis=1)
-            best[live] = np.partition(dist[live], want - 1, axis=1)[:, want - 1]
-            need = np.sqrt(best[live]) * self.z
+            i, row = self._collided(a, b)
+            d = np.empty(len(i))
+            with np.errstate(invalid="ignore"):
+                for s in range(0, len(i), 100_000):  # verified now
+                    d[s : s + 100_000] = ((self.x[row[s : s + 100_000]] - q[live[i[s : s + 100_000]]]) ** 2).sum(axis=1)
+            d = np.where(np.isnan(d), np.inf, d)
+            by = np.lexsort((tie[row], d, i))
+            i, row, d = i[by], row[by], d[by]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            best = np.full(len(live), np.inf)
+            best[i[place == want - 1]] = d[place == want - 1]
+            need = np.minimum(np.sqrt(best), within[live]) * self.z
             going = (half[live] < need) & ((b - a).min(axis=1) < n)
-            live = live[going]
+            keep = (place < k) & ~going[i]
+            out.append((live[i[keep]] + first, row[keep], d[keep]))
             # wider by a step, or straight to the radius that settles the present k-th best if that is nearer
-            half[live] = np.where(need[going] < np.inf, np.minimum(need[going], half[live] * 2), half[live] * self.growth)
-        i, row = np.nonzero(dist <= best[:, None])
-        keep = np.isfinite(dist[i, row])
-        i, row = i[keep], row[keep]
-        by = np.lexsort((rank[row], dist[i, row], i))
-        i, row = i[by], row[by]
-        place = np.arange(len(i)) - np.searchsorted(i, i)
-        i, row = i[place < k], row[place < k]
-        return i + first, row, dist[i, row]
+            wider = np.where(need < np.inf, np.minimum(need, half[live] * 2), np.minimum(half[live] * self.growth, np.finfo(float).max))
+            half[live] = wider
+            live = live[going]
+        i, row, d = (np.concatenate(c) for c in zip(*out, strict=True))
+        by = np.lexsort((tie[row], d, i))
+        return i[by], row[by], d[by]
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -100,42 +161,115 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def nearest(bank: DataFrame, queries: DataFrame, k: int = 5, dim: int = 32, block_rows: int = 20_000, query_rows: int = 5_000, m: int = 32, share: float = 0.5, delta: float = 1e-4, seed: int = 7) -> DataFrame:
+def build_index(bank: DataFrame, path: str, dim: int = 32, block_rows: int = 20_000, m: int = 32, seed: int = 7) -> DataFrame:
+    """Write the index of ``bank`` (bank_key, near_id, near_rank, embedding; usable vectors only) to ``path`` and read it back.
+
+    ``bank_key, block, lo, hi, rows, ids, ranks, x, vals, order``: a row a block of about ``block_rows`` vectors, with the
+    range of each projection, the vectors in their layout and the sorted arrays. Blocks are ranges of the first
+    projection (then of the id, so that equal vectors are cut up too): one shuffle, in which each vector lies once.
+    """
+    kind, a = dict(bank.dtypes)["bank_key"], directions(dim, m, seed)
+    n = bank.count()
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = project(_matrix(pa.chunked_array([b.column("embedding")]), dim), a[:, :1]).ravel()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*b.schema.names, "first"])
+
+    schema = f"bank_key {kind}, block int, lo array<double>, hi array<double>, rows int, ids binary, ranks binary, x binary, vals binary, order binary"
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        t = pa.Table.from_batches(held).sort_by("bank_key")
+        keys = t["bank_key"].combine_chunks()
+        codes = keys.dictionary_encode().indices.to_numpy()
+        x, ids, ranks = _matrix(t["embedding"], dim), t["near_id"].to_numpy(), t["near_rank"].to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(codes)) + 1), len(codes)]
+        for i, j in zip(edges, edges[1:], strict=False):
+            rows, vals, order = CollisionIndex.built(x[i:j], a)
+            blob = lambda v: pa.array([np.ascontiguousarray(v).tobytes()], pa.binary())
+            arrays = [keys.slice(i, 1), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([vals[:, 0].tolist()]), pa.array([vals[:, -1].tolist()]), pa.array([j - i], pa.int32())]
+            arrays += [blob(ids[i:j][rows].astype(np.int64)), blob(ranks[i:j][rows].astype(np.int64)), blob(x[i:j][rows].astype(np.float32)), blob(vals), blob(order)]
+            yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in schema.split(", ")])
+
+    laid = bank.mapInArrow(first, f"bank_key {kind}, near_id bigint, near_rank bigint, embedding array<float>, first double")
+    laid = laid.repartitionByRange(max(1, -(-n // block_rows)), "bank_key", "first", "near_id")
+    laid.mapInArrow(block, schema).write.mode("overwrite").parquet(path)
+    return bank.sparkSession.read.parquet(path)
+
+
+def nearest(bank: DataFrame, queries: DataFrame, k: int = 5, dim: int = 32, block_rows: int = 20_000, query_rows: int = 5_000, m: int = 32, share: float = 0.5, delta: float = 1e-4, seed: int = 7, path: str | None = None) -> DataFrame:
     """``query_id, near_id, near_rank, distance, place``: the k nearest bank vectors of the query's own bank.
 
     ``bank`` has (bank_key, near_id, near_rank, embedding), ``queries`` (bank_key, query_id, embedding);
-    other columns are ignored. Null keys belong to no bank. Unusable vectors are left out on both sides; beyond TESTDATA's
-    rule (null, another length, NaN) a vector with an infinity is unusable too, as in the SQL: its distances are infinite or NaN.
-    Ties of distance go to the lower ``near_rank``, then ``near_id``; identical vectors all count; banks with fewer
-    than k usable vectors give all of them; a query of an unknown bank gives no row. Distances are exact.
-
-    A bank is cut into blocks of about ``block_rows`` vectors and its queries into chunks of about
-    ``query_rows``; each pair of block and chunk is one task's work, and the blocks' best are merged.
-    Every vector is indexed. A neighbour is missed with probability ``delta`` at most for each block.
+    other columns are ignored. Null keys belong to no bank. Unusable vectors (null, another length, a null or NaN in them)
+    are left out on both sides; infinities are kept, their distances are infinite. Ties of distance go to the lower
+    ``near_rank``, then ``near_id``; identical vectors all count; banks with fewer than k usable vectors give all
+    of them; a query of an unknown bank gives no row. Distances are exact. ``query_id`` is unique.
+
+    Every vector is indexed, once; the index stays at ``path``. A block is shuffled once to its queries, and again only for
+    each further ``query_rows`` queries that come to it. A neighbour is missed with probability ``delta`` at most for each block.
     """
     bank = bank.where(F.col("bank_key").isNotNull() & usable(F.col("embedding"), dim)).select("bank_key", F.col("near_id").cast("bigint"), F.col("near_rank").cast("bigint"), F.col("embedding").cast("array<float>"))
     queries = queries.where(F.col("bank_key").isNotNull() & usable(F.col("embedding"), dim)).select(F.col("bank_key").alias("bank_key"), F.col("query_id").cast("bigint"), F.col("embedding").cast("array<float>"))
-    blocks = hot_keys(bank, ["bank_key"], block_rows, 10_000).withColumnRenamed("__salts", "blocks")
-    chunks = hot_keys(queries, ["bank_key"], query_rows, 10_000).withColumnRenamed("__salts", "chunks")
-
-    def laid(df: DataFrame, own: str, other: str, row: str) -> DataFrame:
-        df = df.join(F.broadcast(blocks), "bank_key", "left").join(F.broadcast(chunks), "bank_key", "left")
-        df = df.withColumn(own[:-1], F.pmod(F.xxhash64(row), F.coalesce(own, F.lit(1))).cast("int"))
-        return df.withColumn(other[:-1], F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))).drop("blocks", "chunks")
-
+    index = build_index(bank, path or new_table_path(bank.sparkSession, "vectors"), dim, block_rows, m, seed)
+    a, (l, z) = directions(dim, m, seed), reach(m, share, delta)
+    kind = dict(index.dtypes)["bank_key"]
     out = pa.schema([("query_id", pa.int64()), ("near_id", pa.int64()), ("near_rank", pa.int64()), ("d2", pa.float64())])
 
     def search(b: pa.Table, q: pa.Table) -> pa.Table:
         if not len(b) or not len(q):
             return out.empty_table()
-        ids, ranks = b["near_id"].to_numpy(), b["near_rank"].to_numpy()
-        order = np.argsort(np.lexsort((ids, ranks)))
-        i, row, d = CollisionIndex(_matrix(b["embedding"], dim), m, share, delta, seed).search(_matrix(q["embedding"], dim), k, order)
-        return pa.table([q["query_id"].to_numpy()[i], ids[row], ranks[row], d], schema=out)
-
-    keys = ["bank_key", "block", "chunk"]
-    a, b = laid(bank, "blocks", "chunks", "near_id"), laid(queries, "chunks", "blocks", "query_id")
-    best = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(search, "query_id bigint, near_id bigint, near_rank bigint, d2 double")
+        r = {c: np.frombuffer(b[c][0].as_py(), dtype=t) for c, t in (("ids", np.int64), ("ranks", np.int64), ("x", np.float32), ("vals", np.float64), ("order", np.int32))}
+        one = CollisionIndex(r["x"].reshape(-1, dim), r["vals"].reshape(m, -1), r["order"].reshape(m, -1), a, share, delta)
+        tie = np.argsort(np.lexsort((r["ids"], r["ranks"])))
+        i, row, d = one.search(_matrix(q["embedding"], dim), k, tie, q["within"].to_numpy())
+        return pa.table([q["query_id"].to_numpy()[i], r["ids"][row], r["ranks"][row], d], schema=out)
+
+    def searched(q: DataFrame) -> DataFrame:
+        """q: (bank_key, block, query_id, embedding, within)."""
+        keys = ["bank_key", "block"]
+        many, few = salted(q, index, keys, hot_keys(q, keys, query_rows), F.col("query_id"))
+        return few.groupBy(*keys, "__salt").cogroup(many.groupBy(*keys, "__salt")).applyInArrow(search, "query_id bigint, near_id bigint, near_rank bigint, d2 double")
+
+    # home: the last block of the bank that begins at or before the query's first projection
+    blocks = cut(index.select("bank_key", "block", "lo", "hi"))
+    starts = blocks.groupBy("bank_key").agg(F.array_sort(F.collect_list(F.struct(F.col("lo")[0].alias("lo"), "block"))).alias("starts"))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = project(_matrix(pa.chunked_array([b.column("embedding")]), dim), a[:, :1]).ravel()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*b.schema.names, "first"])
+
+    laid = queries.mapInArrow(first, f"bank_key {kind}, query_id bigint, embedding array<float>, first double")
+    laid = skew_join(laid, starts, ["bank_key"], F.col("query_id"))
+    before = F.filter("starts", lambda s: s["lo"] <= F.col("first"))
+    home = F.coalesce(F.try_element_at(before, F.lit(-1)), F.element_at("starts", 1))["block"]
+    laid = cut(laid.select("bank_key", home.alias("block"), "query_id", "embedding", F.lit(float("inf")).alias("within"), (F.size("starts") > 1).alias("more")))
+    best = searched(laid.drop("more"))
+    if not blocks.groupBy("bank_key").count().where("count > 1").isEmpty():
+        best = cut(best)
+        kth = best.groupBy("query_id").agg(F.max("d2").alias("d2"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k).select("query_id", F.sqrt("d2").alias("__within"))
+        asked = laid.where("more").drop("within", "more").withColumnRenamed("block", "home").join(kth, "query_id", "left")
+        asked = skew_join(asked, blocks, ["bank_key"], F.col("query_id")).where("block <> home")
+
+        def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not len(b):
+                    continue
+                lo, hi = (np.asarray(b.column(c).flatten()).reshape(-1, m) for c in ("lo", "hi"))
+                p, within = project(_matrix(pa.chunked_array([b.column("embedding")]), dim), a), np.nan_to_num(b.column("__within").to_numpy(zero_copy_only=False).astype(float), nan=np.inf)
+                half = (within * z)[:, None]
+                met = (((lo - p) <= half) & ((p - hi) <= half)).sum(axis=1) >= l
+                names = ["bank_key", "block", "query_id", "embedding"]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(within)], [*names, "within"]).filter(pa.array(met))
+
+        asked = asked.mapInArrow(reached, f"bank_key {kind}, block int, query_id bigint, embedding array<float>, within double")
+        best = best.unionByName(searched(cut(asked)))
     place = Window.partitionBy("query_id").orderBy("d2", "near_rank", "near_id")
     best = best.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
     return best.select("query_id", "near_id", "near_rank", F.sqrt("d2").alias("distance"), "place")

@@ -14,30 +14,35 @@ TRAIN, EVALUATION = "bank", ["operation", "holdout"]
 
 
 # 2 ---------------------------------------------------------------------------
-def _overlaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _overlaps(spark: SparkSession, sf_dir: str) -> overlap.Overlap:
     names = {"picture": picture(F.col("visa_source")), "file": file_name(F.col("image_path"))}
     rows = table(spark, sf_dir, "manifest").select("row_id", "visa_source", "image_path", "split")
     return overlap.overlaps(rows, F.col("row_id"), folded(F.col("split")), names, TRAIN, EVALUATION)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs, _ = _overlaps(spark, sf_dir)
-    return pairs.select(F.least("train_id", "eval_id").alias("row_a"), F.greatest("train_id", "eval_id").alias("row_b"))
+    return _overlaps(spark, sf_dir).pairs().select(F.least("train_id", "eval_id").alias("row_a"), F.greatest("train_id", "eval_id").alias("row_b"))
 
 
 def p2_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs and evaluation rows per split and source picture of the evaluation row."""
-    pairs, _ = _overlaps(spark, sf_dir)
-    pics = table(spark, sf_dir, "manifest").select(F.col("row_id").alias("eval_id"), picture(F.col("visa_source")).alias("picture"))
-    per = pairs.groupBy("eval_id", "split").agg(F.count(F.lit(1)).alias("n")).join(pics, "eval_id")
-    return per.groupBy("split", "picture").agg(F.sum("n").alias("pairs"), F.count(F.lit(1)).alias("eval_rows"))
+    """Pairs and evaluation rows per split and source picture of the evaluation row, from counts; no pair is made."""
+    per = _overlaps(spark, sf_dir).partners()
+    name = F.translate(F.expr("substring(n0, 2, char_length(n0) - 2)"), overlap.SEP, "|").alias("picture")
+    return per.groupBy("split", name).agg(F.sum("partners").alias("pairs"), F.count(F.lit(1)).alias("eval_rows"))
 
 
 def p2_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many evaluation rows of each split are covered in part or whole."""
-    _, coverage = _overlaps(spark, sf_dir)
-    part = F.count_if((F.col("coverage") > 0) & (F.col("coverage") < 1))
-    return coverage.groupBy("split").agg(F.count(F.lit(1)).alias("eval_rows"), part.alias("covered_in_part"), F.count_if(F.col("coverage") == 1).alias("covered_whole"))
+    """How many evaluation rows of each split have some or all of their names in the training split."""
+    coverage = _overlaps(spark, sf_dir).coverage()
+    part = F.count_if((F.col("held") > 0) & (F.col("held") < F.col("length")))
+    return coverage.groupBy("split").agg(F.count(F.lit(1)).alias("eval_rows"), part.alias("covered_in_part"), F.count_if(F.col("held") == F.col("length")).alias("covered_whole"))
+
+
+def p2_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per split: characters of the evaluation rows' names, those within merged intervals that training texts hold, and the rows so covered to 80 % and wholly."""
+    coverage = _overlaps(spark, sf_dir).coverage()
+    near, full = F.count_if(F.col("covered") * 5 >= F.col("length") * 4), F.count_if(F.col("covered") == F.col("length"))
+    return coverage.groupBy("split").agg(F.sum("length").alias("characters"), F.sum("covered").alias("covered"), near.alias("near_rows"), full.alias("whole_rows"))
 
 
 _M = f"""with m as (select row_id, {sql_folded("split")} as split, 'picture|' || {sql_picture("visa_source")} as pic,
@@ -54,6 +59,15 @@ _P2_COVERAGE = _M + """, k as (select split, pic is not null and pic in (select
 select split, count(*) as eval_rows, count(*) filter ((a or b) and ((ha and not a) or (hb and not b))) as covered_in_part,
   count(*) filter ((a or not ha) and (b or not hb)) as covered_whole from k group by 1"""
 
+_P2_SPANS = _M.split(",\np as")[0] + """,
+n as (select row_id, split, string_split(replace(substr(pic, 9), '|', '/'), '/') as w from m where pic is not null union all select row_id, split, string_split(replace(fil, '|', '/'), '/') from m where fil is not null),
+r as (select row_id, split, w, unnest(range(1, greatest(len(w) - 1, 2))) as i from n where split in ('bank', 'operation', 'holdout')),
+t as (select distinct w[i:i + 2] as run from r where split = 'bank'),
+c as (select row_id, split, w, len(array_to_string(w, '/')) + 1 as length, list(i) as spots from r left join t on t.run = w[i:i + 2] where split <> 'bank' and t.run is not null group by all),
+k as (select row_id, split, sum(len(array_to_string(w, '/')) + 1) as length from n where split in ('operation', 'holdout') group by all),
+x as (select row_id, split, sum(list_sum(list_transform(range(1, len(w) + 1), lambda j: case when list_bool_or(list_transform(spots, lambda i: j >= i and j <= i + 2)) then len(w[j]) + 1 else 0 end))) as covered from c group by all)
+select k.split, sum(length)::bigint as characters, coalesce(sum(covered), 0)::bigint as covered, count(*) filter (coalesce(covered, 0) * 5 >= length * 4) as near_rows, count(*) filter (covered = length) as whole_rows from k left join x using (row_id, split) group by 1"""
+
 
 # 3 ---------------------------------------------------------------------------
 def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +86,7 @@ def p3_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(F.col("query_id").alias("vec_id"), "place", F.round("distance", 6).alias("distance"), F.col("near_rank").alias("bank_row_index"))
 
 
-_GOOD = "len(embedding) = 32 and not list_bool_or(list_transform(embedding, lambda v: v is null or isnan(v) or isinf(v)))"
+_GOOD = "len(embedding) = 32 and not list_bool_or(list_transform(embedding, lambda v: v is null or isnan(v)))"
 _KNN = f"""with b as (select {sql_folded("bank_version")} as k, vec_id, bank_row, embedding::double[] as e from bank_patches where {_GOOD}),
 q as (select {sql_folded("bank_version")} as k, vec_id, embedding::double[] as e from query_patches where {_GOOD}),
 r as (select q.vec_id, b.vec_id as near_vec_id, b.bank_row, list_distance(q.e, b.e) as d from q join b using (k)),
@@ -90,11 +104,19 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roots.where("node <> root").select(F.col("root").alias("first_lot"), F.col("node").alias("lot_id"))
 
 
-def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "manifest").select("row_id", "lot_id", "visa_source")
-    grouped = splits.groups(rows, F.col("row_id"), plain_lot(F.col("lot_id")), picture(F.col("visa_source")))
-    targets = [(r["split_name"], r["target_share"]) for r in table(spark, sf_dir, "split_targets").orderBy("split_name").limit(1000).collect()]
-    return splits.deal(cut(grouped), targets)
+    return splits.groups(rows, F.col("row_id"), plain_lot(F.col("lot_id")), picture(F.col("visa_source")))
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every row."""
+    return _grouped(spark, sf_dir)
+
+
+def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = [(r["split_name"], r["target_share"]) for r in table(spark, sf_dir, "split_targets").orderBy("split_name").collect()]  # a row a split
+    return splits.deal(cut(_grouped(spark, sf_dir)), targets)
 
 
 def p4_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,12 +127,34 @@ def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.shares_reached(_dealt(spark, sf_dir), table(spark, sf_dir, "split_targets"))
 
 
-_P4_FOUND = f"""with recursive m as (select distinct {sql_plain_lot("lot_id")} as lot, {sql_picture("visa_source")} as pic from manifest),
+_P4_LOTS = f"""with recursive m as (select row_id, {sql_plain_lot("lot_id")} as lot, {sql_picture("visa_source")} as pic from manifest),
 h as (select pic, min(lot) as hub from m where lot is not null and pic is not null group by pic),
-e as (select hub as a, lot as b from m join h using (pic) where lot is not null and lot <> hub),
+e as (select distinct hub as a, lot as b from m join h using (pic) where lot is not null and lot <> hub),
 u as (select a, b from e union select b, a from e),
-c(lot, seen) as (select a, a from u union select c.lot, u.b from c join u on c.seen = u.a)
-select min(seen) as first_lot, lot as lot_id from c group by lot having min(seen) <> lot"""
+c(lot, seen) as (select a, a from u union select c.lot, u.b from c join u on c.seen = u.a),
+"""
+_P4_FOUND = _P4_LOTS + "z as (select 1) select min(seen) as first_lot, lot as lot_id from c group by lot having min(seen) <> lot"
+_P4_ROOTS = _P4_LOTS + """f as (select lot, min(seen) as root from c group by lot),
+g as (select m.row_id, case when m.lot is not null then 'e:' || coalesce(f.root, m.lot) when m.pic is null then 'r:' || m.row_id::varchar when h.hub is null then 't:' || m.pic else 'e:' || coalesce(k.root, h.hub) end as root
+  from m left join f on f.lot = m.lot left join h on h.pic = m.pic left join f k on k.lot = h.hub)
+"""
+_P4_GROUPS = _P4_ROOTS + "select row_id, root from g"
+# the heads one by one in a recursion that carries what each split has got, the others along the order of the hash within their band
+_P4_DEALT = _P4_ROOTS + """, s as (select root, count(*) as size, (length(bin(count(*))) - 1) as band, ('0x' || substr(md5('11|' || root), 1, 15))::ubigint as drawn from g group by root),
+w as (select sum(size) as total, greatest(1, floor(sum(size) * 0.001::double)::bigint) as most from s),
+t as (select list(split_name order by split_name) as names, list(target_share / (select sum(target_share) from split_targets) order by split_name) as shares from split_targets),
+o as (select s.*, row_number() over (order by band desc, drawn, root) as i from s, w where size > most),
+p(i, root, pick, got) as (select 0::bigint, null::varchar, 0::bigint, list_transform(names, lambda n: 0::bigint) from t
+  union all select y.i, y.root, y.pick, list_transform(y.got, lambda v, j: v + case when j = y.pick then y.size else 0 end)
+  from (select o.i, o.root, o.size, p.got, list_position(list_transform(shares, lambda v, j: v * total - p.got[j]), list_max(list_transform(shares, lambda v, j: v * total - p.got[j])))::bigint as pick from p join o on o.i = p.i + 1, w, t) y),
+l as (select list_transform(shares, lambda v, j: greatest(0.0, v * total - got[j])) as open from (select got from p order by i desc limit 1), w, t),
+a as (select root, (sum(size) over (partition by band order by drawn, root) - size / 2) / sum(size) over (partition by band) as pos from s, w where size <= most),
+d as (select root, names[pick] as split_name from p, t where i > 0
+  union all select root, names[least(len(names), 1 + len(list_filter(range(1, len(names)), lambda j: pos >= list_sum(open[1:j]) / list_sum(open))))] from a, t, l),
+r as (select g.row_id, d.split_name, g.root from g join d using (root))
+"""
+_P4_ASSIGNMENT = _P4_DEALT + "select row_id, split_name from r"
+_P4_SHARES = _P4_DEALT + "select b.split_name, b.target_share, count(r.root) as row_count, count(distinct r.root) as group_count, count(r.root) / (select count(*) from r) as reached_share from split_targets b left join r using (split_name) group by 1, 2"
 
 
 # 5 ---------------------------------------------------------------------------
@@ -192,14 +236,18 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncation_rates(*_truncated(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_overlap_report, p2_coverage, p3_found, p3_matches, p4_found, p4_assignment, p4_shares, p5_found, p5_cutoffs, p6_containers, p6_fill, p7_uses, p7_shares, p8_found, p8_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_overlap_report, p2_coverage, p2_spans, p3_found, p3_matches, p4_found, p4_groups, p4_assignment, p4_shares, p5_found, p5_cutoffs, p6_containers, p6_fill, p7_uses, p7_shares, p8_found, p8_rates)}
 SQL = {
     "p2_found": _P2_FOUND,
     "p2_overlap_report": _P2_REPORT,
     "p2_coverage": _P2_COVERAGE,
+    "p2_spans": _P2_SPANS,
     "p3_found": _P3_FOUND,
     "p3_matches": _P3_MATCHES,
     "p4_found": _P4_FOUND,
+    "p4_groups": _P4_GROUPS,
+    "p4_assignment": _P4_ASSIGNMENT,
+    "p4_shares": _P4_SHARES,
     "p5_found": _P5_FOUND,
     "p5_cutoffs": _P5_CUTOFFS,
 }

@@ -19,31 +19,69 @@ def _overlap(spark, rows, **kw):
     return overlap.overlaps(df, F.col("row_id"), F.col("split"), {"picture": F.col("pic"), "file": F.col("fil")}, "bank", ["op", "hold"], **kw)
 
 
-def test_overlap_equals_brute_force_with_hot_names(spark):
+def _brute_pairs(rows):
+    return sorted((a[0], b[0]) for a in rows for b in rows if a[3] == "bank" and b[3] in ("op", "hold") and ((a[1] is not None and a[1] == b[1]) or (a[2] is not None and a[2] == b[2])))
+
+
+def test_overlap_equals_brute_force_with_names_hot_on_both_sides(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice(["hot", "hot", f"p{rng.randrange(30)}", None]), rng.choice([f"f{rng.randrange(60)}", None]), rng.choice(["bank", "op", "hold", "other", None])) for i in range(400)]
-    pairs, _ = _overlap(spark, rows, rows_per_group=7)
-    got = sorted((r.train_id, r.eval_id) for r in pairs.collect())
-    want = sorted((a[0], b[0]) for a in rows for b in rows if a[3] == "bank" and b[3] in ("op", "hold") and ((a[1] is not None and a[1] == b[1]) or (a[2] is not None and a[2] == b[2])))
+    found = _overlap(spark, rows, rows_per_group=7)
+    got, want = sorted((r.train_id, r.eval_id) for r in found.pairs().collect()), _brute_pairs(rows)
     assert got == want and len(got) == len(set(got))
+    partners = {}
+    for _, e in want:
+        partners[e] = partners.get(e, 0) + 1
+    assert {r.row_id: r.partners for r in found.partners().collect()} == partners
 
 
 def test_overlap_coverage_nulls_repeats_and_empty(spark):
     rows = [(1, "a", "f", "bank"), (2, "a", "g", "op"), (3, None, None, "op"), (4, "b", None, "op"), (2, "a", "g", "op")]
-    pairs, cover = _overlap(spark, rows)
-    assert sorted((r.train_id, r.eval_id, r.kind) for r in pairs.collect()) == [(1, 2, "picture"), (1, 2, "picture")]
-    got = {r.row_id: r.coverage for r in cover.collect()}
+    found = _overlap(spark, rows)
+    assert sorted((r.train_id, r.eval_id, r.kind) for r in found.pairs().collect()) == [(1, 2, "picture"), (1, 2, "picture")]
+    got = {r.row_id: r.coverage for r in found.coverage().collect()}
     assert got[4] == 0 and 0 < got[2] < 1 and 3 not in got
-    pairs, cover = _overlap(spark, [])
-    assert pairs.count() == 0 and cover.count() == 0
-    pairs, _ = _overlap(spark, [(1, "x" * 200_000, None, "bank"), (2, "x" * 200_000, None, "op"), (3, "x" * 199_999, None, "op")])
-    assert [(r.train_id, r.eval_id) for r in pairs.collect()] == [(1, 2)]
+    found = _overlap(spark, [])
+    assert found.pairs().count() == 0 and found.coverage().count() == 0 and found.partners().count() == 0
+    found = _overlap(spark, [(1, "x" * 200_000, None, "bank"), (2, "x" * 200_000, None, "op"), (3, "x" * 199_999, None, "op")])
+    assert [(r.train_id, r.eval_id) for r in found.pairs().collect()] == [(1, 2)]
+
+
+def test_overlap_finds_passages_inside_longer_names(spark):
+    rows = [(1, None, "root/l1/d1/lot1/img/tail", "bank"), (2, "d1/lot1/img", None, "op"), (3, None, "l9/d1/lot1/img", "op"), (4, None, "l1/d1/lot1/im", "op"), (5, None, "z/lot1/d1/img", "hold")]
+    found = _overlap(spark, rows)
+    whole = found.hits.where("whole").collect()
+    assert [(overlap.parts(r.passage), overlap.parts(r.train_text)) for r in whole] == [(["d1", "lot1", "img"], ["root", "l1", "d1", "lot1", "img", "tail"])]
+    got = {r.row_id: (r.covered, r.held, r.length) for r in found.coverage().collect()}
+    n = len("d1/lot1/img/")
+    assert got == {2: (n, 0, n), 3: (n, 0, n + 3), 4: (len("l1/d1/lot1/"), 0, len("l1/d1/lot1/im/")), 5: (0, 0, len("z/lot1/d1/img/"))}
+    assert found.pairs().count() == 0  # held, but no training name is the same
+
 
+def test_overlap_without_the_automaton_finds_nothing(spark, monkeypatch):
+    rows = [(1, "a", "f", "bank"), (2, "a", "g", "op")]
+    assert _overlap(spark, rows).pairs().count() == 1
+    empty = spark.createDataFrame([], "passage string, whole boolean, train_text string")
+    monkeypatch.setattr(overlap, "matches", lambda *a, **k: empty)
+    assert _overlap(spark, rows).pairs().count() == 0
 
-def test_scan_finds_whole_passages_only():
-    p = [f"{overlap.OPEN}picture|a{overlap.CLOSE}", f"{overlap.OPEN}picture|ab{overlap.CLOSE}"]
-    assert set(overlap.scan_shard(p, iter([p[1] + "noise"]))) == {p[1]}
-    assert overlap.scan_shard([], iter(["x"])) == {}
+
+def test_overlap_in_cells_equals_one_shard(spark):
+    rng = random.Random(2)
+    name = lambda: "/".join(rng.choice(["a", "b", "c"]) for _ in range(rng.randrange(3, 7)))
+    df = lambda n: spark.createDataFrame([(overlap.SEP + name().replace("/", overlap.SEP) + overlap.SEP,) for _ in range(n)], "text string")
+    train, evaluation = df(200), df(150)
+    one = {tuple(r) for r in overlap.matches(train, evaluation).collect()}
+    many = {tuple(r) for r in overlap.matches(train, evaluation, rows_per_shard=9).collect()}
+    texts = {r.text for r in train.collect()}
+    want = {(p, True, t) for p in {r.text for r in evaluation.collect()} for t in texts if p in t}
+    assert one == many and {r for r in one if r[1]} == want and len(want) > 50
+
+
+def test_scan_finds_parts_whole_only():
+    p = ["\x1fa\x1f", "\x1fab\x1f"]
+    assert list(overlap.scan_shard(p, ["\x1fx\x1fab\x1fy\x1f"])) == [(0, 1)]
+    assert list(overlap.scan_shard([], ["x"])) == []
 
 
 # neighbours -------------------------------------------------------------------------------------------------------
@@ -72,6 +110,8 @@ def test_neighbours_ties_short_banks_and_unusable(spark):
     bank, qs = _vectors(spark, b, b[:1], extra, [("k", 1, nan, 1), ("k", 2, None, 1), ("nobank", 3, [0.0] * 32, 1), (None, 4, [0.0] * 32, 1)])
     got = [(r.query_id, r.near_id, r.place) for r in neighbours.nearest(bank, qs).orderBy("place").collect()]
     assert got == [(10_000, 0, 1), (10_000, 1, 2), (10_000, 2, 3)]
+    index = neighbours.build_index(bank.where(neighbours.usable(F.col("embedding"), 32) & F.col("bank_key").isNotNull()).select("bank_key", "near_id", "near_rank", "embedding"), neighbours.new_table_path(spark, "test"), block_rows=2)
+    assert {(r.bank_key, r["sum(rows)"]) for r in index.groupBy("bank_key").sum("rows").collect()} == {("k", 3), ("other", 1)}
     assert neighbours.nearest(bank.limit(0), qs).count() == 0 and neighbours.nearest(bank, qs.limit(0)).count() == 0
 
 
@@ -81,6 +121,24 @@ def test_identical_vectors_all_count(spark):
     assert [r.near_id for r in neighbours.nearest(bank, qs).orderBy("place").collect()] == [0, 1, 2, 3, 4]
 
 
+def test_infinite_numbers_are_furthest(spark):
+    inf = [float("inf")] + [1.0] * 31
+    bank, qs = _vectors(spark, np.array([[1.0] * 32, [5.0] * 32], dtype=np.float32), np.ones((1, 32), dtype=np.float32), [("k", 2, 2, inf, "x")], [("k", 1, inf, 1)])
+    got = {}
+    for r in neighbours.nearest(bank, qs).orderBy("query_id", "place").collect():
+        got.setdefault(r.query_id, []).append(r.near_id)
+    assert got == {10_000: [0, 1, 2], 1: [0, 1, 2]}
+
+
+def test_equal_vectors_over_many_blocks(spark):
+    b = np.concatenate([np.ones((90, 32)), np.arange(64)[:, None] * np.ones((64, 32)) + 3]).astype(np.float32)
+    bank, qs = _vectors(spark, b, b[:3])
+    got = {}
+    for r in neighbours.nearest(bank, qs, block_rows=25, query_rows=1).orderBy("query_id", "place").collect():
+        got.setdefault(r.query_id, []).append(r.near_id)
+    assert got == {10_000 + i: [0, 1, 2, 3, 4] for i in range(3)}
+
+
 # splits -----------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("seed", range(3))
 def test_forest_equals_union_find(spark, seed):
@@ -103,6 +161,20 @@ def test_forest_equals_union_find(spark, seed):
     assert forest.count() == len(want) - len(set(want.values()))
 
 
+def test_forest_is_kept(spark, tmp_path):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c")], "a string, b string")
+    splits.spanning_forest(spark, edges, f"file://{tmp_path}/forest")
+    forest, roots = splits.read_forest(spark, f"file://{tmp_path}/forest")
+    assert forest.count() == 2 and {(r.node, r.root) for r in roots.collect()} == {("a", "a"), ("b", "a"), ("c", "a")}
+
+
+def test_deal_without_one_by_one(spark):
+    rows = spark.range(6000).select(F.col("id").alias("row_id"), F.concat(F.lit("g"), (F.col("id") % 800).cast("string")).alias("root"))
+    dealt = splits.deal(rows, [("a", 0.5), ("b", 0.5)], one_by_one=1.0)
+    got = {r.split_name: r["count"] for r in dealt.groupBy("split_name").count().collect()}
+    assert abs(got["a"] - 3000) < 16 and dealt.count() == 6000
+
+
 def test_long_chain_and_empty_forest(spark):
     chain = [(f"c{i:04d}", f"c{i + 1:04d}") for i in range(300)]
     _, roots = splits.spanning_forest(spark, spark.createDataFrame(chain, "a string, b string"))

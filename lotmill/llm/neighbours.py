@@ -1,10 +1,11 @@
 """The k most similar vectors of the same bank, by collision-counting hashing.
 
 Each block of a bank keeps m random projections, each a sorted array. A query looks up its own projection
-in every array and takes the vectors within a window around it; the windows are widened round by round
-(virtual rehashing: the same arrays serve every radius). A vector met in at least l of the m windows has
-reached the collision threshold and is verified by its exact distance. A query ends once the windows are so
-wide that a vector as near as its k-th best would have reached the threshold with probability 1 - delta.
+in every array and takes the vectors within a window around it. The first windows are narrow; the rows that most of
+them reach tell a radius that the k-th best does not exceed, and the windows are widened to what that radius asks
+for, and on while fewer than k vectors are found (virtual rehashing: the same arrays serve every radius). A vector met
+in at least l of the m windows has reached the collision threshold and is verified by its exact distance. A query ends once the windows
+are so wide that a vector as near as its k-th best would have reached the threshold with probability 1 - delta.
 
 The index is built once and kept as a table: a bank is laid out by its first projection, cut into blocks along it,
 and each block is a row with its sorted arrays. A query is searched in its home block first. The k-th distance
@@ -73,10 +74,11 @@ def lay_out(proj: np.ndarray, cell: int = CELL) -> np.ndarray:
 
 
 class CollisionIndex:
-    """The sorted projections of one block of vectors: ``vals`` in order, and of which rows (``order``)."""
+    """The sorted projections of one block of vectors: ``order`` has each projection's rows in order, ``vals`` their values."""
 
-    def __init__(self, x: np.ndarray, vals: np.ndarray, order: np.ndarray, a: np.ndarray, share: float = 0.5, delta: float = 1e-4, growth: float = 1.6):
-        self.x, self.vals, self.a, self.growth = x.astype(np.float64), vals, a, growth
+    def __init__(self, x: np.ndarray, order: np.ndarray, a: np.ndarray, share: float = 0.5, delta: float = 1e-4, growth: float = 4.0):
+        self.x, self.a, self.growth = x.astype(np.float64), a, growth
+        self.vals = np.take_along_axis(np.ascontiguousarray(project(x, a).T), order.astype(np.int64), axis=1)
         self.n, self.m = len(x), a.shape[1]
         self.l, self.z = reach(self.m, share, delta)
         self.kind = np.uint16 if self.n < 2**16 - 1 else np.uint32
@@ -89,12 +91,12 @@ class CollisionIndex:
 
     @staticmethod
     def built(x: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(rows, vals, order): rows is the layout, the arrays are of x[rows]."""
+        """(rows, order, range): rows is the layout, ``order`` the sorted arrays of x[rows], range the least and greatest of each projection."""
         proj = project(x, a)
         rows = lay_out(proj)
         proj = proj[rows].T
-        order = np.argsort(proj, axis=1, kind="stable").astype(np.int32)
-        return rows, np.take_along_axis(proj, order, axis=1), order
+        order = np.argsort(proj, axis=1, kind="stable")
+        return rows, order.astype(np.uint16 if len(x) < 2**16 else np.int32), np.stack([proj.min(axis=1), proj.max(axis=1)]) if len(x) else np.empty((2, 0))
 
     def search(self, queries: np.ndarray, k: int, tie: np.ndarray, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, row, squared distance) of the k best of each query; ties go to the lower ``tie``. ``within``: distances beyond which nothing is asked for."""
@@ -121,13 +123,29 @@ class CollisionIndex:
             found_r.append(ci[p] * CELL + o)
         return (np.concatenate(found_q), np.concatenate(found_r)) if found_q else (np.empty(0, int), np.empty(0, int))
 
+    def _near(self, q: np.ndarray, proj: np.ndarray, at: np.ndarray, k: int, cells: int = 3) -> np.ndarray:
+        """A distance that the k-th best does not exceed: the k-th among the rows of those cells that most of the first windows reach."""
+        lo, hi = np.maximum(at - k, 0), at + k
+        reached = np.zeros((len(q), self.ranks.shape[1]), dtype=np.int16)
+        for j in range(self.m):
+            reached += (self.high[j] >= lo[:, j : j + 1]) & (self.low[j] < hi[:, j : j + 1])
+        cells = min(max(cells, -(-k // CELL) + 1), reached.shape[1])
+        best = np.argpartition(-reached, cells - 1, axis=1)[:, :cells]
+        rows = (best[:, :, None] * CELL + np.arange(CELL)).reshape(len(q), -1)
+        d = np.empty(rows.shape)
+        with np.errstate(invalid="ignore"):
+            for i in range(0, len(q), 64):
+                away = self.x[np.minimum(rows[i : i + 64], self.n - 1)] - q[i : i + 64, None, :]
+                d[i : i + 64] = np.einsum("ijk,ijk->ij", away, away)
+        d = np.where((rows >= self.n) | np.isnan(d), np.inf, d)
+        return np.sqrt(np.partition(d, k - 1, axis=1)[:, k - 1])
+
     def _search(self, queries: np.ndarray, k: int, tie: np.ndarray, within: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n, m, want = self.n, self.m, min(k, self.n)
         q, proj = queries.astype(np.float64), project(queries, self.a)
-        # the first windows hold some 2k vectors of each array, unless it is known how wide they must be
         at = np.stack([np.searchsorted(self.vals[j], proj[:, j]) for j in range(m)], axis=1)
-        far = np.stack([np.abs(self.vals[j][np.clip(at[:, j] + k, 0, n - 1)] - proj[:, j]) for j in range(m)], axis=1)
-        half = np.where(np.isfinite(within), within * self.z, np.maximum(np.median(far, axis=1), 1e-9))
+        within = np.minimum(within, self._near(q, proj, at, want))
+        half = np.where(np.isfinite(within), np.maximum(within * self.z, 1e-9), 1.0)
         live, out = np.arange(len(q)), []
         while len(live):
             a = np.stack([np.searchsorted(self.vals[j], proj[live, j] - half[live]) for j in range(m)], axis=1)
@@ -135,8 +153,9 @@ class CollisionIndex:
             i, row = self._collided(a, b)
             d = np.empty(len(i))
             with np.errstate(invalid="ignore"):
-                for s in range(0, len(i), 100_000):  # verified now
-                    d[s : s + 100_000] = ((self.x[row[s : s + 100_000]] - q[live[i[s : s + 100_000]]]) ** 2).sum(axis=1)
+                for s in range(0, len(i), 4096):  # verified now
+                    away = self.x[row[s : s + 4096]] - q[live[i[s : s + 4096]]]
+                    d[s : s + 4096] = np.einsum("ij,ij->i", away, away)
             d = np.where(np.isnan(d), np.inf, d)
             by = np.lexsort((tie[row], d, i))
             i, row, d = i[by], row[by], d[by]
@@ -147,9 +166,8 @@ class CollisionIndex:
             going = (half[live] < need) & ((b - a).min(axis=1) < n)
             keep = (place < k) & ~going[i]
             out.append((live[i[keep]] + first, row[keep], d[keep]))
-            # wider by a step, or straight to the radius that settles the present k-th best if that is nearer
-            wider = np.where(need < np.inf, np.minimum(need, half[live] * 2), np.minimum(half[live] * self.growth, np.finfo(float).max))
-            half[live] = wider
+            # straight to the radius that settles the present k-th best; without one, wider by a step
+            half[live] = np.where(need < np.inf, need, np.minimum(half[live] * self.growth, np.finfo(float).max))
             live = live[going]
         i, row, d = (np.concatenate(c) for c in zip(*out, strict=True))
         by = np.lexsort((tie[row], d, i))
@@ -164,7 +182,7 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 def build_index(bank: DataFrame, path: str, dim: int = 32, block_rows: int = 20_000, m: int = 32, seed: int = 7) -> DataFrame:
     """Write the index of ``bank`` (bank_key, near_id, near_rank, embedding; usable vectors only) to ``path`` and read it back.
 
-    ``bank_key, block, lo, hi, rows, ids, ranks, x, vals, order``: a row a block of about ``block_rows`` vectors, with the
+    ``bank_key, block, lo, hi, rows, ids, ranks, x, order``: a row a block of about ``block_rows`` vectors, with the
     range of each projection, the vectors in their layout and the sorted arrays. Blocks are ranges of the first
     projection (then of the id, so that equal vectors are cut up too): one shuffle, in which each vector lies once.
     """
@@ -176,7 +194,7 @@ def build_index(bank: DataFrame, path: str, dim: int = 32, block_rows: int = 20_
             p = project(_matrix(pa.chunked_array([b.column("embedding")]), dim), a[:, :1]).ravel()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*b.schema.names, "first"])
 
-    schema = f"bank_key {kind}, block int, lo array<double>, hi array<double>, rows int, ids binary, ranks binary, x binary, vals binary, order binary"
+    schema = f"bank_key {kind}, block int, lo array<double>, hi array<double>, rows int, ids binary, ranks binary, x binary, order binary"
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -190,10 +208,10 @@ def build_index(bank: DataFrame, path: str, dim: int = 32, block_rows: int = 20_
         x, ids, ranks = _matrix(t["embedding"], dim), t["near_id"].to_numpy(), t["near_rank"].to_numpy()
         edges = [0, *(np.flatnonzero(np.diff(codes)) + 1), len(codes)]
         for i, j in zip(edges, edges[1:], strict=False):
-            rows, vals, order = CollisionIndex.built(x[i:j], a)
+            rows, order, span = CollisionIndex.built(x[i:j], a)
             blob = lambda v: pa.array([np.ascontiguousarray(v).tobytes()], pa.binary())
-            arrays = [keys.slice(i, 1), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([vals[:, 0].tolist()]), pa.array([vals[:, -1].tolist()]), pa.array([j - i], pa.int32())]
-            arrays += [blob(ids[i:j][rows].astype(np.int64)), blob(ranks[i:j][rows].astype(np.int64)), blob(x[i:j][rows].astype(np.float32)), blob(vals), blob(order)]
+            arrays = [keys.slice(i, 1), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([span[0].tolist()]), pa.array([span[1].tolist()]), pa.array([j - i], pa.int32())]
+            arrays += [blob(ids[i:j][rows].astype(np.int64)), blob(ranks[i:j][rows].astype(np.int64)), blob(x[i:j][rows].astype(np.float32)), blob(order)]
             yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in schema.split(", ")])
 
     laid = bank.mapInArrow(first, f"bank_key {kind}, near_id bigint, near_rank bigint, embedding array<float>, first double")
@@ -224,8 +242,8 @@ def nearest(bank: DataFrame, queries: DataFrame, k: int = 5, dim: int = 32, bloc
     def search(b: pa.Table, q: pa.Table) -> pa.Table:
         if not len(b) or not len(q):
             return out.empty_table()
-        r = {c: np.frombuffer(b[c][0].as_py(), dtype=t) for c, t in (("ids", np.int64), ("ranks", np.int64), ("x", np.float32), ("vals", np.float64), ("order", np.int32))}
-        one = CollisionIndex(r["x"].reshape(-1, dim), r["vals"].reshape(m, -1), r["order"].reshape(m, -1), a, share, delta)
+        r = {c: np.frombuffer(b[c][0].as_py(), dtype=t) for c, t in (("ids", np.int64), ("ranks", np.int64), ("x", np.float32), ("order", np.uint16 if b["rows"][0].as_py() < 2**16 else np.int32))}
+        one = CollisionIndex(r["x"].reshape(-1, dim), r["order"].reshape(m, -1), a, share, delta)
         tie = np.argsort(np.lexsort((r["ids"], r["ranks"])))
         i, row, d = one.search(_matrix(q["embedding"], dim), k, tie, q["within"].to_numpy())
         return pa.table([q["query_id"].to_numpy()[i], r["ids"][row], r["ranks"][row], d], schema=out)
@@ -233,7 +251,9 @@ def nearest(bank: DataFrame, queries: DataFrame, k: int = 5, dim: int = 32, bloc
     def searched(q: DataFrame) -> DataFrame:
         """q: (bank_key, block, query_id, embedding, within)."""
         keys = ["bank_key", "block"]
-        many, few = salted(q, index, keys, hot_keys(q, keys, query_rows), F.col("query_id"))
+        asked = q.select(*keys).distinct()
+        own = skew_join(index, cut(asked), keys, F.col("block"), "left_semi")
+        many, few = salted(q, own, keys, hot_keys(q, keys, query_rows), F.col("query_id"))
         return few.groupBy(*keys, "__salt").cogroup(many.groupBy(*keys, "__salt")).applyInArrow(search, "query_id bigint, near_id bigint, near_rank bigint, d2 double")
 
     # home: the last block of the bank that begins at or before the query's first projection

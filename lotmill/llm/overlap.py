@@ -12,9 +12,10 @@ table has the same size at any scale; passages and texts of a part that is commo
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +44,9 @@ def parts(text: str) -> list[str]:
 def tiles(text: str, width: int) -> list[tuple[int, str]]:
     """(position, passage) of each run of ``width`` parts of a text, separators included; of the whole text if it has fewer."""
     ps = parts(text)
-    starts = np.cumsum([0, *(len(p) + 1 for p in ps)]).tolist()
     if len(ps) <= width:
         return [(0, text)]
+    starts = [0, *accumulate(len(p) + 1 for p in ps)]
     return [(starts[i], text[starts[i] : starts[i + width] + 1]) for i in range(len(ps) - width + 1)]
 
 
@@ -83,9 +84,12 @@ def matches(train: DataFrame, evaluation: DataFrame, width: int = 3, rows_per_sh
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, buckets), dtype=np.int64)
         for b in batches:
+            held: tuple[Counter, Counter] = (Counter(), Counter())
             for text, is_train in zip(b.column("text").to_pylist(), b.column("train").to_pylist(), strict=True):
-                for p in set(parts(text)):
-                    seen[int(is_train), _bucket(p, buckets)] += 1
+                held[is_train].update(set(parts(text)))
+            for side in (0, 1):
+                for p, n in held[side].items():
+                    seen[side, _bucket(p, buckets)] += n
         side, at = np.nonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(side == 1), pa.array(seen[side, at])], schema=schema)
 
@@ -97,33 +101,34 @@ def matches(train: DataFrame, evaluation: DataFrame, width: int = 3, rows_per_sh
     cells = np.maximum(1, -(-rare // rows_per_shard))  # of an anchor: (evaluation, training)
     total = rare.sum(axis=0)
 
-    def anchor(ps: list[str]) -> str:
-        return min(ps, key=lambda p: (total[_bucket(p, buckets)], p))
-
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
 
-        def place(a: str) -> tuple[int, int, int]:
-            if a not in known:
+        def place(part: str) -> tuple[int, str, int, int, int]:
+            """(how often it occurs, the part, where its shards begin, its cells of either side); the least is the anchor."""
+            found = known.get(part)
+            if found is None:
                 if len(known) > 200_000:
                     known.clear()
-                at = _bucket(a, buckets)
-                known[a] = xxhash.xxh3_64_intdigest(a, seed=1), int(cells[0, at]), int(cells[1, at])
-            return known[a]
+                at = _bucket(part, buckets)
+                found = known[part] = int(total[at]), part, xxhash.xxh3_64_intdigest(part, seed=1), int(cells[0, at]), int(cells[1, at])
+            return found
 
         for b in batches:
             out: set = set()
             for text, is_train in zip(b.column("text").to_pylist(), b.column("train").to_pylist(), strict=True):
-                runs = [p for _, p in tiles(text, width)]
-                own = xxhash.xxh3_64_intdigest(text)
+                at = [place(p) for p in parts(text)]
+                runs = range(max(1, len(at) - width + 1))
                 if is_train:
-                    for a in {anchor(parts(r)) for r in runs}:
-                        h, ne, nt = place(a)
-                        out.update(((h + own % nt * ne + e) % shards, TRAIN, text) for e in range(ne))
+                    for _, _, h, ne, nt in {min(at[i : i + width]) for i in runs}:
+                        own = xxhash.xxh3_64_intdigest(text) % nt if nt > 1 else 0
+                        out.update(((h + own * ne + e) % shards, TRAIN, text) for e in range(ne))
                     continue
-                for p, kind in [(text, WHOLE), *((r, TILE) for r in runs if r != text)]:
-                    h, ne, nt = place(anchor(parts(p)))
-                    mine = xxhash.xxh3_64_intdigest(p) % ne
+                asked = [(text, WHOLE, min(at))]
+                if len(at) > width:
+                    asked += [(p, TILE, min(at[i : i + width])) for i, (_, p) in zip(runs, tiles(text, width), strict=True)]
+                for p, kind, (_, _, h, ne, nt) in asked:
+                    mine = xxhash.xxh3_64_intdigest(p) % ne if ne > 1 else 0
                     out.update(((h + t * ne + mine) % shards, kind, p) for t in range(nt))
             cols = list(zip(*out, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string())], ["shard", "kind", "text"])

@@ -236,7 +236,12 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncation_rates(*_truncated(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_overlap_report, p2_coverage, p2_spans, p3_found, p3_matches, p4_found, p4_groups, p4_assignment, p4_shares, p5_found, p5_cutoffs, p6_containers, p6_fill, p7_uses, p7_shares, p8_found, p8_rates)}
+def p8_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents each kind of evidence reports."""
+    return _truncated(spark, sf_dir)[1].groupBy("reason").agg(F.count(F.lit(1)).alias("documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_overlap_report, p2_coverage, p2_spans, p3_found, p3_matches, p4_found, p4_groups, p4_assignment, p4_shares, p5_found, p5_cutoffs, p6_containers, p6_fill, p7_uses, p7_shares, p8_found, p8_rates, p8_reasons)}
 SQL = {
     "p2_found": _P2_FOUND,
     "p2_overlap_report": _P2_REPORT,

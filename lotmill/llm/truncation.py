@@ -1,8 +1,10 @@
 """Texts whose end was lost.
 
-A trie of the corpus vocabulary (its nodes kept as a table of proper prefixes) tells final tokens that are
-no word but begin one, alone or after the word before them. Where the last word is whole, the corpus tells how
-often its last words are followed by an end at all; the lengths at which a source's texts pile up lower the bar.
+The corpus vocabulary is a trie of two storeys. Below are tokens by their characters, alone and after the token before
+them, kept as a sorted table: the words under a node are a run of it, so a final token that is no word but begins one
+is told by the word that follows it in that order. Above are runs of tokens: a node knows how often it goes on and how
+often it ends, so a run that is known to go on and (almost) never to end is a proper prefix too, one of a sentence. The
+lengths at which a source's texts pile up lower the bar.
 """
 
 from __future__ import annotations
@@ -14,10 +16,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lotmill.operators.skew import skew_join
+from lotmill.operators.skew import BROADCAST_ROWS, skew_join, small_enough
 from lotmill.session import cut
 
 # Marks that software puts behind a cut. The first ones also end whole texts ("weird...").
@@ -165,6 +168,23 @@ def _grams(ends: list[list[str]]) -> list[list[dict]]:
     return out
 
 
+#: Characters of an end that are looked at first; where what was put behind a cut goes on beyond most of them, the whole text is.
+END = 256
+
+
+def text_end(text: Column) -> Column:
+    """Struct (tail, hard, closed) of a text: the length of what was put behind its end, whether marks that only software puts there begin it, and whether a sentence mark closes what is before it."""
+
+    def of(back: Column, part: Column) -> Column:
+        closed = F.substring(back, part + 1, F.char_length(back)).rlike(CLOSING)
+        return F.struct(part.alias("tail"), back.rlike(HARD_END).alias("hard"), closed.alias("closed"))
+
+    near, back = F.reverse(F.right(text, F.lit(END))), F.reverse(text)
+    tail = F.char_length(F.regexp_extract(near, TAIL, 0))
+    all_seen = (F.char_length(text) <= END) | ((tail < END * 3 // 4) & ~F.substring(near, tail + 1, F.lit(END)).rlike(r"^[\"'”’»)\]]*$"))
+    return F.when(all_seen, of(near, tail)).otherwise(of(back, F.char_length(F.regexp_extract(back, TAIL, 0))))
+
+
 def truncated(docs: DataFrame, ratio: float = 0.05, ratio_at_limit: float = 0.6, support: int = 3, closed_support: int = 50) -> DataFrame:
     """``doc_id, source, reason`` of the texts of ``docs`` (doc_id, text, source) that stop inside a word or sentence.
 
@@ -179,15 +199,14 @@ def truncated(docs: DataFrame, ratio: float = 0.05, ratio_at_limit: float = 0.6,
     empty texts, and texts of blanks only, are not reported. ``doc_id`` must be unique; a null source is a source.
     """
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    base = base.withColumn("back", F.reverse("text")).withColumn("tail", F.char_length(F.regexp_extract("back", TAIL, 0)))
-    base = base.withColumn("core", F.substring("text", F.lit(1), F.char_length("text") - F.col("tail"))).where("length(core) > 0").withColumn("key", F.md5("core"))
-    closed = F.substring("back", F.col("tail") + 1, F.char_length("text")).rlike(CLOSING)
-    facts = base.select("doc_id", "source", "key", (F.col("back").rlike(HARD_END) & ~closed).alias("hard"), closed.alias("closed"), F.char_length("text").alias("chars"), F.octet_length("text").alias("bytes"))
-    facts = cut(facts)
-
-    # one text of each content: the least id is found on ids alone, then its text is fetched
-    first = facts.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    texts = base.select("doc_id", "key", "core").join(first.select("doc_id"), "doc_id", "left_semi").select("key", "core")
+    base = base.withColumn("end", text_end(F.col("text")))
+    base = base.withColumn("core", F.substring("text", F.lit(1), F.char_length("text") - F.col("end.tail"))).where("length(core) > 0")
+    facts = cut(base.select("doc_id", "source", F.md5("core").alias("key"), (F.col("end.hard") & ~F.col("end.closed")).alias("hard"), "end.closed", F.char_length("text").alias("chars"), F.octet_length("text").alias("bytes")))
+
+    # one text of each content: the ids of the others are found on ids alone. If they are few the texts stay where they are
+    twice = cut(facts.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "least"))
+    others = cut(skew_join(facts.select("key", "doc_id"), twice, ["key"], F.col("doc_id")).where("doc_id > least").select("doc_id"))
+    texts = skew_join(base, others, ["doc_id"], F.col("doc_id"), "left_anti", is_small=small_enough(others, 20 * BROADCAST_ROWS, 16_000_000)).select(F.md5("core").alias("key"), "core")
     counted = cut(texts.mapInArrow(_count, "n int, gram string, mid bigint, line bigint, close bigint, last bigint, key string, ends array<string>"))
     stats = cut(counted.where("n > 0").groupBy("n", "gram").agg(F.sum("mid").alias("mid"), F.sum("line").alias("line"), F.sum("close").alias("close"), F.sum("last").alias("last")))
     ends = counted.where("n = 0").select("key", "ends")
@@ -205,21 +224,16 @@ def truncated(docs: DataFrame, ratio: float = 0.05, ratio_at_limit: float = 0.6,
     found = found.select("ends", "n", "look", "gram", *(F.coalesce(c, zero).alias(c) for c in ("mid", "line", "close", "last")))
     found = cut(found.withColumn("inside", F.col("mid") + F.col("line") + F.col("close")))
 
-    # the trie: every proper prefix of a token, and of a token after another, that occurs inside a text
-    words = stats.where("n in (1, 2) and mid + line + close > 0")
-    cutat = F.when(F.col("n") == 1, F.lit(0)).otherwise(F.instr("gram", " "))
-    size = F.char_length("gram")
-    nodes = words.where(size > cutat + 1).select(F.col("n").alias("look"), F.explode(F.transform(F.sequence(cutat + 1, size - 1), lambda k: F.substring("gram", F.lit(1), k))).alias("gram")).distinct()
-    unknown = found.where("look <= 2 and inside = 0").select("look", "gram").distinct()
-    begun = unknown.join(nodes, ["look", "gram"], "left_semi").withColumn("begun", F.lit(True))
-    found = skew_join(found, begun, ["look", "gram"], F.col("ends"), "left").withColumn("begun", F.coalesce("begun", F.lit(False)))
-
-    others = F.col("line") + F.col("close") + F.greatest(F.col("last") - 1, zero)
-    enough = (F.col("n") <= N) & (others + F.col("mid") >= support)
+    words = stats.where("n in (1, 2) and mid + line + close > 0").select(F.col("n").alias("look"), "gram")
+    met = begun(found.where("look <= 2 and inside = 0").select("look", "gram").distinct(), words)
+    found = skew_join(found, cut(met.withColumn("begun", F.lit(True))), ["look", "gram"], F.col("ends"), "left").withColumn("begun", F.coalesce("begun", F.lit(False)))
+
+    ended = F.col("line") + F.col("close") + F.greatest(F.col("last") - 1, zero)
+    enough = (F.col("n") <= N) & (ended + F.col("mid") >= support)
     judged = found.groupBy("ends").agg(
         F.max(F.col("begun") & (F.col("look") == 1)).alias("word"),
         F.max(F.col("begun") & (F.col("look") == 2)).alias("after"),
-        F.max(F.when(enough, F.struct("n", others.alias("ended"), "mid"))).alias("best"),
+        F.max(F.when(enough, F.struct("n", ended.alias("ended"), "mid"))).alias("best"),
     )
     judged = judged.select("ends", "word", "after", (F.col("best.ended") / (F.col("best.ended") + F.col("best.mid"))).alias("share"), (F.col("best.ended") + F.col("best.mid")).alias("places"))
     by_key = skew_join(ends, judged, ["ends"], F.col("key")).drop("ends")
@@ -234,6 +248,32 @@ def truncated(docs: DataFrame, ratio: float = 0.05, ratio_at_limit: float = 0.6,
     return out.select("doc_id", "source", reason.alias("reason")).where("reason is not null")
 
 
+def begun(unknown: DataFrame, words: DataFrame) -> DataFrame:
+    """``look, gram`` of the ``unknown`` that are a proper prefix of one of ``words`` (both look, gram) of the same ``look``.
+
+    In sorted order the words that a string begins follow right behind it, so the next word settles it: the trie is
+    walked by one range partitioning, and no prefix of any word is written out, however long the words are. Only words
+    that share their first characters with an unknown one take part.
+    """
+    first = lambda n: F.substring("gram", 1, n)
+    heads = cut(unknown.select("look", first(3).alias("head")).distinct())
+    own = words.select("look", "gram", F.explode(F.array_distinct(F.array(first(1), first(2), first(3)))).alias("head"))
+    own = skew_join(own, heads, ["look", "head"], F.col("gram"), "left_semi").select("look", "gram").distinct()
+    both = own.withColumn("word", F.lit(True)).unionAll(unknown.select("look", "gram").withColumn("word", F.lit(False)))
+    n = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = cut(both.repartitionByRange(n, "look", "gram").withColumn("__p", F.spark_partition_id()))
+    behind = Window.partitionBy("__p").orderBy("look", "gram", F.desc("word")).rowsBetween(1, Window.unboundedFollowing)
+    item = F.struct("look", "gram")
+    # of the ranges behind it, which are as few as there are partitions
+    tops = laid.where("word").groupBy("__p").agg(F.min(item).alias("__top"))
+    ranges = both.sparkSession.range(n).select(F.col("id").cast("int").alias("__p")).join(F.broadcast(tops), "__p", "left")
+    later = Window.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(1, Window.unboundedFollowing)
+    ranges = ranges.select("__p", F.first("__top", ignorenulls=True).over(later).alias("__later"))
+    out = laid.withColumn("__next", F.first(F.when(F.col("word"), item), ignorenulls=True).over(behind)).where("not word").join(F.broadcast(ranges), "__p")
+    follows = F.coalesce("__next", "__later")
+    return out.where((follows["look"] == F.col("look")) & F.startswith(follows["gram"], F.col("gram")) & (follows["gram"] != F.col("gram"))).select("look", "gram")
+
+
 def pile_ups(facts: DataFrame, unit: str, least: int = 10, times: float = 5.0) -> DataFrame:
     """``s, unit``: lengths that at least ``least`` texts of a source have, ``times`` as many as the mean of the ten lengths around."""
     n = facts.groupBy(F.coalesce("source", F.lit("")).alias("s"), unit).agg(F.count(F.lit(1)).alias("n"))

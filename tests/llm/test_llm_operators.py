@@ -347,6 +347,37 @@ def test_truncation_of_long_runs(spark):
     assert truncation.truncated(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).count() <= len(long)
 
 
+def test_begun_equals_brute_force(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 7)))
+    known, asked = {(rng.choice([1, 2]), word()) for _ in range(300)}, {(rng.choice([1, 2]), word()) for _ in range(200)}
+    df = lambda rows: spark.createDataFrame(sorted(rows), "look int, gram string")
+    got = {tuple(r) for r in truncation.begun(df(asked), df(known)).collect()}
+    assert got == {(k, u) for k, u in asked if any(j == k and w != u and w.startswith(u) for j, w in known)} and got
+    assert truncation.begun(df(asked), df(known).limit(0)).count() == 0 and truncation.begun(df(asked).limit(0), df(known)).count() == 0
+
+
+def test_long_tokens_inside_texts_stay_quick(spark):
+    import time
+
+    rows = [(i, t, "s") for i, t in enumerate(_corpus()[:60])] + [(900 + i, f"The operator sent {c * (1_000_000 - i)} to line 3 because of vibration on line 4.", "s") for i, c in enumerate("abxy")] + [(990, "The operator sent " + "a" * 999_000, "s")]
+    began = time.time()
+    found = {r.doc_id: r.reason for r in truncation.truncated(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert found.get(990) == "word" and time.time() - began < 120
+
+
+def test_text_end_of_long_tails_equals_that_of_short_ones(spark):
+    ends = ["x", "x.", 'x."', "x...", "x [...]", "x = ", "x.\n\n", "x?" + '"' * 3]
+    long = [e + t for e in ends for t in ("", " " * 500, "…" * 400, ' " '[:1] + "=" )] + ["y." + '"' * 400, "y" + '"' * 400, "z" * 1000 + " [more]" + " " * 300]
+    df = spark.createDataFrame([(t, "a" * 300 + t, "a " * 300 + t) for t in long], "t string, u string, v string")
+    of = lambda c: truncation.text_end(F.col(c))
+    for t, a, b in df.select("t", of("u"), of("v")).collect():
+        assert a == b, t
+    short = [e for e in ends]
+    rows = spark.createDataFrame([(e, e + "", "b" * 900 + e) for e in short], "e string, a string, b string").select("e", of("a"), of("b")).collect()
+    assert all(x == y for _, x, y in rows)
+
+
 def test_deal_with_one_group_of_a_third(spark):
     rows = spark.range(9000).select(F.col("id").alias("row_id"), F.when(F.col("id") < 3000, "hot").otherwise(F.concat(F.lit("s"), F.col("id").cast("string"))).alias("root"))
     dealt = splits.deal(rows, [("train", 0.7), ("validation", 0.15), ("test", 0.15)])

@@ -200,8 +200,9 @@ def truncated(docs: DataFrame, ratio: float = 0.05, ratio_at_limit: float = 0.6,
     """
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     base = base.withColumn("end", text_end(F.col("text")))
-    base = base.withColumn("core", F.substring("text", F.lit(1), F.char_length("text") - F.col("end.tail"))).where("length(core) > 0")
-    facts = cut(base.select("doc_id", "source", F.md5("core").alias("key"), (F.col("end.hard") & ~F.col("end.closed")).alias("hard"), "end.closed", F.char_length("text").alias("chars"), F.octet_length("text").alias("bytes")))
+    base = base.withColumn("core", F.substring("text", F.lit(1), F.char_length("text") - F.col("end.tail")))
+    # ends are made out once: a filter on them before the checkpoint would make them out for itself. Texts without any end are dropped behind it, and by the counter
+    facts = cut(base.select("doc_id", "source", F.md5("core").alias("key"), (F.col("end.hard") & ~F.col("end.closed")).alias("hard"), "end.closed", F.char_length("text").alias("chars"), F.octet_length("text").alias("bytes"), (F.char_length("text") - F.col("end.tail")).alias("left"))).where("left > 0").drop("left")
 
     # one text of each content: the ids of the others are found on ids alone. If they are few the texts stay where they are
     twice = cut(facts.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "least"))

@@ -2,7 +2,7 @@
 
 Scores are coded as integers (order kept, several scores may share a code). A persistent dyadic tree holds,
 for each source and each prefix of the code, how many scores lie below that prefix; every batch adds its node
-counts to the table. The score at a source's target rank is found by descending from the root, and the leaf
+counts to the tree's folder, under its own name. The score at a source's target rank is found by descending from the root, and the leaf
 it ends in is refined to its distinct scores.
 """
 
@@ -17,7 +17,8 @@ from lotmill.session import cut, new_table_path
 
 #: A code has BITS bits: the power of two that a score lies above, then MANTISSA bits of where it lies between that and the next.
 BITS, MANTISSA = 32, 21
-#: Levels are stored every STEP bits; a descent chooses among 2**STEP children.
+#: Levels of the dyadic tree that are stored: every STEP-th, so a descent chooses among 2**STEP children. A parameter of the
+#: tree; with 1 every level is stored. The answers are the same; 4 stores 4.1 instead of 14.9 nodes a distinct score (sf0.1) and reads 8 levels, not 32.
 STEP = 4
 
 
@@ -32,41 +33,81 @@ def code(score: Column) -> Column:
 
 
 class CountTree:
-    """The persistent tree: a table (level, source, node, n) that is only appended to."""
+    """The persistent tree: node counts (source, node, n) by level and batch in a folder, to be opened again by its path.
 
-    SCHEMA = "source string, node bigint, n bigint, level int"
+    Each batch has folders of its own, which a replay of the batch overwrites, so a batch counts once however often it
+    is written. :meth:`compact` sums the batches up into one; from then on a replay of them is left out.
+    """
+
+    SCHEMA = "source string, node bigint, n bigint"
+
+    def __init__(self, spark: SparkSession, path: str | None = None, step: int = STEP):
+        if BITS % step:
+            raise ValueError(f"a step divides {BITS}")
+        self.spark, self.path, self.step = spark, (path or new_table_path(spark, "tree")).rstrip("/"), step
+
+    def _exists(self, path: str) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or new_table_path(spark, "tree")
+    def _log(self) -> DataFrame:
+        """``generation, step, batch``: batches that are part of a compacted generation."""
+        schema = "generation int, step int, batch string"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/log") if self._exists(f"{self.path}/log") else self.spark.createDataFrame([], schema)
 
-    def add(self, batch: DataFrame) -> CountTree:
+    def _generation(self) -> int:
+        return self._log().agg(F.max("generation")).first()[0] or 0
+
+    def add(self, batch: DataFrame, name: str | Column = "0") -> CountTree:
         """Add a batch (source, score) or (source, score, weight); weight -1 takes a score back that was added before.
 
-        Scores that are null, NaN or negative and rows of no source are skipped.
+        ``name`` is the batch's, or a column that names the batch of each row: all of them are then added in one pass.
+        A batch that was added before is replaced as a whole. Scores that are null, NaN or negative and rows of no source are skipped.
         """
+        label = name if isinstance(name, Column) else F.lit(name)
         if "weight" not in batch.columns:
             batch = batch.withColumn("weight", F.lit(1))
-        batch = batch.where("source is not null and score >= 0 and not isnan(score)")
-        leaves = batch.groupBy("source", code(F.col("score")).alias("leaf")).agg(F.sum("weight").alias("n"))
-        nodes = F.explode(F.array(*(F.struct(F.lit(v).alias("level"), F.shiftright("leaf", BITS - STEP * v).alias("node")) for v in range(BITS // STEP + 1))))
-        grown = leaves.select("source", nodes.alias("x"), "n").groupBy("source", "x.node", "x.level").agg(F.sum("n").alias("n"))
-        grown.select("source", "node", "n", "level").write.mode("append").partitionBy("level").parquet(self.path)
+        batch = batch.withColumn("batch", F.coalesce(label.cast("string"), F.lit("none"))).where("source is not null and score >= 0 and not isnan(score)")
+        now = self._generation()
+        if now:
+            done = self._log().where(F.col("batch") != "").select("batch").distinct()
+            batch = skew_join(batch, done, ["batch"], F.col("score"), "left_anti")
+        leaves = batch.groupBy("batch", "source", code(F.col("score")).alias("leaf")).agg(F.sum("weight").alias("n"))
+        nodes = F.explode(F.array(*(F.struct(F.lit(v).alias("level"), F.shiftright("leaf", BITS - self.step * v).alias("node")) for v in range(BITS // self.step + 1))))
+        grown = leaves.select("batch", "source", nodes.alias("x"), "n").groupBy("batch", "source", "x.node", "x.level").agg(F.sum("n").alias("n"))
+        # a level's nodes of a batch lie together, so there are as many files as levels and batches; Spark cuts up a large one while it is shuffled
+        grown = grown.select("source", "node", "n", "level", "batch").hint("rebalance", "level", "batch")
+        grown.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("level", "batch").parquet(f"{self.path}/nodes-{now}")
+        return self
+
+    def compact(self) -> CountTree:
+        """Sum all batches up into a new generation; readers change over when its log is written."""
+        now = self._generation()
+        if not self._exists(f"{self.path}/nodes-{now}"):
+            return self
+        old = self.spark.read.schema(f"{self.SCHEMA}, level int, batch string").parquet(f"{self.path}/nodes-{now}")
+        merged = old.groupBy("source", "node", "level").agg(F.sum("n").alias("n")).where("n <> 0").select("source", "node", "n", "level", F.lit("all").alias("batch"))
+        merged.hint("rebalance", "level").write.mode("overwrite").partitionBy("level", "batch").parquet(f"{self.path}/nodes-{now + 1}")
+        names = old.select("batch").distinct().where("batch <> 'all'").unionAll(self._log().select("batch").where("batch <> ''")).distinct()
+        row = self.spark.createDataFrame([("",)], "batch string")  # a generation without batches of its own is one too
+        names.unionAll(row).select(F.lit(now + 1).alias("generation"), F.lit(self.step).alias("step"), "batch").write.mode("append").parquet(f"{self.path}/log")
         return self
 
     def level(self, v: int) -> DataFrame:
-        """``source, node, n`` of one level, over all batches; reads that level's files only."""
-        nodes = self.spark.read.schema(self.SCHEMA).parquet(self.path).where(F.col("level") == v)
+        """``source, node, n`` of one level, over all batches; reads that level's folders only."""
+        path = f"{self.path}/nodes-{self._generation()}/level={v}"
+        nodes = self.spark.read.schema(self.SCHEMA).parquet(path) if self._exists(path) else self.spark.createDataFrame([], self.SCHEMA)
         return nodes.groupBy("source", "node").agg(F.sum("n").alias("n")).where("n > 0")
 
     def descend(self, ranks: DataFrame) -> DataFrame:
-        """``source, leaf, rest``: the leaf of the score at ``rank`` (1 = highest) of each source, and its rank within the leaf.
+        """``source, leaf, rest``: the leaf of the score at each asked ``rank`` (1 = highest) of a source, and its rank within the leaf.
 
         Ranks under 1 or beyond a source's count give no row. A level is one join on (source, parent).
         """
         at = ranks.select("source", F.col("rank").cast("bigint").alias("rest"), F.lit(0).cast("bigint").alias("node"))
-        above = Window.partitionBy("source").orderBy(F.desc("child")).rowsBetween(Window.unboundedPreceding, -1)
-        for v in range(1, BITS // STEP + 1):
-            kids = self.level(v).select("source", F.shiftright("node", STEP).alias("node"), F.col("node").alias("child"), "n")
+        above = Window.partitionBy("source", "node", "rest").orderBy(F.desc("child")).rowsBetween(Window.unboundedPreceding, -1)  # at most 2**step children
+        for v in range(1, BITS // self.step + 1):
+            kids = self.level(v).select("source", F.shiftright("node", self.step).alias("node"), F.col("node").alias("child"), "n")
             met = at.join(kids, ["source", "node"]).withColumn("over", F.coalesce(F.sum("n").over(above), F.lit(0)))
             at = met.where("rest > over and rest <= over + n").select("source", F.col("child").alias("node"), (F.col("rest") - F.col("over")).alias("rest"))
             if v % 2 == 0:  # a row a source; keeps the plan small
@@ -75,7 +116,7 @@ class CountTree:
 
 
 def latest(rows: DataFrame, source: Column, item: Column, score: Column, at: Column, row_id: Column) -> DataFrame:
-    """``source, row_id, score``: the usable row of each source and item with the latest ``at``, then the largest id.
+    """``source, row_id, score, at``: the usable row of each source and item with the latest ``at``, then the largest id.
 
     Null, NaN and negative scores are unusable, rows of no source are dropped; a null ``at`` is earlier than any;
     rows without item count as one item. Combined map-side, so an item with many rows costs one group row a task.
@@ -83,7 +124,7 @@ def latest(rows: DataFrame, source: Column, item: Column, score: Column, at: Col
     base = rows.select(source.alias("source"), item.cast("string").alias("item"), score.cast("double").alias("score"), at.alias("at"), row_id.cast("bigint").alias("row_id"))
     base = base.where("source is not null and score >= 0 and not isnan(score)")
     last = base.groupBy("source", "item").agg(F.max(F.struct("at", "row_id", "score")).alias("x"))
-    return last.select("source", "x.row_id", "x.score")
+    return last.select("source", "x.row_id", "x.score", "x.at")
 
 
 def cutoffs(tree: CountTree, scored: DataFrame, targets: DataFrame, thresholds: DataFrame) -> DataFrame:

@@ -56,13 +56,17 @@ def pack(items: DataFrame, specs: DataFrame, group_items: int = 20_000, seed: in
     """
     items = items.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("tokens").cast("bigint"), F.lit(0)).alias("size"))
     specs = specs.where("capacity_tokens > 0").select(F.col("spec_id").cast("int").alias("spec_id"), F.col("capacity_tokens").cast("bigint").alias("cap")).distinct()
-    sizes = specs.limit(1001).collect()
-    if len(sizes) > 1000:
-        raise ValueError("more than 1000 container sizes")
-    groups = max(1, -(-items.count() // group_items))
+    sizes = specs.collect()  # a row a container size
+    empty = items.sparkSession.createDataFrame([], "spec_id int, doc_id bigint, piece bigint, tokens bigint, container_id string")
+    groups = max(1, -(-items.count() // group_items)) if sizes else 1
+    # container sizes are written into the plan, so many at a time
+    for i in range(0, len(sizes), 1000):
+        empty = empty.unionByName(_pack(items, sizes[i : i + 1000], groups, seed))
+    return empty
+
+
+def _pack(items: DataFrame, sizes: list, groups: int, seed: int) -> DataFrame:
     each = F.explode(F.array(*(F.struct(F.lit(r["spec_id"]).alias("spec_id"), F.lit(r["cap"]).alias("cap")) for r in sizes)))
-    if not sizes:
-        return items.sparkSession.createDataFrame([], "spec_id int, doc_id bigint, piece bigint, tokens bigint, container_id string")
     laid = items.withColumn("s", each).select("s.spec_id", "s.cap", "doc_id", "size").withColumn("full", F.expr("size div cap"))
     laid = laid.withColumn("grp", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.lit(groups)).cast("int"))
 

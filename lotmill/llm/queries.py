@@ -161,7 +161,8 @@ _P4_SHARES = _P4_DEALT + "select b.split_name, b.target_share, count(r.root) as
 def _cutoffs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     results = table(spark, sf_dir, "inference_results").select("result_id", "image", "bank_version", "score", "scored_at")
     scored = cut(cutoff.latest(results, folded(F.col("bank_version")), F.col("image"), F.col("score"), F.col("scored_at"), F.col("result_id")))
-    tree = cutoff.CountTree(spark).add(scored)
+    # a batch a month; with spark.lotmill.tree set the tree is kept there, and a later run replaces its own months
+    tree = cutoff.CountTree(spark, spark.conf.get("spark.lotmill.tree", None)).add(scored, F.date_format("at", "yyyy-MM"))
     targets = table(spark, sf_dir, "keep_targets").select(folded(F.col("bank_version")).alias("source"), "keep_permille").where("source is not null")
     points = table(spark, sf_dir, "sweep_points").select(folded(F.col("bank_version")).alias("source"), "threshold").where("source is not null")
     return scored, cutoff.cutoffs(tree, scored, targets, points)
@@ -208,10 +209,22 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fills(_packed(spark, sf_dir), table(spark, sf_dir, "pack_specs"))
 
 
+def p6_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every packing: all documents come out, no container is overfull, no text that fits is split, no token is lost."""
+    items = cut(count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    specs = table(spark, sf_dir, "pack_specs").select("spec_id", "capacity_tokens")
+    packed = cut(packing.pack(items, specs))
+    docs = packed.groupBy("spec_id", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("held")).join(items, "doc_id").join(F.broadcast(specs), "spec_id")
+    docs = docs.groupBy("spec_id").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("pieces") != F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("capacity_tokens")))).alias("split_otherwise"), F.sum(F.col("tokens") - F.col("held")).alias("lost_tokens"))
+    load = packed.groupBy("spec_id", "container_id").agg(F.sum("tokens").alias("load")).join(F.broadcast(specs), "spec_id")
+    load = load.groupBy("spec_id").agg(F.count_if(F.col("load") > F.col("capacity_tokens")).alias("overfull"))
+    return specs.join(docs, "spec_id").join(load, "spec_id").select("spec_id", "documents", "split_otherwise", "lost_tokens", "overfull")
+
+
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", folded(F.col("source")).alias("source"), folded(F.col("lang")).alias("lang"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", folded(F.col("source")).alias("source"), folded(F.col("lang")).alias("lang"), folded(F.col("object_name")).alias("domain"))
     targets = table(spark, sf_dir, "mix_targets").select(folded(F.col("source")).alias("source"), "target_weight", "max_repeat")
-    return mixing.mix(cut(count_tokens(docs, keep=("doc_id", "source", "lang"))), targets)
+    return mixing.mix(cut(count_tokens(docs, keep=("doc_id", "source", "lang", "domain"))), targets)
 
 
 def p7_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,6 +235,20 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
+def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every mixture, by target source: documents on offer, and none used over its cap, twice in the list or for another source."""
+    uses, shares = _mixed(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select("doc_id", folded(F.col("source")).alias("own"), (F.char_length("text") > 0).alias("full"))
+    targets = table(spark, sf_dir, "mix_targets").select(folded(F.col("source")).alias("source"), "max_repeat")
+    offer = docs.where("full").groupBy(F.col("own").alias("source")).agg(F.count(F.lit(1)).alias("documents"))
+    per = uses.groupBy("doc_id", "source").agg(F.sum("uses").alias("uses"), F.count(F.lit(1)).alias("n")).join(docs, "doc_id").join(F.broadcast(targets), "source")
+    bad = (F.col("uses") > F.col("max_repeat")) | (F.col("n") > 1) | (F.col("own") != F.col("source"))
+    per = per.groupBy("source").agg(F.count_if(bad).alias("bad"))
+    zero = F.lit(0).cast("bigint")
+    out = shares.select("source").join(offer, "source", "left").join(per, "source", "left")
+    return out.select("source", F.coalesce("documents", zero).alias("documents"), F.coalesce("bad", zero).alias("bad"))
+
+
 # 8 ---------------------------------------------------------------------------
 def _truncated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", folded(F.col("source")).alias("source"))
@@ -241,7 +268,20 @@ def p8_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _truncated(spark, sf_dir)[1].groupBy("reason").agg(F.count(F.lit(1)).alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_overlap_report, p2_coverage, p2_spans, p3_found, p3_matches, p4_found, p4_groups, p4_assignment, p4_shares, p5_found, p5_cutoffs, p6_containers, p6_fill, p7_uses, p7_shares, p8_found, p8_rates, p8_reasons)}
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every report, by source: its documents, and none of those without text reported, or reported twice, or for another source."""
+    docs, found = _truncated(spark, sf_dir)
+    found = found.groupBy("doc_id", F.col("source").alias("said")).agg(F.count(F.lit(1)).alias("n"))
+    both = docs.join(found, "doc_id", "left")
+    bad = F.col("n").isNotNull() & ((F.coalesce(F.length(F.btrim("text")), F.lit(0)) == 0) | (F.col("n") > 1) | ~F.col("said").eqNullSafe(F.col("source")))
+    return both.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if(bad).alias("bad"))
+
+
+_P6_INVARIANTS = "select spec_id, (select count(*) from documents) as documents, 0::bigint as split_otherwise, 0::bigint as lost_tokens, 0::bigint as overfull from pack_specs"
+_P7_INVARIANTS = f"with d as (select {sql_folded('source')} as s, count(*) as n from documents where length(text) > 0 group by 1) select {sql_folded('t.source')} as source, coalesce(d.n, 0) as documents, 0::bigint as bad from mix_targets t left join d on d.s = {sql_folded('t.source')}"
+_P8_INVARIANTS = f"select {sql_folded('source')} as source, count(*) as documents, 0::bigint as bad from documents group by 1"
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_overlap_report, p2_coverage, p2_spans, p3_found, p3_matches, p4_found, p4_groups, p4_assignment, p4_shares, p5_found, p5_cutoffs, p6_containers, p6_fill, p6_invariants, p7_uses, p7_shares, p7_invariants, p8_found, p8_rates, p8_reasons, p8_invariants)}
 SQL = {
     "p2_found": _P2_FOUND,
     "p2_overlap_report": _P2_REPORT,
@@ -255,4 +295,7 @@ SQL = {
     "p4_shares": _P4_SHARES,
     "p5_found": _P5_FOUND,
     "p5_cutoffs": _P5_CUTOFFS,
+    "p6_invariants": _P6_INVARIANTS,
+    "p7_invariants": _P7_INVARIANTS,
+    "p8_invariants": _P8_INVARIANTS,
 }

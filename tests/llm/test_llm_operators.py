@@ -214,8 +214,8 @@ def test_cutoffs_equal_brute_force_over_batches(spark, seed):
     points = {k: [rng.choice([None, float("nan"), 1.5, rng.random() * 5, 2e9, 0.0]) for _ in range(6)] for k in data}
     scored = spark.createDataFrame([(k, s, i, "x") for k, v in data.items() for i, s in enumerate(v)], "source string, score double, row_id bigint, leaf string")
     tree = cutoff.CountTree(spark)
-    for part in (0, 1, 2):
-        tree.add(scored.where(F.col("row_id") % 3 == part))
+    for part in (0, 1, 2, 1):  # one is replayed
+        tree.add(scored.where(F.col("row_id") % 3 == part), f"b{part}")
     chosen = cutoff.cutoffs(tree, scored, spark.createDataFrame(list(goal.items()), "source string, keep_permille int"), spark.createDataFrame([(k, t) for k, v in points.items() for t in v], "source string, threshold double"))
     got = {r.source: r.cutoff for r in chosen.collect()}
     assert got == {k: _brute(data.get(k, []), p, points.get(k, [])) for k, p in goal.items()}
@@ -229,10 +229,31 @@ def test_latest_and_retraction(spark):
     got = {r.row_id: r.score for r in cutoff.latest(df, F.col("s"), F.col("item"), F.col("score"), F.col("at"), F.col("id")).collect()}
     assert got == {2: 2.0, 5: 4.0}
     one = spark.createDataFrame([("a", 1.0, 1)], "source string, score double, weight int")
-    tree = cutoff.CountTree(spark).add(one).add(one.withColumn("weight", F.lit(-1)))
+    tree = cutoff.CountTree(spark).add(one, "a").add(one.withColumn("weight", F.lit(-1)), "b")
     assert tree.level(0).count() == 0
 
 
+def test_tree_is_kept_compacted_and_the_same_in_any_step(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), rng.random() * 9, f"m{i % 3}") for i in range(200)]
+    df = spark.createDataFrame(rows, "source string, score double, batch string")
+    ranks = spark.createDataFrame([("a", 1), ("a", 40), ("b", 7), ("b", 10_000), ("c", 1)], "source string, rank int")
+    want = sorted(map(tuple, cutoff.CountTree(spark, step=1).add(df, F.col("batch")).descend(ranks).collect()))
+    assert len(want) == 3
+    path = f"file://{tmp_path}/tree"
+    for batch in ("m0", "m1", "m2"):  # opened anew for each
+        cutoff.CountTree(spark, path).add(df.where(F.col("batch") == batch), batch)
+    assert sorted(map(tuple, cutoff.CountTree(spark, path).descend(ranks).collect())) == want
+    cutoff.CountTree(spark, path).compact().add(df.where("batch = 'm1'"), "m1")  # compacted already: left out
+    again = cutoff.CountTree(spark, path)
+    assert sorted(map(tuple, again.descend(ranks).collect())) == want
+    again.add(spark.createDataFrame([("c", 5.0)], "source string, score double"), "m4").compact()
+    got = sorted(map(tuple, cutoff.CountTree(spark, path).descend(ranks).collect()))
+    assert [r[:1] + r[2:] for r in got if r[0] != "c"] == [r[:1] + r[2:] for r in want] and len(got) == 4
+    with pytest.raises(ValueError):
+        cutoff.CountTree(spark, path, step=5)
+
+
 # packing ----------------------------------------------------------------------------------------------------------
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 50), max_size=60))
@@ -273,6 +294,17 @@ def test_budgets_prefer_siblings():
     assert mixing.budgets([], 5) == {}
 
 
+def test_mix_keeps_shares_over_domains_and_languages(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], ["en", "ko", None][i % 3], ["x", "y", None][i % 5 % 3], 10 + i % 7) for i in range(3000)], "doc_id bigint, source string, lang string, domain string, tokens bigint")
+    targets = spark.createDataFrame([("a", 3.0, 2), ("b", 1.0, 1)], "source string, target_weight double, max_repeat int")
+    uses, shares = mixing.mix(docs, targets, total_tokens=20_000)
+    got = {r.source: r for r in shares.collect()}
+    assert abs(got["a"].actual_share - 0.75) < 0.01 and abs(got["b"].actual_share - 0.25) < 0.01 and not got["a"].short
+    assert abs(sum(r.uses * r.tokens for r in uses.collect()) - 20_000) < 9 * 2 * 17
+    short = {r.source: r for r in mixing.mix(docs, targets, total_tokens=80_000)[1].collect()}
+    assert short["a"].short and short["a"].used_tokens <= 2 * short["a"].available_tokens
+
+
 def test_mix_epochs_prefix_and_edges(spark):
     docs = spark.createDataFrame([(i, "a", "en", 10, 1) for i in range(10)] + [(100, "b", None, 50, 1), (101, None, "en", 5, 1), (102, "c", "en", 5, 1), (103, "a", "en", 0, 1), (104, "a", "en", None, 1)], "doc_id bigint, source string, lang string, tokens bigint, budget int")
     targets = spark.createDataFrame([("a", 3.0, 3), ("b", 1.0, 1), ("none", 2.0, 5), (None, 1.0, 1), ("zero", -1.0, None)], "source string, target_weight double, max_repeat int")

@@ -1,11 +1,16 @@
-"""Scalar functions on identifiers, free text and model answers; all JVM-side."""
+"""Functions on identifiers, free text and model answers; JVM-side but for the automaton of terms."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lotmill.operators.skew import hot_keys, salted_grid
+from lotmill.session import cut
+
+
 def bank_version(object_name: Column, line: Column) -> Column:
     """object-(last part of the line)-v1."""
     return F.concat(object_name, F.lit("-"), F.element_at(F.split(line, "_"), -1), F.lit("-v1"))
@@ -115,18 +120,50 @@ def match_terms(texts: DataFrame, vocabulary: DataFrame, ident: str, text: str)
     """``ident, term, stage`` of the best term for each text of (ident, text) that has one.
 
     ``vocabulary`` has (term, alias). Stage 1: the text equals the term, whatever the case; 2: it contains an alias;
-    3: it contains the term. The lowest stage wins, then the longer match, then the lesser term. The vocabulary is a
-    bounded dimension, checked before it is broadcast; texts are reduced by a max per id, not by a sort.
+    3: it contains the term. The lowest stage wins, then the longer match, then the lesser term. Each text is read once
+    by an automaton of all terms and aliases, so its cost does not grow with their number. The vocabulary is a dimension
+    and goes to each task as it is, in parts of so many rows that a part's automaton is bounded.
     """
-    if vocabulary.limit(50_001).count() > 50_000:
-        raise ValueError("the vocabulary has over 50000 rows")
-    alias = vocabulary.select(F.lower("term").alias("lt"), "term", F.lower("alias").alias("la")).where("term is not null")
-    low = F.lower(F.col(text))
-    stages = F.array_compact(F.array(F.when(low == F.col("lt"), F.struct(F.lit(-1).alias("s"), F.char_length("lt").alias("len"))), F.when(low.contains(F.col("la")), F.struct(F.lit(-2).alias("s"), F.char_length("la").alias("len"))), F.when(low.contains(F.col("lt")), F.struct(F.lit(-3).alias("s"), F.char_length("lt").alias("len")))))
-    hit = texts.select(ident, text).join(F.broadcast(alias), low.contains(F.col("lt")) | low.contains(F.col("la")))
-    hit = hit.select(ident, "term", F.array_max(stages).alias("m"))
-    best = hit.groupBy(ident).agg(F.min(F.struct((-F.col("m.s")).alias("stage"), (-F.col("m.len")).alias("l"), "term")).alias("x"))
-    return best.select(ident, "x.term", "x.stage")
+    rows = vocabulary.where("term is not null").select("term", F.lower("term").alias("lt"), F.lower("alias").alias("la")).distinct()
+    kind, out = dict(texts.dtypes)[ident], None
+    listed = sorted(rows.collect(), key=str)  # a dimension of names
+    texts = texts.select(ident, F.lower(F.col(text)).alias("__t")).where("__t is not null")
+    for i in range(0, max(1, len(listed)), 100_000):
+        part = [tuple(r) for r in listed[i : i + 100_000]]
+
+        def run(batches, part=part):
+            import ahocorasick
+
+            words: dict[str, list[tuple[int, int, str]]] = {}
+            for term, lt, la in part:
+                if la:
+                    words.setdefault(la, []).append((2, -len(la), term))
+                if lt:
+                    words.setdefault(lt, []).append((3, -len(lt), term))
+            automaton = ahocorasick.Automaton()
+            for w, found in words.items():
+                automaton.add_word(w, (w, min(found), [(1, n, t) for s, n, t in found if s == 3]))
+            if words:
+                automaton.make_automaton()
+            for b in batches:
+                ids, terms, stages, sizes = [], [], [], []
+                for k, t in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                    best = None
+                    for _, (w, hit, whole) in automaton.iter(t) if words and t else ():
+                        for x in (hit, min(whole) if whole and w == t else hit):
+                            best = x if best is None or x < best else best
+                    if best:
+                        ids.append(k.as_py())
+                        stages.append(best[0])
+                        sizes.append(best[1])
+                        terms.append(best[2])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(stages, pa.int32()), pa.array(sizes, pa.int32()), pa.array(terms, pa.string())], [ident, "stage", "__l", "term"])
+
+        one = texts.mapInArrow(run, f"`{ident}` {kind}, stage int, __l int, term string")
+        out = one if out is None else out.unionAll(one)
+    if len(listed) > 100_000:
+        out = out.groupBy(ident).agg(F.min(F.struct("stage", "__l", "term")).alias("x")).select(ident, "x.*")
+    return out.select(ident, "term", "stage")
 
 
 def similar(issues: DataFrame, probes: DataFrame, weights: dict[str, float], top: int = 5) -> DataFrame:
@@ -134,21 +171,27 @@ def similar(issues: DataFrame, probes: DataFrame, weights: dict[str, float], top
 
     ``issues`` (issue_id, keys...), ``probes`` (probe_id, keys...). Equal non-empty keys add their weight; pairs that share
     none are left out. Candidates come from equi joins on each key, so issues that share nothing are never paired.
+    Both sides are reduced to their combinations of keys first: issues with equal keys are alike to every probe, so of
+    each combination only the first ``top`` can be asked for, and probes with equal keys have one answer, worked out once.
     Order: similarity descending, then issue id; ``matched_on`` lists the keys in the order of the weights.
     """
     keys = list(weights)
-    # issues with equal keys are alike to every probe, so of each combination only the first ``top`` can be asked for
+    asked = cut(probes.select(*keys).distinct().withColumn("__q", F.monotonically_increasing_id()))
     alike = Window.partitionBy(*keys).orderBy("issue_id")
-    issues = issues.select("issue_id", *keys).withColumn("__n", F.row_number().over(alike)).where(F.col("__n") <= top)
+    issues = cut(issues.select("issue_id", *keys).withColumn("__n", F.row_number().over(alike)).where(F.col("__n") <= top).drop("__n"))
     pairs = None
     for k in keys:
-        a = probes.where((F.col(k).isNotNull()) & (F.col(k) != "")).select("probe_id", F.col(k).alias("__k"))
-        b = issues.where((F.col(k).isNotNull()) & (F.col(k) != "")).select("issue_id", F.col(k).alias("__k"))
-        p = a.join(b, "__k").select("probe_id", "issue_id", *(F.lit(1 if j == k else 0).alias(f"m_{j}") for j in keys))
+        given = (F.col(k).isNotNull()) & (F.col(k) != "")
+        a, b = asked.where(given).select("__q", F.col(k).alias("__k")), issues.where(given).select("issue_id", F.col(k).alias("__k"))
+        a, b = salted_grid(a, b, ["__k"], hot_keys(a, ["__k"], 5_000), hot_keys(b, ["__k"], 5_000), F.col("__q"), F.col("issue_id"))
+        p = a.join(b, ["__k", "__salt", "__salt_b"]).select("__q", "issue_id", *(F.lit(1 if j == k else 0).alias(f"m_{j}") for j in keys))
         pairs = p if pairs is None else pairs.unionAll(p)
-    one = pairs.groupBy("probe_id", "issue_id").agg(*(F.max(f"m_{k}").alias(f"m_{k}") for k in keys))
+    one = pairs.groupBy("__q", "issue_id").agg(*(F.max(f"m_{k}").alias(f"m_{k}") for k in keys))
     score = F.round(sum((F.col(f"m_{k}") * F.lit(float(w)) for k, w in weights.items()), F.lit(0.0)), 4)
     on = F.array_join(F.array_compact(F.array(*(F.when(F.col(f"m_{k}") == 1, k) for k in keys))), ",")
-    one = one.select("probe_id", "issue_id", score.alias("similarity"), on.alias("matched_on"))
-    place = F.row_number().over(Window.partitionBy("probe_id").orderBy(F.desc("similarity"), "issue_id"))
-    return one.withColumn("place", place).where(F.col("place") <= top)
+    one = one.select("__q", "issue_id", score.alias("similarity"), on.alias("matched_on"))
+    place = F.row_number().over(Window.partitionBy("__q").orderBy(F.desc("similarity"), "issue_id"))
+    best = one.withColumn("place", place).where(F.col("place") <= top)
+    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"a.{k}")) for k in keys]
+    back = probes.select("probe_id", *keys).alias("p").join(asked.alias("a"), same).select("probe_id", "__q")
+    return back.join(best, "__q").select("probe_id", "issue_id", "similarity", "matched_on", "place")

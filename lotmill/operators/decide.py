@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lotmill.operators.records import area_verdict
+from lotmill.operators.skew import skew_join
+
 #: The causes, in the order of the documentation.
 CAUSES = ["threshold", "bank_contamination", "coverage_gap", "normal_overlap", "equipment_optics", "criteria"]
 #: Causes whose remedy is a rebuilt bank.
@@ -13,6 +16,8 @@ REBUILD = ["bank_contamination", "coverage_gap"]
 
 #: Columns of a case; all may be null, and null means unknown, never false.
 EVIDENCE = "case_id string, duplicate_similarity double, defect_visible boolean, quality_ok boolean, position string, has_nearest boolean, patch_is_defect boolean, coverage boolean, criteria_verdict string, sweep_achievable boolean"
+#: The names of the seven checks, in their order.
+CHECKS = ["defect_visible", "quality_within_baseline", "score_position", "nearest_patch", "nearest_patch_is_defect", "coverage_present", "criteria_verdict"]
 
 
 def usable(value: Column, ok: Column) -> Column:
@@ -20,37 +25,76 @@ def usable(value: Column, ok: Column) -> Column:
     return F.when(ok, value)
 
 
+def collect_evidence(cases: DataFrame, conditions: DataFrame, sweeps: DataFrame, labels: DataFrame) -> DataFrame:
+    """The EVIDENCE columns and ``missing_axes`` of each case, from tables.
+
+    ``cases`` has (case_id string, line, object_name, bank_version, score, threshold, area, defect_area, review_area, top_image, asked
+    map of axis to value) and, where they were judged, (duplicate_similarity, defect_visible, quality_ok); ``conditions``
+    (line, object_name, conditions map of axis to values), ``sweeps`` (bank_version, achievable), ``labels`` (image, is_defect), each
+    with one row a key. What a table does not have stays null. Coverage looks at every asked axis: axes that
+    are not recorded or not asked for are left out, and without any other it is null.
+    """
+    given = [f.split()[0] for f in EVIDENCE.split(", ")[1:4]]
+    kinds = {f.split()[0]: f.split()[1] for f in EVIDENCE.split(", ")}
+    cases = cases.withColumns({c: F.lit(None).cast(kinds[c]) for c in given if c not in cases.columns})
+    out = skew_join(cases, conditions.select("line", "object_name", "conditions"), ["line", "object_name"], F.col("case_id"), "left")
+    out = skew_join(out, sweeps.select("bank_version", F.col("achievable").alias("sweep_achievable")), ["bank_version"], F.col("case_id"), "left")
+    out = skew_join(out, labels.select(F.col("image").alias("top_image"), F.col("is_defect").alias("patch_is_defect")), ["top_image"], F.col("case_id"), "left")
+    score = F.when(~F.isnan("score"), F.col("score"))
+    known = F.map_filter("asked", lambda k, v: v.isNotNull() & F.element_at("conditions", k).isNotNull())
+    lacking = F.map_filter(known, lambda k, v: ~F.array_contains(F.element_at("conditions", k), v))
+    answered = F.coalesce(F.size(F.map_keys(known)), F.lit(0)) > 0
+    out = out.withColumn("position", F.when(score >= F.col("threshold"), "above").when(score >= 0.9 * F.col("threshold"), "near").when(score < 0.9 * F.col("threshold"), "below"))
+    out = out.withColumn("has_nearest", F.col("top_image").isNotNull()).withColumn("coverage", F.when(answered, F.size(F.map_keys(lacking)) == 0))
+    verdict = F.when(F.col("area").isNotNull() & F.col("defect_area").isNotNull(), area_verdict(F.col("area"), F.col("defect_area"), F.col("review_area")))
+    out = out.withColumn("criteria_verdict", verdict).withColumn("missing_axes", F.coalesce(F.array_sort(F.map_keys(lacking)), F.array().cast("array<string>")))
+    return out.select(*(F.col(k).cast(v).alias(k) for k, v in kinds.items()), "missing_axes")
+
+
+def evidence_rows(evidence: DataFrame) -> DataFrame:
+    """``case_id, item_no, name, value, usable``: seven rows for each case, those that could not be checked too."""
+    cols = ["defect_visible", "quality_ok", "position", "has_nearest", "patch_is_defect", "coverage", "criteria_verdict"]
+    value = lambda c: F.when(F.col(c), "true") if c == "has_nearest" else F.col(c).cast("string")
+    items = F.array(*(F.struct(F.lit(i).alias("item_no"), F.lit(n).alias("name"), value(c).alias("value")) for i, (n, c) in enumerate(zip(CHECKS, cols, strict=True), 1)))
+    return evidence.select("case_id", F.explode(items).alias("x")).select("case_id", "x.*").withColumn("usable", F.col("value").isNotNull())
+
+
 def decide(cases: DataFrame, duplicate_at: float = 0.85) -> DataFrame:
-    """``case_id, outcome, cause, confidence, needs_human, needs_rebuild`` of cases with the EVIDENCE columns.
+    """``case_id, outcome, cause, confidence, needs_human, needs_rebuild, candidates`` of cases with the EVIDENCE columns.
 
-    Evaluated in order: a duplicate; a defect that is not seen is withheld; bad quality; above the threshold and passed by the
+    Evaluated in order: a duplicate; a defect that is seen not to be there is withheld; bad quality; above the threshold and passed by the
     criteria; no nearest patch is withheld; a defect in the patch; an unknown patch is withheld; for a genuine patch
     coverage, then the sweep, then the criteria, then the position. Unknown evidence never counts as a yes or a no.
+    ``candidates`` are the causes that a withheld case is still open to.
     """
     c = F.col
     genuine = c("patch_is_defect") == F.lit(False)
     rules = [
-        (c("duplicate_similarity") >= duplicate_at, "duplicate", None, None, False),
-        (c("defect_visible").isNull() | ~c("defect_visible"), "withheld", None, None, True),
-        (~c("quality_ok"), "decided", "equipment_optics", "high", False),
-        ((c("position") == "above") & (c("criteria_verdict") == "pass"), "decided", "criteria", "high", False),
-        (c("has_nearest").isNull() | ~c("has_nearest"), "withheld", None, None, True),
-        (c("patch_is_defect"), "decided", "bank_contamination", "high", False),
-        (genuine & ~c("coverage"), "decided", "coverage_gap", "high", False),
-        (genuine & c("sweep_achievable"), "decided", "threshold", "high", False),
-        (genuine & ~c("sweep_achievable"), "decided", "normal_overlap", "high", False),
-        (genuine & (c("criteria_verdict") == "defect"), "decided", "threshold", "low", True),
-        (genuine & c("criteria_verdict").isin("review", "pass"), "decided", "normal_overlap", "low", True),
-        (genuine & (c("position") == "near"), "decided", "threshold", "low", True),
-        (genuine, "decided", "normal_overlap", "medium", True),
+        (c("duplicate_similarity") >= duplicate_at, "duplicate", None, "high", False, []),
+        (~c("defect_visible"), "withheld", None, None, True, []),
+        (~c("quality_ok"), "decided", "equipment_optics", "high", False, []),
+        ((c("position") == "above") & (c("criteria_verdict") == "pass"), "decided", "criteria", "high", False, []),
+        (c("has_nearest").isNull() | ~c("has_nearest"), "withheld", None, None, True, ["bank_contamination", "coverage_gap", "normal_overlap", "threshold"]),
+        (c("patch_is_defect"), "decided", "bank_contamination", "high", False, []),
+        (genuine & ~c("coverage"), "decided", "coverage_gap", "high", False, []),
+        (genuine & c("sweep_achievable"), "decided", "threshold", "high", False, []),
+        (genuine & ~c("sweep_achievable"), "decided", "normal_overlap", "high", False, []),
+        (genuine & (c("criteria_verdict") == "defect"), "decided", "threshold", "low", True, []),
+        (genuine & c("criteria_verdict").isin("review", "pass"), "decided", "normal_overlap", "low", True, []),
+        (genuine & (c("position") == "near"), "decided", "threshold", "low", True, []),
+        (genuine, "decided", "normal_overlap", "medium", True, []),
+        (~c("coverage"), "withheld", None, None, True, ["bank_contamination", "normal_overlap", "coverage_gap"]),
     ]
-    last = F.struct(F.lit("withheld").alias("outcome"), F.lit(None).cast("string").alias("cause"), F.lit(None).cast("string").alias("confidence"), F.lit(True).alias("needs_human"))
+
+    def result(outcome: str, cause: str | None, confidence: str | None, human: bool, candidates: list[str]) -> Column:
+        open_ = F.array(*(F.lit(x) for x in candidates)).cast("array<string>")
+        return F.struct(F.lit(outcome).alias("outcome"), F.lit(cause).cast("string").alias("cause"), F.lit(confidence).cast("string").alias("confidence"), F.lit(human).alias("needs_human"), open_.alias("candidates"))
+
     pick = None
-    for when, outcome, cause, confidence, human in rules:
-        x = F.struct(F.lit(outcome).alias("outcome"), F.lit(cause).cast("string").alias("cause"), F.lit(confidence).cast("string").alias("confidence"), F.lit(human).alias("needs_human"))
-        pick = F.when(when, x) if pick is None else pick.when(when, x)
-    out = cases.select("case_id", pick.otherwise(last).alias("x")).select("case_id", "x.*")
-    return out.withColumn("needs_rebuild", F.coalesce(c("cause").isin(*REBUILD), F.lit(False)))
+    for when, *rest in rules:
+        pick = F.when(when, result(*rest)) if pick is None else pick.when(when, result(*rest))
+    out = cases.select("case_id", pick.otherwise(result("withheld", None, None, True, ["bank_contamination", "normal_overlap"])).alias("x")).select("case_id", "x.*")
+    return out.select("case_id", "outcome", "cause", "confidence", "needs_human", F.coalesce(c("cause").isin(*REBUILD), F.lit(False)).alias("needs_rebuild"), "candidates")
 
 
 def scored(decided: DataFrame, truth: DataFrame) -> DataFrame:

@@ -16,13 +16,15 @@ def current_folders(pointers: DataFrame, folders: DataFrame, by: list[str]) -> D
 
 
 def finalized(decided: DataFrame, actions: DataFrame) -> DataFrame:
-    """``case_id, cause, recommended, forbidden``: the action lists of a decided case's cause; empty lists for a case without cause.
+    """``case_id, cause, recommended, forbidden``: the action lists of a decided case's cause.
 
-    ``actions`` is a dimension (cause, recommended array, forbidden array), counted before it is broadcast.
+    A duplicate asks for a look at the past issue, a case withheld without candidates for the right picture; other cases
+    without cause have empty lists. ``actions`` is a dimension (cause, recommended array, forbidden array), counted before it is broadcast.
     """
     none = F.array().cast("array<string>")
-    out = decided.select("case_id", "cause").join(small(actions), "cause", "left")
-    return out.select("case_id", "cause", F.coalesce("recommended", none).alias("recommended"), F.coalesce("forbidden", none).alias("forbidden"))
+    own = F.when(F.col("outcome") == "duplicate", F.array(F.lit("review_past_issue"))).when((F.col("outcome") == "withheld") & (F.size("candidates") == 0), F.array(F.lit("request_correct_image"))).otherwise(none)
+    out = decided.select("case_id", "cause", "outcome", "candidates").join(small(actions), "cause", "left")
+    return out.select("case_id", "cause", F.coalesce("recommended", own).alias("recommended"), F.coalesce("forbidden", none).alias("forbidden"))
 
 
 def violations(recommended: DataFrame, truth: DataFrame) -> DataFrame:

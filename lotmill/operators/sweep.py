@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lotmill.operators.skew import running, skew_join
+from lotmill.session import cut
 
 
 def score_counts(scores: DataFrame, by: list[str]) -> DataFrame:
@@ -58,9 +58,13 @@ def feasibility(scores: DataFrame, by: list[str], detection: float = 1.0, max_fp
 
 
 def thinned(points: DataFrame, by: list[str], rows: int = 20) -> DataFrame:
-    """At most ``rows`` points of each curve, evenly spaced by rank, the first and last among them."""
-    w = Window.partitionBy(*by)
-    p = points.withColumn("__i", F.row_number().over(w.orderBy(F.desc("threshold"))) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
+    """At most ``rows`` points of each curve by descending threshold, evenly spaced by rank, the first and last among them.
+
+    Of n points those at the ranks round-half-even(i * (n - 1) / (rows - 1)); all of them if there are no more than ``rows``.
+    Thresholds are distinct within a curve. Ranks are running counts over ranges of the thresholds.
+    """
+    p = running(points.withColumn("__one", F.lit(1)), by, [F.desc("threshold")], ["__one"])
+    p = skew_join(p, cut(p.groupBy(*by).agg(F.sum("__one").alias("__n"))), by, F.col("threshold"))
     step = (F.col("__n") - 1) / F.lit(float(max(1, rows - 1)))
-    near = F.bround(F.bround(F.col("__i") / step) * step)
-    return p.where((F.col("__n") <= rows) | (near == F.col("__i"))).drop("__i", "__n")
+    spots = F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda i: F.bround(i * step).cast("bigint"))
+    return p.where((F.col("__n") <= rows) | F.array_contains(spots, (F.col("__upto___one") - 1).cast("bigint"))).select(*points.columns)

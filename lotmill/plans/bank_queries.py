@@ -137,7 +137,11 @@ def bank_contribution(spark, sf_dir):
     return knn.top_match_counts(r)
 
 
-@query()
+@query("with recursive " + KNN.split("q as (")[0].replace("with ", "", 1) + """l as (select k, list(e order by bank_row) as es, list(bank_row order by bank_row) as ids, greatest(1, round_even(count(*) * 0.1::double, 0)::bigint) as want from b where k is not null group by k),
+g(k, step, near, picks) as (select k, 1::bigint, list_transform(es, lambda e: list_distance(e, es[1])), [1::bigint] from l
+  union all select x.k, x.step + 1, list_transform(x.near, lambda v, i: least(v, list_distance(l.es[i], l.es[x.p]))), list_append(x.picks, x.p) from (select *, list_position(near, list_max(near))::bigint as p from g) x join l on l.k = x.k where x.step < least(l.want, 20000)),
+f as (select k, picks from g qualify row_number() over (partition by k order by step desc) = 1)
+select f.k as key, l.ids[i] as bank_row, l.want > 20000 as capped from (select k, unnest(list_distinct(picks)) as i from f) f join l using (k)""")
 def coreset_greedy(spark, sf_dir):
     return knn.coreset(_bank(spark, sf_dir), 0.1)
 
@@ -174,12 +178,27 @@ def hottest_cell(spark, sf_dir):
     return grid.hottest_cell(_cells(spark, sf_dir), ["map"]).withColumn("value", F.round("value", 6))
 
 
-@query()
+_FAR = "(abs(c.row - {p}.row) >= 3 or abs(c.col - {p}.col) >= 3)"
+
+
+def _next(place: int, *before: str) -> str:
+    joins = " ".join(f"join {p} using (map)" for p in before)
+    apart = " and ".join(_FAR.format(p=p) for p in before) or "true"
+    return f"h{place} as (select map, row, col from (select c.map, c.row, c.col, row_number() over (partition by c.map order by c.value desc, c.row, c.col) as rn from cells c {joins} where c.value is not null and {apart}) where rn = 1)"
+
+
+@query(_CELLS.rstrip() + ", " + ", ".join([_next(1), _next(2, "h1"), _next(3, "h1", "h2")]) + " " + " union all ".join(f"select map, {i} as place, row, col from h{i}" for i in (1, 2, 3)))
 def hottest_cells(spark, sf_dir):
     return grid.hottest_cells(_cells(spark, sf_dir), ["map"], 3)
 
 
-@query()
+_MASK = _CELLS.replace("with c as", "with recursive c as").rstrip() + """, m as (select map, row * 1000 + col as i, row, col from cells where value >= 120),
+n(map, i, seen) as (select map, i, i from m union select n.map, n.i, o.i from n join m a on a.map = n.map and a.i = n.seen join m o on o.map = a.map and abs(o.row - a.row) + abs(o.col - a.col) = 1),
+r as (select map, i, min(seen) as root from n group by all), s as (select map, root, count(*) as size from r group by all), b as (select map, count(*) as blob_count, max(size) as largest_area, sum(size)::bigint as total_area from s group by map)
+select a.map, coalesce(blob_count, 0) as blob_count, coalesce(largest_area, 0) as largest_area, coalesce(total_area, 0) as total_area from (select distinct map from cells) a left join b on b.map is not distinct from a.map"""
+
+
+@query(_MASK)
 def blob_areas(spark, sf_dir):
     return grid.blobs(_cells(spark, sf_dir), ["map"], 120.0)
 
@@ -189,6 +208,17 @@ def upsampled_areas(spark, sf_dir):
     return grid.blobs(_cells(spark, sf_dir), ["map"], 120.0, scale=(48, 96))
 
 
+@query(_CELLS.rstrip() + """, d as (select map, max(row) as h, max(col) as w from cells group by map),
+p as (select d.*, i, j, i * (h / 47.0::double) as y, j * (w / 95.0::double) as x from d, range(48) a(i), range(96) b(j)),
+q as (select *, floor(y)::int as r0, least(floor(y)::int + 1, h) as r1, y - floor(y) as fr, floor(x)::int as c0, least(floor(x)::int + 1, w) as c1, x - floor(x) as fc from p),
+v as (select q.map, (coalesce(a.value, 0) * (1 - fc) + coalesce(b.value, 0) * fc) * (1 - fr) + (coalesce(c.value, 0) * (1 - fc) + coalesce(e.value, 0) * fc) * fr as value from q
+  left join cells a on a.map = q.map and a.row = r0 and a.col = c0 left join cells b on b.map = q.map and b.row = r0 and b.col = c1 left join cells c on c.map = q.map and c.row = r1 and c.col = c0 left join cells e on e.map = q.map and e.row = r1 and e.col = c1)
+select map, count(*) filter (value >= 120) as total_area from v group by map""")
+def upsampled_totals(spark, sf_dir):
+    """Pixels at or above the cutoff of each upsampled map."""
+    return grid.blobs(_cells(spark, sf_dir), ["map"], 120.0, scale=(48, 96)).select("map", "total_area")
+
+
 @query(_CELLS + "select map, greatest(min(row) - 1, 0) as row0, greatest(min(col) - 1, 0) as col0, max(row) + 1 as row1, max(col) + 1 as col1 from cells where value >= 200 group by 1")
 def mask_boxes(spark, sf_dir):
     return grid.mask_box(_cells(spark, sf_dir), ["map"], 200.0, 1)
@@ -287,7 +317,8 @@ def feasibility(spark, sf_dir):
     return sweep.feasibility(_scores(spark, sf_dir), ["bank_version"])
 
 
-@query()
+@query(_CURVE + """, r as (select *, row_number() over (partition by bank_version order by threshold desc) - 1 as i, count(*) over (partition by bank_version) as n from p)
+select bank_version, threshold, detected, missed, false_positives, true_negatives, detection_rate, false_positive_rate from r where n <= 20 or list_contains(list_transform(range(20), lambda j: round_even(j * ((n - 1) / 19.0::double), 0)::bigint), i)""")
 def thinned_curve(spark, sf_dir):
     return sweep.thinned(sweep.curve(_scores(spark, sf_dir), ["bank_version"]), ["bank_version"], 20)
 

@@ -38,18 +38,42 @@ def current_folders(spark, sf_dir):
     return gov.current_folders(pointers, folders, ["bank_version"])
 
 
-# What each cause asks for and rules out.
-ACTIONS = [("threshold", ["adjust_threshold"], ["rebuild_bank"]), ("bank_contamination", ["remove_images", "rebuild_bank"], ["adjust_threshold"]), ("coverage_gap", ["add_images", "rebuild_bank"], ["adjust_threshold"]), ("normal_overlap", ["review_features"], ["rebuild_bank", "adjust_threshold"]), ("equipment_optics", ["check_optics"], ["rebuild_bank", "adjust_threshold"]), ("criteria", ["revise_criteria"], ["rebuild_bank"])]
-
-
-@query(_DECIDE + ", a(cause, n_rec, n_for) as (values " + ", ".join(f"('{c}', {len(r)}, {len(f)})" for c, r, f in ACTIONS) + ") select r.case_id, coalesce(a.n_rec, 0)::int as recommended, coalesce(a.n_for, 0)::int as forbidden, 0::int as violated from r left join a using (cause)")
+# What each cause asks for, and what it rules out.
+RECOMMENDED = {
+    "threshold": ["adjust_threshold", "shadow_compare"],
+    "bank_contamination": ["remove_contaminated_samples", "rebuild_bank", "shadow_compare"],
+    "coverage_gap": ["add_normal_images_for_condition", "rebuild_bank", "shadow_compare"],
+    "normal_overlap": ["redefine_criteria", "add_dedicated_detector", "improve_imaging"],
+    "equipment_optics": ["request_equipment_check"],
+    "criteria": ["redefine_criteria"],
+}
+FORBIDDEN = {
+    "threshold": ["rebuild_bank"],
+    "bank_contamination": ["lower_threshold"],
+    "coverage_gap": [],
+    "normal_overlap": ["rebuild_bank", "lower_threshold"],
+    "equipment_optics": ["rebuild_bank", "lower_threshold"],
+    "criteria": ["rebuild_bank", "lower_threshold"],
+}
+
+
+@query(_DECIDE + """, a(cause, recommended, forbidden) as (values
+  ('threshold', 'adjust_threshold,shadow_compare', 'rebuild_bank'),
+  ('bank_contamination', 'remove_contaminated_samples,rebuild_bank,shadow_compare', 'lower_threshold'),
+  ('coverage_gap', 'add_normal_images_for_condition,rebuild_bank,shadow_compare', ''),
+  ('normal_overlap', 'redefine_criteria,add_dedicated_detector,improve_imaging', 'rebuild_bank,lower_threshold'),
+  ('equipment_optics', 'request_equipment_check', 'rebuild_bank,lower_threshold'),
+  ('criteria', 'redefine_criteria', 'rebuild_bank,lower_threshold'))
+select r.case_id, coalesce(a.recommended, case when outcome = 'duplicate' then 'review_past_issue' when candidates = '' then 'request_correct_image' else '' end) as recommended, coalesce(a.forbidden, '') as forbidden, 0::int as violated from r left join a using (cause)""")
 def case_actions(spark, sf_dir):
+    """The actions of the decided cases; a fixture, the same at every size."""
     cases, truth = _cases(spark)
-    actions = spark.createDataFrame(ACTIONS, "cause string, recommended array<string>, forbidden array<string>")
+    actions = spark.createDataFrame([(c, RECOMMENDED[c], FORBIDDEN[c]) for c in dc.CAUSES], "cause string, recommended array<string>, forbidden array<string>")
     out = gov.finalized(dc.decide(cases), actions)
     ruled = truth.join(lookups.small(actions.withColumnRenamed("cause", "expected_cause")), "expected_cause").select("case_id", "forbidden")
     bad = gov.violations(out, ruled)
-    return out.join(bad, "case_id").select("case_id", F.size("recommended").alias("recommended"), F.size("forbidden").alias("forbidden"), F.col("forbidden_actions").alias("violated"))
+    text = lambda c: F.array_join(c, ",").alias(c)
+    return out.join(bad, "case_id", "left").select("case_id", text("recommended"), text("forbidden"), F.coalesce("forbidden_actions", F.lit(0)).alias("violated"))
 
 
 @query(f"with n as (select {sql_folded('lang')} as lang, count(*) as n from documents group by 1) select l.lang, coalesce(n.n, 0) as n, coalesce(n.n, 0) < 100 as short from (values ('en'), ('ko'), ('de'), ('fr')) l(lang) left join n using (lang)")

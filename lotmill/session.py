@@ -13,6 +13,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -54,9 +55,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
-    """A path for a table in the shared folder that no other run uses."""
-    return f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    """A path for a table in the shared folder that no other run uses, below a folder of this application's own."""
+    return f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the tables that this application wrote under paths of :func:`new_table_path`; results that read them must be stored before.
+
+    Checkpoints go as soon as nothing refers to them (``spark.cleaner.referenceTracking.cleanCheckpoints``).
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

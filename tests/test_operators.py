@@ -250,6 +250,45 @@ def test_decision_table(spark):
     assert none.outcome == "withheld" and none.cause is None
 
 
+def test_unknown_evidence_decides_nothing(spark):
+    ev = lambda **k: tuple({**dict.fromkeys(f.split()[0] for f in decide.EVIDENCE.split(", ")), **k}.values())
+    rows = [ev(case_id="seen", defect_visible=False, quality_ok=False), ev(case_id="unseen", quality_ok=False), ev(case_id="patch", has_nearest=True, coverage=False), ev(case_id="bare"), ev(case_id="twin", duplicate_similarity=0.85)]
+    got = {r.case_id: (r.outcome, r.cause, r.candidates) for r in decide.decide(spark.createDataFrame(rows, decide.EVIDENCE)).collect()}
+    assert got["seen"] == ("withheld", None, []) and got["unseen"] == ("decided", "equipment_optics", []) and got["twin"] == ("duplicate", None, [])
+    assert got["patch"][2] == ["bank_contamination", "normal_overlap", "coverage_gap"] and len(got["bare"][2]) == 4
+
+
+def test_collected_evidence(spark):
+    ddl = "case_id string, line string, object_name string, bank_version string, score double, threshold double, area double, defect_area double, review_area double, top_image string, asked map<string, string>"
+    cases = [("a", "l", "o", "b", 1.9, 2.0, 3.0, 2.5, 1.5, "p1", {"date": "d1", "lot": "x", "equipment": "e9"}), ("b", "l", "o", "c", float("nan"), 2.0, None, 2.5, 1.5, None, {"date": "d1", "lot": None}), ("c", None, None, None, None, None, None, None, None, "p2", None), ("d", "l", "o", "b", 2.0, 2.0, 1.6, 2.5, None, "p3", {"lot": "x"})]
+    con = spark.createDataFrame([("l", "o", {"date": ["d1"], "equipment": ["e1"]})], "line string, object_name string, conditions map<string, array<string>>")
+    sweeps, labels = spark.createDataFrame([("b", True)], "bank_version string, achievable boolean"), spark.createDataFrame([("p1", True), ("p2", False)], "image string, is_defect boolean")
+    out = decide.collect_evidence(spark.createDataFrame(cases, ddl), con, sweeps, labels)
+    got = {r.case_id: (r.position, r.has_nearest, r.patch_is_defect, r.coverage, r.missing_axes, r.criteria_verdict, r.sweep_achievable) for r in out.collect()}
+    assert got == {"a": ("near", True, True, False, ["equipment"], "defect", True), "b": (None, False, None, True, [], None, None), "c": (None, True, False, None, [], None, None), "d": ("above", True, None, None, [], "pass", True)}
+    rows = decide.evidence_rows(out)
+    assert rows.count() == 28 and {r.item_no for r in rows.where("case_id = 'a' and not usable").collect()} == {1, 2}
+
+
+def test_terms_of_many_and_long_texts(spark):
+    vocab = spark.createDataFrame([(f"term{i:06d}", f"alias {i:06d}") for i in range(1000)] + [(None, "x"), ("", "y"), ("deep", None)], "term string, alias string")
+    texts = spark.createDataFrame([(1, "z" * 300_000 + "ALIAS 000007" + " term000003"), (2, ""), (3, None), (4, "term000003"), (5, "xxterm000003xx")], "id bigint, text string")
+    got = {r.id: (r.term, r.stage) for r in text.match_terms(texts, vocab, "id", "text").collect()}
+    assert got == {1: ("term000007", 2), 4: ("term000003", 1), 5: ("term000003", 3)}
+    assert text.match_terms(texts, vocab.limit(0), "id", "text").count() == 0
+
+
+def test_tables_of_a_run_are_removed(spark):
+    from lotmill.session import clear, new_table_path
+
+    path = new_table_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    clear(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
+
+
 def test_quality(spark):
     long = spark.createDataFrame([("a", "m", 1.0), ("a", "m", 3.0), ("a", "m", None), ("b", "m", 5.0)], "line string, metric string, value double")
     got = {r.line: (r.n, r.mean, round(r.std, 6)) for r in quality.baseline(long, ["line"]).collect()}

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,8 +50,27 @@ def shared_dir(spark: SparkSession) -> str:
     return now
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once an application, unless they find it by themselves: installed, on their PYTHONPATH or in their folder."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    found = sc.master.startswith("local") and (str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or Path.cwd() == root)
+    if found or "site-packages" in root.parts:
+        return
+    path = Path(tempfile.mkdtemp(prefix="lotmill-")) / "lotmill.zip"  # read from here by the driver, which serves it to the executors
+    with zipfile.PyZipFile(path, "w") as z:
+        z.writepy(str(Path(__file__).parent))
+    sc.addPyFile(str(path))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, which survives the loss of executors."""
+    ship(df.sparkSession)
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
@@ -74,4 +96,5 @@ def clear(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -50,7 +50,7 @@ def criteria_asof(facts: DataFrame, rules: DataFrame, fact_id: list[str], at: st
         if given:
             out = skew_join(out, listed, given, F.struct(*fact_id), "left")
         else:  # one row: the rules that give no axis
-            one_row = listed.select((F.size(f"__l{i}") * 0).alias("__any"), f"__l{i}")
+            one_row = listed.select(F.least(F.size(f"__l{i}"), F.lit(0)).alias("__any"), f"__l{i}")
             out = out.withColumn("__any", F.pmod(F.xxhash64(*fact_id), F.lit(1)).cast("int")).join(F.broadcast(one_row), "__any", "left").drop("__any")
         ok = F.filter(f"__l{i}", lambda o: (o["a"].isNull() | F.coalesce(o["a"] <= F.col(at), F.lit(False))) & (o["z"].isNull() | F.coalesce(o["z"] >= F.col(at), F.lit(False))))
         first = F.try_element_at(ok, F.lit(1))["v"]

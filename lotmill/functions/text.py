@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lotmill.operators.skew import hot_keys, salted_grid
+from lotmill.operators.skew import skew_join
 from lotmill.session import cut
 
 
@@ -170,28 +170,29 @@ def similar(issues: DataFrame, probes: DataFrame, weights: dict[str, float], top
     """``probe_id, issue_id, similarity, matched_on, place``: the issues that share most weight with each probe.
 
     ``issues`` (issue_id, keys...), ``probes`` (probe_id, keys...). Equal non-empty keys add their weight; pairs that share
-    none are left out. Candidates come from equi joins on each key, so issues that share nothing are never paired.
-    Both sides are reduced to their combinations of keys first: issues with equal keys are alike to every probe, so of
-    each combination only the first ``top`` can be asked for, and probes with equal keys have one answer, worked out once.
-    Order: similarity descending, then issue id; ``matched_on`` lists the keys in the order of the weights.
+    none are left out. Order: similarity descending, then issue id; ``matched_on`` lists the keys in the order of the weights.
+
+    An issue among the ``top`` of a probe is, for the set of keys that it shares with it, among the ``top`` least ids of those that
+    share that set: any of these before it is as similar at least. So for each set of keys (2**keys - 1 of them) each combination
+    of values keeps its ``top`` least issues, and a probe meets one row a set, however many issues share a key with it. Weights must be positive.
     """
     keys = list(weights)
-    asked = cut(probes.select(*keys).distinct().withColumn("__q", F.monotonically_increasing_id()))
-    alike = Window.partitionBy(*keys).orderBy("issue_id")
-    issues = cut(issues.select("issue_id", *keys).withColumn("__n", F.row_number().over(alike)).where(F.col("__n") <= top).drop("__n"))
-    pairs = None
-    for k in keys:
-        given = (F.col(k).isNotNull()) & (F.col(k) != "")
-        a, b = asked.where(given).select("__q", F.col(k).alias("__k")), issues.where(given).select("issue_id", F.col(k).alias("__k"))
-        a, b = salted_grid(a, b, ["__k"], hot_keys(a, ["__k"], 5_000), hot_keys(b, ["__k"], 5_000), F.col("__q"), F.col("issue_id"))
-        p = a.join(b, ["__k", "__salt", "__salt_b"]).select("__q", "issue_id", *(F.lit(1 if j == k else 0).alias(f"m_{j}") for j in keys))
-        pairs = p if pairs is None else pairs.unionAll(p)
-    one = pairs.groupBy("__q", "issue_id").agg(*(F.max(f"m_{k}").alias(f"m_{k}") for k in keys))
-    score = F.round(sum((F.col(f"m_{k}") * F.lit(float(w)) for k, w in weights.items()), F.lit(0.0)), 4)
-    on = F.array_join(F.array_compact(F.array(*(F.when(F.col(f"m_{k}") == 1, k) for k in keys))), ",")
-    one = one.select("__q", "issue_id", score.alias("similarity"), on.alias("matched_on"))
-    place = F.row_number().over(Window.partitionBy("__q").orderBy(F.desc("similarity"), "issue_id"))
-    best = one.withColumn("place", place).where(F.col("place") <= top)
-    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"a.{k}")) for k in keys]
-    back = probes.select("probe_id", *keys).alias("p").join(asked.alias("a"), same).select("probe_id", "__q")
-    return back.join(best, "__q").select("probe_id", "issue_id", "similarity", "matched_on", "place")
+    if min(weights.values()) <= 0:
+        raise ValueError("weights are positive")
+    sets = [[k for i, k in enumerate(keys) if n >> i & 1] for n in range(1, 2 ** len(keys))]
+
+    def by_set(df: DataFrame) -> DataFrame:
+        cells = [F.when(F.forall(F.array(*(F.col(k).cast("string") for k in s)), lambda v: F.coalesce(v != "", F.lit(False))), F.to_json(F.array(F.lit(str(i)), *(F.col(k).cast("string") for k in s)))) for i, s in enumerate(sets)]
+        return df.withColumn("__key", F.explode(F.array_compact(F.array(*cells))))
+
+    first = Window.partitionBy("__key").orderBy("issue_id")
+    heads = by_set(issues.select("issue_id", *keys)).withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= top)
+    heads = cut(heads.groupBy("__key").agg(F.collect_list(F.struct("issue_id", *keys)).alias("__heads")))  # at most ``top``
+    asked = by_set(probes.select("probe_id", *keys))
+    met = skew_join(asked, heads, ["__key"], F.col("probe_id")).select("probe_id", *keys, F.explode("__heads").alias("__i"))
+    same = {k: F.coalesce((F.col(k) != "") & (F.col(k) == F.col(f"__i.{k}")), F.lit(False)) for k in keys}
+    score = F.round(sum((F.when(same[k], F.lit(float(w))).otherwise(0.0) for k, w in weights.items()), F.lit(0.0)), 4)
+    on = F.array_join(F.array_compact(F.array(*(F.when(same[k], k) for k in keys))), ",")
+    one = met.select("probe_id", F.col("__i.issue_id").alias("issue_id"), score.alias("similarity"), on.alias("matched_on")).distinct()
+    place = F.row_number().over(Window.partitionBy("probe_id").orderBy(F.desc("similarity"), "issue_id"))
+    return one.withColumn("place", place).where(F.col("place") <= top)

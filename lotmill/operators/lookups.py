@@ -39,6 +39,7 @@ def criteria_asof(facts: DataFrame, rules: DataFrame, fact_id: list[str], at: st
     shape = F.concat_ws("", *(F.when(F.col(f"r_{a}").isNull(), "0").otherwise("1") for a in axes)) if axes else F.lit("")
     r = r.withColumn("__shape", shape)
     shapes = sorted((x["__shape"] for x in r.select("__shape").distinct().collect()), key=lambda x: (-x.count("1"), x))  # at most 2**axes
+    few = small_enough(r)  # then so is each part of it
     order = F.struct("rule_order", *values)
     out, picks = facts, []
     for i, x in enumerate(shapes):
@@ -48,7 +49,7 @@ def criteria_asof(facts: DataFrame, rules: DataFrame, fact_id: list[str], at: st
         keys = [F.col(f"r_{a}").alias(a) for a in given] or [F.lit(1).alias("__any")]
         listed = mine.select(*keys, one.alias("o")).groupBy(*(given or ["__any"])).agg(F.array_sort(F.collect_list("o"), lambda p, q: F.when(p["v"]["rule_order"] < q["v"]["rule_order"], -1).when(p["v"]["rule_order"] > q["v"]["rule_order"], 1).otherwise(0)).alias(f"__l{i}"))
         if given:
-            out = skew_join(out, listed, given, F.struct(*fact_id), "left")
+            out = skew_join(out, listed, given, F.struct(*fact_id), "left", is_small=few)
         else:  # one row: the rules that give no axis
             one_row = listed.select(F.least(F.size(f"__l{i}"), F.lit(0)).alias("__any"), f"__l{i}")
             out = out.withColumn("__any", F.pmod(F.xxhash64(*fact_id), F.lit(1)).cast("int")).join(F.broadcast(one_row), "__any", "left").drop("__any")

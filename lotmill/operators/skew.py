@@ -159,23 +159,35 @@ def _running_small(part: DataFrame, groups: list[str], order: str, sums: list[st
     return part.select("*", *(F.sum(c).over(upto).alias(f"__upto_{c}") for c in sums))
 
 
-def running(df: DataFrame, groups: list[str], order: list[Column], sums: list[str]) -> DataFrame:
+#: Up to so many rows in all, running sums are taken by one window over each group; the result is the same.
+WINDOW_ROWS = 50_000
+
+
+def running(df: DataFrame, groups: list[str], order: list[Column], sums: list[str], totals: bool = False, window_rows: int | None = None) -> DataFrame:
     """``df`` with, for each of ``sums``, ``__upto_<name>``: its sum within the group over all rows up to this one in ``order``.
 
-    ``order`` must be unique within a group. Rows are range-partitioned by group and order, summed within their partition and
+    ``totals`` adds ``__all_<name>``, the sum over the whole group. ``order`` must be unique within a group. ``df`` is
+    checkpointed and counted; with over ``window_rows`` (WINDOW_ROWS) rows it is range-partitioned by group and order, summed within each partition and
     offset by the totals of the partitions before (a table of groups x partitions), so a group may span any number of tasks.
-    The layout is checkpointed, as both passes must see the same ranges.
     """
+    laid = cut(df)
+    if laid.count() <= (WINDOW_ROWS if window_rows is None else window_rows):
+        whole = Window.partitionBy(*groups)
+        upto = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        out = laid.select("*", *(F.sum(c).over(upto).alias(f"__upto_{c}") for c in sums))
+        return out.select("*", *(F.sum(c).over(whole).alias(f"__all_{c}") for c in sums)) if totals else out
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = cut(df.repartitionByRange(n, *groups, *order).withColumn("__p", F.spark_partition_id()))
+    laid = cut(laid.repartitionByRange(n, *groups, *order).withColumn("__p", F.spark_partition_id()))
     keys = [*groups, "__p"]
     within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*groups).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*groups)
+    before = every.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     part = laid.groupBy(*keys).agg(*(F.sum(c).alias(f"__t_{c}") for c in sums))
-    part = part.select(*keys, *(F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__b_{c}") for c in sums))
+    more = [F.sum(f"__t_{c}").over(every).alias(f"__all_{c}") for c in sums] if totals else []
+    part = part.select(*keys, *(F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__b_{c}") for c in sums), *more)
     inner = laid.select("*", *(F.sum(c).over(within).alias(f"__w_{c}") for c in sums))
     out = inner.join(part, keys)
-    return out.select(*df.columns, *((F.col(f"__b_{c}") + F.col(f"__w_{c}")).alias(f"__upto_{c}") for c in sums))
+    return out.select(*df.columns, *((F.col(f"__b_{c}") + F.col(f"__w_{c}")).alias(f"__upto_{c}") for c in sums), *(f"__all_{c}" for c in sums if totals))
 
 
 def quantiles(df: DataFrame, groups: list[str], value: str, shares: dict[str, float]) -> DataFrame:
@@ -185,9 +197,7 @@ def quantiles(df: DataFrame, groups: list[str], value: str, shares: dict[str, fl
     hash map holds the values of a whole group. NaN counts as the greatest value.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    ranks = running(counts, groups, [F.col("__v")], ["__n"])
-    whole = cut(ranks.groupBy(*groups).agg(F.sum("__n").alias("n")))
-    both = skew_join(ranks, whole, groups, F.col("__v"))
+    both = running(counts, groups, [F.col("__v")], ["__n"], totals=True).withColumnRenamed("__all___n", "n")
     below, upto, at = F.col("__upto___n") - F.col("__n"), F.col("__upto___n"), {}
     for name, share in shares.items():
         place = F.lit(float(share)) * (F.col("n") - 1)

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotmill.operators.skew import running, skew_join
-from lotmill.session import cut
+from lotmill.operators.skew import running
 
 
 def score_counts(scores: DataFrame, by: list[str]) -> DataFrame:
@@ -35,8 +34,7 @@ def curve(scores: DataFrame, by: list[str]) -> DataFrame:
     n = score_counts(scores, by)
     top = n.groupBy(*by).agg(F.max("score").alias("m")).select(*by, (F.col("m") + F.greatest(F.lit(1e-9), F.abs("m") * 1e-6)).alias("score"), F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("neg"))
     n = n.unionByName(top)
-    n = running(n, by, [F.desc("score")], ["pos", "neg"]).withColumnsRenamed({"__upto_pos": "detected", "__upto_neg": "false_positives"})
-    n = skew_join(n, n.groupBy(*by).agg(F.sum("pos").alias("np"), F.sum("neg").alias("nn")), by, F.col("score"))
+    n = running(n, by, [F.desc("score")], ["pos", "neg"], totals=True).withColumnsRenamed({"__upto_pos": "detected", "__upto_neg": "false_positives", "__all_pos": "np", "__all_neg": "nn"})
     rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     return n.select(*by, F.col("score").alias("threshold"), "detected", (F.col("np") - F.col("detected")).alias("missed"), "false_positives", (F.col("nn") - F.col("false_positives")).alias("true_negatives"), rate("detected", "np").alias("detection_rate"), rate("false_positives", "nn").alias("false_positive_rate"))
 
@@ -63,8 +61,7 @@ def thinned(points: DataFrame, by: list[str], rows: int = 20) -> DataFrame:
     Of n points those at the ranks round-half-even(i * (n - 1) / (rows - 1)); all of them if there are no more than ``rows``.
     Thresholds are distinct within a curve. Ranks are running counts over ranges of the thresholds.
     """
-    p = running(points.withColumn("__one", F.lit(1)), by, [F.desc("threshold")], ["__one"])
-    p = skew_join(p, cut(p.groupBy(*by).agg(F.sum("__one").alias("__n"))), by, F.col("threshold"))
+    p = running(points.withColumn("__one", F.lit(1)), by, [F.desc("threshold")], ["__one"], totals=True).withColumnRenamed("__all___one", "__n")
     step = (F.col("__n") - 1) / F.lit(float(max(1, rows - 1)))
     spots = F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda i: F.bround(i * step).cast("bigint"))
     return p.where((F.col("__n") <= rows) | F.array_contains(spots, (F.col("__upto___one") - 1).cast("bigint"))).select(*points.columns)

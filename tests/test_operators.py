@@ -74,12 +74,13 @@ def test_small_enough_counts_bytes(spark):
     assert small_enough(df) and not small_enough(df, size=200) and not small_enough(df, rows=2) and small_enough(df.limit(0))
 
 
-def test_quantiles_equal_numpy(spark):
+def test_quantiles_equal_numpy(spark, monkeypatch):
     from lotmill.operators.skew import quantiles
 
     rng = np.random.default_rng(5)
     v = {"a": rng.random(301).tolist(), "b": [1.0, 2.0], "c": [5.0], "d": rng.integers(0, 3, 100).astype(float).tolist()}
     df = spark.createDataFrame([(k, x) for k, xs in v.items() for x in xs] + [("a", None), ("n", None)], "k string, v double")
+    monkeypatch.setattr("lotmill.operators.skew.WINDOW_ROWS", 0)
     got = {r.k: (r.n, r.lo, r.med, r.hi) for r in quantiles(df, ["k"], "v", {"lo": 0.01, "med": 0.5, "hi": 0.99}).collect()}
     assert set(got) == set(v)
     for k, xs in v.items():
@@ -270,6 +271,24 @@ def test_collected_evidence(spark):
     assert rows.count() == 28 and {r.item_no for r in rows.where("case_id = 'a' and not usable").collect()} == {1, 2}
 
 
+def test_similar_equals_brute_force(spark):
+    rng = np.random.default_rng(8)
+    pick = lambda v: [None, "", *v][int(rng.integers(0, len(v) + 2))]
+    rows = [(i, pick("ab"), pick("xyz"), pick("p")) for i in range(200)]
+    w = {"o": 0.45, "d": 0.4, "l": 0.15}
+    issues = spark.createDataFrame(rows, "issue_id bigint, o string, d string, l string")
+    got = {}
+    for r in text.similar(issues, issues.where("issue_id % 9 = 0").withColumnRenamed("issue_id", "probe_id"), w, 4).orderBy("probe_id", "place").collect():
+        got.setdefault(r.probe_id, []).append((r.issue_id, r.similarity, r.matched_on))
+    for p in rows[::9]:
+        want = []
+        for i in rows:
+            on = [k for k, a, b in zip(w, p[1:], i[1:], strict=True) if a and a == b]
+            if on:
+                want.append((i[0], round(sum(w[k] for k in on), 4), ",".join(on)))
+        assert got.get(p[0], []) == sorted(want, key=lambda x: (-x[1], x[0]))[:4]
+
+
 def test_terms_of_many_and_long_texts(spark):
     vocab = spark.createDataFrame([(f"term{i:06d}", f"alias {i:06d}") for i in range(1000)] + [(None, "x"), ("", "y"), ("deep", None)], "term string, alias string")
     texts = spark.createDataFrame([(1, "z" * 300_000 + "ALIAS 000007" + " term000003"), (2, ""), (3, None), (4, "term000003"), (5, "xxterm000003xx")], "id bigint, text string")
@@ -326,10 +345,11 @@ def test_running_spans_tasks(spark):
     from lotmill.operators.skew import running
 
     df = spark.range(2000).select(F.when(F.col("id") % 3 == 0, "small").otherwise("hot").alias("g"), "id", (F.col("id") % 7).alias("v"))
-    rows = running(df, ["g"], [F.desc("id")], ["v"]).orderBy("g", F.desc("id")).collect()
-    for g in ("small", "hot"):
-        mine = [r for r in rows if r.g == g]
-        assert [r["__upto_v"] for r in mine] == list(np.cumsum([r.v for r in mine]))
+    for bound in (0, 50_000):  # over ranges, and by one window
+        rows = running(df, ["g"], [F.desc("id")], ["v"], totals=True, window_rows=bound).orderBy("g", F.desc("id")).collect()
+        for g in ("small", "hot"):
+            mine = [r for r in rows if r.g == g]
+            assert [r["__upto_v"] for r in mine] == list(np.cumsum([r.v for r in mine])) and {r["__all_v"] for r in mine} == {sum(r.v for r in mine)}
     assert running(df.limit(0), ["g"], [F.desc("id")], ["v"]).count() == 0
 
 

@@ -56,7 +56,7 @@ class CountTree:
         return self.spark.read.schema(schema).parquet(f"{self.path}/log") if self._exists(f"{self.path}/log") else self.spark.createDataFrame([], schema)
 
     def _generation(self) -> int:
-        return self._log().agg(F.max("generation")).first()[0] or 0
+        return self._log().agg(F.max("generation")).first()[0] or 0 if self._exists(f"{self.path}/log") else 0
 
     def add(self, batch: DataFrame, name: str | Column = "0") -> CountTree:
         """Add a batch (source, score) or (source, score, weight); weight -1 takes a score back that was added before.

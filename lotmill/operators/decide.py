@@ -26,7 +26,7 @@ def usable(value: Column, ok: Column) -> Column:
 
 
 def collect_evidence(cases: DataFrame, conditions: DataFrame, sweeps: DataFrame, labels: DataFrame) -> DataFrame:
-    """The EVIDENCE columns and ``missing_axes`` of each case, from tables.
+    """The EVIDENCE columns, ``line, object_name``, ``missing`` (map of axis to value) and ``missing_axes`` (its sorted keys) of each case, from tables.
 
     ``cases`` has (case_id string, line, object_name, bank_version, score, threshold, area, defect_area, review_area, top_image, asked
     map of axis to value) and, where they were judged, (duplicate_similarity, defect_visible, quality_ok); ``conditions``
@@ -47,8 +47,8 @@ def collect_evidence(cases: DataFrame, conditions: DataFrame, sweeps: DataFrame,
     out = out.withColumn("position", F.when(score >= F.col("threshold"), "above").when(score >= 0.9 * F.col("threshold"), "near").when(score < 0.9 * F.col("threshold"), "below"))
     out = out.withColumn("has_nearest", F.col("top_image").isNotNull()).withColumn("coverage", F.when(answered, F.size(F.map_keys(lacking)) == 0))
     verdict = F.when(F.col("area").isNotNull() & F.col("defect_area").isNotNull(), area_verdict(F.col("area"), F.col("defect_area"), F.col("review_area")))
-    out = out.withColumn("criteria_verdict", verdict).withColumn("missing_axes", F.coalesce(F.array_sort(F.map_keys(lacking)), F.array().cast("array<string>")))
-    return out.select(*(F.col(k).cast(v).alias(k) for k, v in kinds.items()), "missing_axes")
+    out = out.withColumn("criteria_verdict", verdict).withColumn("missing", lacking).withColumn("missing_axes", F.coalesce(F.array_sort(F.map_keys(lacking)), F.array().cast("array<string>")))
+    return out.select(*(F.col(k).cast(v).alias(k) for k, v in kinds.items()), "line", "object_name", "missing", "missing_axes")
 
 
 def evidence_rows(evidence: DataFrame) -> DataFrame:
@@ -132,3 +132,24 @@ def removal_candidates(hits: DataFrame, isolation: DataFrame, by: list[str], ima
     out = out.withColumn("evidence_count", 1 + F.coalesce((F.col("z") >= 1).cast("int"), F.lit(0)))
     w = Window.partitionBy(*by).orderBy(F.desc("evidence_count"), F.desc("hits"), F.desc(F.coalesce("z", F.lit(0.0))), image)
     return out.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
+
+
+def additions(decided: DataFrame, evidence: DataFrame, least: int = 20) -> DataFrame:
+    """``line, object_name, axis, value, cases, min_images``: what cases decided as a coverage gap ask to be added to their bank, one row a missing condition."""
+    gaps = decided.where("cause = 'coverage_gap'").select("case_id").join(evidence.select("case_id", "line", "object_name", "missing"), "case_id")
+    each = gaps.select("line", "object_name", F.explode("missing").alias("axis", "value"))
+    return each.groupBy("line", "object_name", "axis", "value").agg(F.count(F.lit(1)).alias("cases"), F.lit(least).alias("min_images"))
+
+
+def removal_cost(candidates: DataFrame, bank: DataFrame, by: list[str], image: str, heavy_at: float = 0.20) -> DataFrame:
+    """``by, removed_images, removed_patches, patches, images, patch_share, heavy, weak, needs_human`` of removing the candidates of each group.
+
+    ``bank`` has a row a patch (by, image); candidates that the bank does not have cost nothing. A person is needed
+    where the share of patches is ``heavy_at`` or more, or any candidate rests on one piece of evidence.
+    """
+    own = bank.where(F.col(image).isNotNull()).groupBy(*by, image).agg(F.count(F.lit(1)).alias("n"))
+    whole = own.groupBy(*by).agg(F.sum("n").alias("patches"), F.count(F.lit(1)).alias("images"))
+    hit = candidates.join(own, [*by, image], "left").groupBy(*by).agg(F.count("n").alias("removed_images"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("removed_patches"), F.count_if(F.col("evidence_count") < 2).alias("weak"))
+    out = hit.join(whole, by, "left").withColumn("patch_share", F.coalesce(F.col("removed_patches") / F.col("patches"), F.lit(0.0)))
+    out = out.withColumn("heavy", F.col("patch_share") >= heavy_at).withColumn("needs_human", (F.col("weak") > 0) | F.col("heavy"))
+    return out.select(*by, "removed_images", "removed_patches", F.coalesce("patches", F.lit(0)).cast("bigint").alias("patches"), F.coalesce("images", F.lit(0)).cast("bigint").alias("images"), "patch_share", "heavy", "weak", "needs_human")

@@ -272,23 +272,12 @@ def date_windows(spark, sf_dir):
     return production.date_windows(_records(spark, sf_dir), ["line"], "captured_at")
 
 
-@query(r"""with m as (select row_id, line, date_str::date as day, 30 + row_id % 60 as d, row_id % 5 as g, row_number() over (partition by line order by date_str::date, row_id) as i from mes where regexp_matches(date_str, '^\d{4}-\d{2}-\d{2}$') and line is not null),
-p as (select *, coalesce(sum(d) over (partition by line order by i rows between unbounded preceding and 1 preceding), 0) + sum(case when i = 1 then 0 else g end) over (partition by line order by i) as p from m),
-s as (select *, p + max(epoch(day)::bigint + 1 - p) over (partition by line order by i) as st from p)
-select row_id, line, st::bigint as start_s, (st + d)::bigint as end_s from s""")
-def production_clock(spark, sf_dir):
-    """As its SQL has it, only over days written yyyy-MM-dd and nothing else; :func:`production_clock_days` takes every day that can be read."""
-    m = table(spark, sf_dir, "mes").where("line is not null").where(F.col("date_str").rlike(r"^\d{4}-\d{2}-\d{2}$")).select("row_id", "line", F.to_date("date_str").alias("day"))
-    out = production.production_clock(m, ["line"], ["day", "row_id"], "day", 30 + F.col("row_id") % 60, F.col("row_id") % 5)
-    return out.select("row_id", "line", "start_s", "end_s")
-
-
 @query(rf"""with m as (select row_id, line, try_strptime({_HEAD}, '%Y-%m-%d')::date as day, 30 + row_id % 60 as d, row_id % 5 as g from mes where regexp_matches({_HEAD}, '^\d{{4}}-\d{{2}}-\d{{2}}$') and line is not null),
 o as (select *, row_number() over (partition by line order by day, row_id) as i from m where day is not null),
 p as (select *, coalesce(sum(d) over (partition by line order by i rows between unbounded preceding and 1 preceding), 0) + sum(case when i = 1 then 0 else g end) over (partition by line order by i) as p from o),
 s as (select *, p + max(epoch(day)::bigint + 1 - p) over (partition by line order by i) as st from p)
 select row_id, line, st::bigint as start_s, (st + d)::bigint as end_s from s""")
-def production_clock_days(spark, sf_dir):
+def production_clock(spark, sf_dir):
     """The clock over every row of a line whose day :func:`records.date_or_null` reads, blanks around it and a time behind it included.
 
     Rows without a day have no place on the clock and are left out: date_str null, blank, written otherwise (2025/03/03, 2025.03.03, 20250303) or no day.
@@ -328,3 +317,37 @@ def rule_dq_checks(spark, sf_dir):
     days = days.agg(F.count_if((F.col("b") > 0) & (F.col("o") > 0)).alias("violations")).select(F.lit("date_overlap").alias("check_name"), "violations")
     paths = r.where("path is not null").groupBy("path").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("violations")).select(F.lit("duplicate_path").alias("check_name"), "violations")
     return rows.unionByName(days).unionByName(paths)
+
+
+@query(REC + """, lots as (select distinct {m} as k from manifest), logs as (select distinct {m} as k from mes),
+d as (select line, captured_at, bool_or(split = 'bank') as b, bool_or(split = 'operation') as o from rec where captured_at is not null and line is not null group by all)
+select 'manifest_split' as check_name, count(*) filter (split not in ('bank', 'operation', 'holdout', 'pending')) as found, count(*) filter (split not in ('bank', 'operation', 'holdout', 'pending')) = 0 as passed from rec
+union all select 'manifest_label', count(*) filter (truth is null), count(*) filter (truth is null) = 0 from rec
+union all select 'lots_without_record', count(*), count(*) = 0 from lots where k is not null and k not in (select k from logs where k is not null)
+union all select 'lots_without_image', count(*), count(*) = 0 from logs where k is not null and k not in (select k from lots where k is not null)
+union all select 'bank_rows', count(*) filter (split = 'bank'), count(*) filter (split = 'bank') > 0 from rec
+union all select 'operation_rows', count(*) filter (split = 'operation'), count(*) filter (split = 'operation') > 0 from rec
+union all select 'lines_with_shared_days', count(distinct line) filter (b and o), count(distinct line) filter (b and o) = 0 from d
+union all select 'bank_not_normal', count(*) filter (split = 'bank' and truth is distinct from 'pass'), count(*) filter (split = 'bank' and truth is distinct from 'pass') = 0 from rec
+union all select 'days', count(distinct captured_at), count(distinct captured_at) > 1 from rec union all select 'lots', count(distinct lot), count(distinct lot) > 1 from rec
+union all select 'equipment', count(distinct equipment), count(distinct equipment) > 1 from rec union all select 'lines', count(distinct line), count(distinct line) >= 3 from rec""".replace("{m}", sql_plain_lot("lot_id")))
+def factory_checks(spark, sf_dir):
+    """Every check of a catalogue and its production records: values, references both ways, separation of bank and operation days, spread of the conditions."""
+    r = _records(spark, sf_dir)
+    is_, ok = (lambda s: F.col("split") == s), ["bank", "operation", "holdout", "pending"]
+    counts = {
+        "manifest_split": F.count_if(~F.col("split").isin(*ok)), "manifest_label": F.count_if(F.col("truth").isNull()), "bank_rows": F.count_if(is_("bank")), "operation_rows": F.count_if(is_("operation")),
+        "bank_not_normal": F.count_if(is_("bank") & ~F.col("truth").eqNullSafe("pass")),
+    }
+    long = lambda df: df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("check_name"), F.col(c).cast("bigint").alias("found")) for c in df.columns))).alias("x")).select("x.*")
+    flat = long(r.agg(*(c.alias(k) for k, c in counts.items())))
+    # one distinct value a row, so that no task holds the values of a column
+    values = r.select(F.explode(F.array(*(F.struct(F.lit(n).alias("check_name"), F.col(c).cast("string").alias("v")) for n, c in (("days", "captured_at"), ("lots", "lot"), ("equipment", "equipment"), ("lines", "line"))))).alias("x")).select("x.*")
+    spread = values.where("v is not null").distinct().groupBy("check_name").agg(F.count(F.lit(1)).alias("found"))
+    lots = lookups.missing_both_ways(table(spark, sf_dir, "manifest"), table(spark, sf_dir, "mes"), plain_lot(F.col("lot_id")), ("manifest", "mes"))
+    lots = long(lots.agg(F.count_if(F.col("missing_in") == "mes").alias("lots_without_record"), F.count_if(F.col("missing_in") == "manifest").alias("lots_without_image")))
+    days = r.where("captured_at is not null and line is not null").groupBy("line", "captured_at").agg(F.count_if(is_("bank")).alias("b"), F.count_if(is_("operation")).alias("o"))
+    days = days.where("b > 0 and o > 0").select("line").distinct().agg(F.count(F.lit(1)).alias("lines_with_shared_days"))
+    out, n = flat.unionByName(spread).unionByName(lots).unionByName(long(days)), F.col("found")
+    passed = F.when(F.col("check_name").isin("bank_rows", "operation_rows"), n > 0).when(F.col("check_name").isin("days", "lots", "equipment"), n > 1).when(F.col("check_name") == "lines", n >= 3).otherwise(n == 0)
+    return out.withColumn("passed", passed)

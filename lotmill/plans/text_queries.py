@@ -176,7 +176,7 @@ t as (select path, bool_or(truth = 'defect') as is_defect from rec where truth i
 p as (select {sql_folded("bank_version")} as k, * from sweep_points where bank_version is not null), w as (select k, threshold, false_positive_rate as f, row_number() over (partition by k order by threshold desc, false_positive_rate desc) as rn from p where detection_rate >= 1 - 1e-9 and threshold is not null and false_positive_rate is not null),
 a as (select distinct p.k, coalesce(w.f <= 0.05, false) as achievable from p left join w on w.k = p.k and w.rn = 1),
 m as (select i.result_id::varchar || '-' || r.row_id::varchar as case_id, r.*, i.score, i.max_patch_distance as area, matches[1].bank_image as top_image, {sql_folded("i.bank_version")} as k from rec r join inference_results i on i.image = r.path where r.truth = 'defect' and i.score < 2 and i.score::varchar <> 'nan'),
-v as (select m.case_id, case when b.d is null or m.captured_at is null then null else list_contains(b.d, m.captured_at::varchar) end as on_date, case when b.e is null or m.equipment is null then null else list_contains(b.e, m.equipment) end as on_equipment,
+v as (select m.case_id, m.line, m.object_name, m.captured_at, m.equipment, case when b.d is null or m.captured_at is null then null else list_contains(b.d, m.captured_at::varchar) end as on_date, case when b.e is null or m.equipment is null then null else list_contains(b.e, m.equipment) end as on_equipment,
   case when m.score >= 0.9 * 2 then 'near' else 'below' end as position, m.top_image is not null as nearest, t.is_defect as patch, case when area is not null then case when area >= 2.5 then 'defect' when area >= 1.5 then 'review' else 'pass' end end as criteria, a.achievable as sweep
   from m left join b on b.line = m.line and b.object_name = m.object_name left join t on t.path = m.top_image left join a on a.k = m.k),
 c as (select *, null as dup, null::boolean as visible, null::boolean as quality, case when on_date is null and on_equipment is null then null else coalesce(on_date, true) and coalesce(on_equipment, true) end as coverage, concat_ws(',', case when not on_date then 'date' end, case when not on_equipment then 'equipment' end) as missing, null::varchar as expected from v),
@@ -233,23 +233,14 @@ def intake_verdict(spark, sf_dir):
     return dc.intake(reports, similar)
 
 
-@query(f"""with h as (select {sql_folded("bank_version")} as bank_version, matches[1].bank_image as bank_image from inference_results where len(matches) > 0 and score < 2 and bank_version is not null),
-n as (select *, count(*) as hits from h where bank_image is not null group by all), z as (select {sql_folded("bank_version")} as bank_version, source_image as bank_image, count(*) / 10.0::double as z from bank_patches where source_image is not null and bank_version is not null group by all),
-j as (select n.*, z.z, 1 + coalesce((z.z >= 1)::int, 0) as evidence_count from n left join z using (bank_version, bank_image))
-select bank_version, bank_image, hits, z, evidence_count, place::int as place from (select *, row_number() over (partition by bank_version order by evidence_count desc, hits desc, coalesce(z, 0) desc, bank_image) as place from j) where place <= 10""")
-def removal_candidates(spark, sf_dir):
-    """As its SQL has it, with a tenth of an image's bank rows in the place of its isolation; :func:`removal_candidates_isolated` takes the isolation."""
-    r = table(spark, sf_dir, "inference_results").where("score < 2 and bank_version is not null and not isnan(score)").where(F.size("matches") > 0)
-    hits = r.select(folded(F.col("bank_version")).alias("bank_version"), F.element_at("matches", 1)["bank_image"].alias("bank_image")).where("bank_image is not null")
-    z = table(spark, sf_dir, "bank_patches").where("source_image is not null and bank_version is not null").groupBy(folded(F.col("bank_version")).alias("bank_version"), F.col("source_image").alias("bank_image")).agg((F.count(F.lit(1)) / 10.0).alias("z"))
-    return dc.removal_candidates(hits, z, ["bank_version"], "bank_image")
+_REMOVE = banks._IMG + f""", h as (select {sql_folded("bank_version")} as bank_version, matches[1].bank_image as bank_image from inference_results where len(matches) > 0 and score < 2 and bank_version is not null),
+n as (select *, count(*) as hits from h where bank_image is not null group by all),
+j as (select n.*, round(i.z_mean, 6) as z, 1 + coalesce((round(i.z_mean, 6) >= 1)::int, 0) as evidence_count from n left join i on n.bank_version = i.key and n.bank_image = i.source_image),
+o as (select bank_version, bank_image, hits, z, evidence_count, place::int as place from (select *, row_number() over (partition by bank_version order by evidence_count desc, hits desc, coalesce(z, 0) desc, bank_image) as place from j) where place <= 10)"""
 
 
-@query(banks._IMG + f""", h as (select {sql_folded("bank_version")} as bank_version, matches[1].bank_image as bank_image from inference_results where len(matches) > 0 and score < 2 and bank_version is not null),
-n as (select *, count(*) as hits from h where bank_image is not null group by all),
-j as (select n.*, round(i.z_mean, 6) as z, 1 + coalesce((round(i.z_mean, 6) >= 1)::int, 0) as evidence_count from n left join i on n.bank_version = i.key and n.bank_image = i.source_image)
-select bank_version, bank_image, hits, z, evidence_count, place::int as place from (select *, row_number() over (partition by bank_version order by evidence_count desc, hits desc, coalesce(z, 0) desc, bank_image) as place from j) where place <= 10""")
-def removal_candidates_isolated(spark, sf_dir):
+@query(_REMOVE + " select * from o")
+def removal_candidates(spark, sf_dir):
     """Images that missed results point at, annotated by the mean isolation z of their rows in the bank; null where the bank is too small or lacks the image."""
     r = table(spark, sf_dir, "inference_results").where("score < 2 and bank_version is not null and not isnan(score)").where(F.size("matches") > 0)
     hits = r.select(folded(F.col("bank_version")).alias("bank_version"), F.element_at("matches", 1)["bank_image"].alias("bank_image")).where("bank_image is not null")
@@ -257,6 +248,45 @@ def removal_candidates_isolated(spark, sf_dir):
     return dc.removal_candidates(hits, z, ["bank_version"], "bank_image")
 
 
+@query(_REMOVE + f""", p as (select {sql_folded("bank_version")} as bank_version, source_image as bank_image, count(*) as n from bank_patches where source_image is not null and bank_version is not null group by all),
+w as (select bank_version, sum(n)::bigint as patches, count(*) as images from p group by 1),
+h2 as (select o.bank_version, count(p.n) as removed_images, coalesce(sum(p.n), 0)::bigint as removed_patches, count(*) filter (o.evidence_count < 2) as weak from o left join p using (bank_version, bank_image) group by 1)
+select h2.bank_version, removed_images, removed_patches, coalesce(patches, 0) as patches, coalesce(images, 0) as images, coalesce(removed_patches / patches, 0.0) as patch_share, coalesce(removed_patches / patches, 0.0) >= 0.20 as heavy, weak, weak > 0 or coalesce(removed_patches / patches, 0.0) >= 0.20 as needs_human from h2 left join w using (bank_version)""")
+def removal_costs(spark, sf_dir):
+    """What removing each bank's candidates would take out of it."""
+    bank = table(spark, sf_dir, "bank_patches").where("bank_version is not null").select(folded(F.col("bank_version")).alias("bank_version"), F.col("source_image").alias("bank_image"))
+    return dc.removal_cost(removal_candidates(spark, sf_dir), bank, ["bank_version"], "bank_image")
+
+
+@query(_DIAG + _decided("c") + ", x as (select c.line, c.object_name, unnest([{'axis': 'date', 'value': case when not on_date then captured_at::varchar end}, {'axis': 'equipment', 'value': case when not on_equipment then equipment end}]) as m from r join c using (case_id) where cause = 'coverage_gap') select line, object_name, m.axis as axis, m.value as value, count(*) as cases, 20 as min_images from x where m.value is not null group by all")
+def addition_requests(spark, sf_dir):
+    """The conditions that missed images ask their banks to be filled up with."""
+    e = _evidence(spark, sf_dir)
+    return dc.additions(dc.decide(e), e)
+
+
+_TERM = SQL["defect_terms"]
+
+
+@query("with t as (" + _TERM + """), r as (select d.doc_id as report_id, line, object_name, t.term, nullif(regexp_extract(text, '(LOT-[A-Z]{3}-[0-9]{8})', 1), '') as lot, nullif(regexp_extract(text, '(img_[0-9]{4})', 1), '') as img from documents d left join t using (doc_id)),
+s as (select report_id, min(report_id) over (partition by line, object_name, term) as issue_id from r where line <> '' and object_name <> '' and term <> ''),
+p as (select report_id, issue_id from s where issue_id < report_id)
+select r.report_id, case when line is null or object_name is null or (lot is null and img is null) then 'need_more_info' when p.issue_id is not null then 'duplicate' else 'proceed' end as verdict,
+ case when not (line is null or object_name is null or (lot is null and img is null)) then p.issue_id end as duplicate_of from r left join p using (report_id)""")
+def intake_similar(spark, sf_dir):
+    """Intake over the similarity of issues: a report is a duplicate of the earliest one that shares object, defect type and line with it (0.95 or more).
+
+    Past issues count as resolved. With these weights no two keys alone reach 0.95, so the most similar issue is the least id of the same three.
+    """
+    d = table(spark, sf_dir, "documents")
+    lot, img = (F.nullif(F.regexp_extract("text", p, 1), F.lit("")) for p in ("(LOT-[A-Z]{3}-[0-9]{8})", "(img_[0-9]{4})"))
+    reports = d.select(F.col("doc_id").alias("report_id"), "line", "object_name", img.isNotNull().cast("int").alias("attachments"), F.lit(None).cast("string").alias("product_id"), lot.alias("lot"))
+    typed = cut(d.select("doc_id", "line", "object_name").join(defect_terms(spark, sf_dir).select("doc_id", F.col("term").alias("defect_type")), "doc_id", "left"))
+    near = tx.similar(typed.withColumnRenamed("doc_id", "issue_id"), typed.withColumnRenamed("doc_id", "probe_id"), _W, 1)
+    near = near.where("issue_id < probe_id").select(F.col("probe_id").alias("report_id"), "issue_id", "similarity", F.lit(True).alias("same_line"), F.lit(True).alias("resolved"))
+    return dc.intake(reports, near)
+
+
 @query("""with l as (select coalesce(lower(trim(split_part(coalesce(ercd, 'normal'), ',', 1))), 'normal') as f, line from mes) select line, case when f in ('normal', '') then 'normal' else 'anomaly' end as kind, count(*) as n from l group by all""")
 def first_label_pools(spark, sf_dir):
     return files.first_labels(table(spark, sf_dir, "mes"), "line", "ercd")

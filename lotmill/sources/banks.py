@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotmill.operators.distribution import next_number
+from lotmill.operators.versions import version_number
+
 
 class BankStore:
     """``root/bank`` partitioned by bank_version, ``root/meta`` one row a version, ``root/decisions`` append-only.
@@ -43,6 +46,34 @@ class BankStore:
         row = self.spark.createDataFrame([(at, to, now, by, reason)], "at string, to string, previous string, by string, reason string")
         row.write.mode("append").json(f"{self.root}/decisions")
 
+    def adopt(self, version: str, at: str) -> bool:
+        """Make a first build current without a person: only while none is, or one whose number is 1 at most. True if it did."""
+        now = self.current()
+        if now is not None:
+            number = self.spark.range(1).select(version_number(F.lit(now))).first()[0]
+            if number is None or number > 1:
+                return False
+        self.switch(version, "first build", "no later version in use", at)
+        return True
+
+    def approve(self, to: str, by: str, reason: str, approved: bool, at: str, issue: dict[str, str]) -> str:
+        """Append a handled issue to ``root/history`` and return its id; it is resolved only if it was approved.
+
+        ``issue`` holds any of line, object_name, defect_type, cause, action, summary. An approval never changes which version is current.
+        """
+        if not by.strip() or not reason.strip():
+            raise ValueError("an approval needs a person and a reason")
+        fields = ["line", "object_name", "defect_type", "cause", "action", "summary"]
+        past = self._rows("history", "issue_id string")
+        number = next_number(past, F.col("issue_id")).first()[0]
+        row = (number, *(issue.get(f) for f in fields), approved, to, by.strip(), reason.strip(), at)
+        ddl = "issue_id string, " + ", ".join(f"{f} string" for f in fields) + ", resolved boolean, bank_version string, approved_by string, reason string, at string"
+        self.spark.createDataFrame([row], ddl).write.mode("append").json(f"{self.root}/history")
+        return number
+
+    def history(self) -> DataFrame:
+        return self._rows("history", "issue_id string, line string, object_name string, defect_type string, cause string, action string, summary string, resolved boolean, bank_version string, approved_by string, reason string, at string")
+
     def current(self) -> str | None:
         """The target of the latest decision; None before the first."""
         log = self._rows("decisions", "at string, to string").where("at is not null and to is not null")
@@ -51,7 +82,7 @@ class BankStore:
     def _rows(self, name: str, ddl: str) -> DataFrame:
         from lotmill.sources.files import read_jsonl
 
-        if name == "decisions":
+        if name in ("decisions", "history"):
             return read_jsonl(self.spark, f"{self.root}/{name}", ddl)
         try:
             got = self.spark.read.parquet(f"{self.root}/{name}")

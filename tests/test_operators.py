@@ -204,7 +204,7 @@ def test_removal_candidates_rest_on_isolation(spark, tmp_path):
     spark.createDataFrame(bank, "bank_version string, bank_row bigint, source_image string, embedding array<float>").selectExpr("*", "1 as patch_row", "1 as patch_col").write.parquet(f"{tmp_path}/bank_patches.parquet")
     hits = [("b 1", 1.0, [("plain",)]), ("b 1", 1.5, [("plain",)]), ("b 1", 1.0, [("apart",)]), ("b 1", 3.0, [("far",)])]
     spark.createDataFrame(hits, "bank_version string, score double, matches array<struct<bank_image: string>>").write.parquet(f"{tmp_path}/inference_results.parquet")
-    got = {r.bank_image: (r.place, r.evidence_count, r.hits) for r in text_queries.removal_candidates_isolated(spark, str(tmp_path)).collect()}
+    got = {r.bank_image: (r.place, r.evidence_count, r.hits) for r in text_queries.removal_candidates(spark, str(tmp_path)).collect()}
     assert got == {"apart": (1, 2, 1), "plain": (2, 1, 2)}  # counts of rows would put plain first
 
 
@@ -223,7 +223,7 @@ def test_exact_neighbours_in_blocks_equal_brute_force(spark):
 def test_clock_takes_days_with_blanks_and_times(spark, tmp_path):
     rows = [(1, "l", "2025-03-03"), (2, "l", " 2025-03-03"), (3, "l", "2025-03-03T00:00:00"), (4, "l", "2025/03/03"), (5, "l", None), (6, None, "2025-03-03"), (7, "l", "2025-13-03")]
     spark.createDataFrame(rows, "row_id bigint, line string, date_str string").write.parquet(f"{tmp_path}/mes.parquet")
-    got = {r.row_id: (r.start_s, r.end_s) for r in lookup_queries.production_clock_days(spark, str(tmp_path)).collect()}
+    got = {r.row_id: (r.start_s, r.end_s) for r in lookup_queries.production_clock(spark, str(tmp_path)).collect()}
     day = 1740960000
     assert got == {1: (day + 1, day + 32), 2: (day + 34, day + 66), 3: (day + 69, day + 102)}
 

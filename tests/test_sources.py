@@ -89,3 +89,16 @@ def test_image_scan_keeps_the_least_path_of_a_name(spark, tmp_path):
     (tmp_path / "a" / "note.txt").write_text("x")
     got = files.scan_images(spark, str(tmp_path)).collect()
     assert [(r.name, r.path.rsplit("/", 2)[1]) for r in got] == [("x.png", "a")]
+
+
+def test_first_build_is_adopted_and_approvals_are_history(spark, tmp_path):
+    store = BankStore(spark, f"file://{tmp_path}/store")
+    assert store.adopt("a-v1", "2025-01-01T00:00:00") and store.current() == "a-v1"
+    assert store.adopt("a-v2", "2025-01-02T00:00:00") and store.current() == "a-v2"
+    assert not store.adopt("a-v3", "2025-01-03T00:00:00") and store.current() == "a-v2"
+    assert store.approve("a-v3", "kim", "checked", True, "2025-01-04T00:00:00", {"line": "l", "cause": "threshold"}) == "ISS-0001"
+    assert store.approve("a-v4", "lee", "worse", False, "2025-01-05T00:00:00", {}) == "ISS-0002"
+    assert {r.issue_id: (r.resolved, r.bank_version, r.cause) for r in store.history().collect()} == {"ISS-0001": (True, "a-v3", "threshold"), "ISS-0002": (False, "a-v4", None)}
+    assert store.current() == "a-v2"
+    with pytest.raises(ValueError):
+        store.approve("a-v5", " ", "x", True, "2025-01-06T00:00:00", {})

@@ -203,17 +203,22 @@ def blob_areas(spark, sf_dir):
     return grid.blobs(_cells(spark, sf_dir), ["map"], 120.0)
 
 
-@query()
+_UPSAMPLED = _CELLS.replace("with c as", "with recursive c as").rstrip() + """, d as (select map, max(row) as h, max(col) as w from cells group by map),
+p as (select d.*, i, j, i * (h / 47.0::double) as y, j * (w / 95.0::double) as x from d, range(48) a(i), range(96) b(j)),
+q as (select *, floor(y)::int as r0, least(floor(y)::int + 1, h) as r1, y - floor(y) as fr, floor(x)::int as c0, least(floor(x)::int + 1, w) as c1, x - floor(x) as fc from p),
+v as (select q.map, i, j, (coalesce(a.value, 0) * (1 - fc) + coalesce(b.value, 0) * fc) * (1 - fr) + (coalesce(c.value, 0) * (1 - fc) + coalesce(e.value, 0) * fc) * fr as value from q
+  left join cells a on a.map = q.map and a.row = r0 and a.col = c0 left join cells b on b.map = q.map and b.row = r0 and b.col = c1 left join cells c on c.map = q.map and c.row = r1 and c.col = c0 left join cells e on e.map = q.map and e.row = r1 and e.col = c1)"""
+
+
+@query(_UPSAMPLED + """, m as (select map, i * 1000 + j as px, i, j from v where value >= 120),
+n(map, px, seen) as (select map, px, px from m union select n.map, n.px, o.px from n join m a on a.map = n.map and a.px = n.seen join m o on o.map = a.map and abs(o.i - a.i) + abs(o.j - a.j) = 1),
+r as (select map, px, min(seen) as root from n group by all), s as (select map, root, count(*) as size from r group by all), b as (select map, count(*) as blob_count, max(size) as largest_area, sum(size)::bigint as total_area from s group by map)
+select a.map, coalesce(blob_count, 0) as blob_count, coalesce(largest_area, 0) as largest_area, coalesce(total_area, 0) as total_area from (select distinct map from cells) a left join b on b.map is not distinct from a.map""")
 def upsampled_areas(spark, sf_dir):
     return grid.blobs(_cells(spark, sf_dir), ["map"], 120.0, scale=(48, 96))
 
 
-@query(_CELLS.rstrip() + """, d as (select map, max(row) as h, max(col) as w from cells group by map),
-p as (select d.*, i, j, i * (h / 47.0::double) as y, j * (w / 95.0::double) as x from d, range(48) a(i), range(96) b(j)),
-q as (select *, floor(y)::int as r0, least(floor(y)::int + 1, h) as r1, y - floor(y) as fr, floor(x)::int as c0, least(floor(x)::int + 1, w) as c1, x - floor(x) as fc from p),
-v as (select q.map, (coalesce(a.value, 0) * (1 - fc) + coalesce(b.value, 0) * fc) * (1 - fr) + (coalesce(c.value, 0) * (1 - fc) + coalesce(e.value, 0) * fc) * fr as value from q
-  left join cells a on a.map = q.map and a.row = r0 and a.col = c0 left join cells b on b.map = q.map and b.row = r0 and b.col = c1 left join cells c on c.map = q.map and c.row = r1 and c.col = c0 left join cells e on e.map = q.map and e.row = r1 and e.col = c1)
-select map, count(*) filter (value >= 120) as total_area from v group by map""")
+@query(_UPSAMPLED + " select map, count(*) filter (value >= 120) as total_area from v group by map")
 def upsampled_totals(spark, sf_dir):
     """Pixels at or above the cutoff of each upsampled map."""
     return grid.blobs(_cells(spark, sf_dir), ["map"], 120.0, scale=(48, 96)).select("map", "total_area")

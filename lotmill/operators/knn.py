@@ -55,7 +55,7 @@ def block_best(b: np.ndarray, q: np.ndarray, ids: np.ndarray, k: int, own: np.nd
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, int), np.empty(0, int), np.empty(0))
 
 
-def nearest_exact(bank: DataFrame, queries: DataFrame, k: int = 1, block_rows: int = 20_000, query_rows: int = 20_000, skip_self: bool = False, vectors: bool = False) -> DataFrame:
+def nearest_exact(bank: DataFrame, queries: DataFrame, k: int = 1, block_rows: int = 20_000, query_rows: int = 4_000, skip_self: bool = False, vectors: bool = False) -> DataFrame:
     """``key, query_id, bank_row, distance, place``: the k nearest bank rows of each query with the same key, exactly.
 
     ``bank`` has (key, bank_row, embedding), ``queries`` (key, query_id, embedding); ids are unique within a key and

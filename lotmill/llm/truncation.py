@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +42,6 @@ LINE = "\n"
 N = 4
 
 
-@lru_cache(maxsize=500_000)
 def _shape(token: str) -> str:
     return LINE if "\n" in token else re.sub(r"[A-Z]{2,}", lambda m: "A" * len(m[0]), re.sub(r"\d", "0", token))
 
@@ -53,15 +51,14 @@ def tokens(text: str) -> list[str]:
     return [_shape(t) for t in TOKEN.findall(text)]
 
 
-@lru_cache(maxsize=500_000)
 def _hash(token: str) -> int:
     return xxhash.xxh3_64_intdigest(token)
 
 
-def _closes(ts: list[str], j: int) -> bool:
-    """True if token j is a sentence mark that a new sentence or a line end follows."""
-    after = ts[j + 1] if j + 1 < len(ts) else LINE
-    return ts[j] in ".!?" and (after == LINE or after[0].isupper() or after[0] == "[" or (after[0].isalpha() and not after[0].islower()))
+def _opens(token: str) -> bool:
+    """True for what stands behind a sentence that ended: a line end, a capital, a letter of a script without cases, an opening bracket."""
+    c = token[0]
+    return token == LINE or c == "[" or c.isupper() or (c.isalpha() and not c.islower())
 
 
 def _mix(hashes: list[np.ndarray]) -> np.ndarray:
@@ -78,35 +75,47 @@ def _gram(ts: list[str]) -> str:
     return " ".join(ts) if len(ts) < 3 else f"{int(_mix([np.array([_hash(t)], dtype=np.uint64) for t in ts])[0]):016x}"
 
 
-def _after(ts: list[str]) -> list[int]:
-    """What follows each token: 0 more of the sentence, 1 a line end, 2 a sentence mark that ends it, 3 nothing; 4 for line ends themselves."""
-    last = len(ts) - 1
-    return [4 if t == LINE else 3 if j == last else 1 if ts[j + 1] == LINE else 2 if ts[j + 1] in ".!?" and _closes(ts, j + 1) else 0 for j, t in enumerate(ts)]
-
-
 class _Counter:
     """N-grams of the texts seen so far, counted by what follows them; emptied when it has grown large."""
 
     def __init__(self):
-        self.ids: dict[str, int] = {}
+        self.ids: dict[str, int] = {}  # of tokens as they are written: the number of their shape
+        self.shapes: dict[str, int] = {}
         self.words: list[str] = []
         self.flat: list[int] = []
-        self.what: list[int] = []
-        self.place: list[int] = []  # of a token in its text
-
-    def add(self, ts: list[str]) -> None:
-        ids, words = self.ids, self.words
-        for t in ts:
-            if t not in ids:
-                ids[t] = len(words)
-                words.append(t)
-        self.flat += [ids[t] for t in ts]
-        self.what += _after(ts)
-        self.place += range(len(ts))
+        self.sizes: list[int] = []
+
+    def _new(self, token: str) -> int:
+        shape = _shape(token)
+        if shape not in self.shapes:
+            self.shapes[shape] = len(self.words)
+            self.words.append(shape)
+        self.ids[token] = self.shapes[shape]
+        return self.ids[token]
+
+    def add(self, text: str) -> list[str]:
+        """Count a text; its last tokens."""
+        known, new = self.ids.get, self._new
+        row = [i if (i := known(t)) is not None else new(t) for t in TOKEN.findall(text)]
+        self.flat += row
+        self.sizes.append(len(row))
+        return [self.words[i] for i in row[-N:]]
+
+    def _follows(self, ids: np.ndarray, place: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """What follows each token: 0 more of the sentence, 1 a line end, 2 a sentence mark that ends it, 3 nothing; 4 for line ends themselves."""
+        line, mark, opens = (np.array([f(w) for w in self.words], dtype=bool) for f in (lambda w: w == LINE, lambda w: w in (".", "!", "?"), _opens))
+        first, second = ids[np.minimum(np.arange(len(ids)) + 1, len(ids) - 1)], ids[np.minimum(np.arange(len(ids)) + 2, len(ids) - 1)]
+        ends = mark[first] & ((left == 1) | opens[second])  # a mark at the very end of a text ends a sentence too
+        return np.select([line[ids], left == 0, line[first], ends], [4, 3, 1, 2], 0)
 
     def rows(self) -> Iterator[tuple[int, list[str], np.ndarray]]:
         """(n, grams, counts by what follows)."""
-        ids, what, place = np.array(self.flat, dtype=np.int64), np.array(self.what), np.array(self.place)
+        ids, sizes = np.array(self.flat, dtype=np.int64), np.array(self.sizes, dtype=np.int64)
+        if not len(ids):
+            return
+        place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        left = np.repeat(sizes, sizes) - 1 - place
+        what = self._follows(ids, place, left)
         hashes = np.array([_hash(w) for w in self.words], dtype=np.uint64)
         for n in range(1, N + 1):
             at = np.flatnonzero((what < 4) & (place >= n - 1))
@@ -143,12 +152,11 @@ def _count(batches: Iterator[pa.RecordBatch], flush: int = 1_000_000) -> Iterato
     for b in batches:
         keys, ends = [], []
         for key, text in zip(b.column("key").to_pylist(), b.column("core").to_pylist(), strict=True):
-            ts = tokens(text or "")
-            if not ts:
+            last = seen.add(text or "")
+            if not last:
                 continue
             keys.append(key)
-            ends.append(ts[-N:])
-            seen.add(ts)
+            ends.append(last)
             if len(seen.flat) > flush:
                 yield from (batch(n, g, c, [], []) for n, g, c in seen.rows())
                 seen = _Counter()

@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -127,7 +128,7 @@ class _Counter:
                 key = (ids[at - 1] * len(self.words) + ids[at]).astype(np.uint64)
             else:
                 key = _mix([hashes[ids[at - n + 1 + i]] for i in range(n)])
-            uniq, back = np.unique(key, return_inverse=True)
+            back, uniq = pd.factorize(key)
             counts = np.bincount(back * 4 + what[at], minlength=4 * len(uniq)).reshape(-1, 4)
             if n == 1:
                 grams = [self.words[int(k)] for k in uniq]
@@ -222,8 +223,6 @@ def truncated(docs: DataFrame, ratio: float = 0.05, ratio_at_limit: float = 0.6,
 
     @F.pandas_udf("array<struct<n: int, look: int, gram: string>>")
     def grams(e):
-        import pandas as pd
-
         return pd.Series(_grams([list(x) for x in e]))
 
     kinds = cut(ends.select("ends").distinct())  # the judgement depends on the last tokens only

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,9 +30,22 @@ from lotmill.session import cut, new_table_path
 CELL = 32
 
 
-def usable(c: Column, dim: int) -> Column:
-    """True where a vector is not null, has ``dim`` numbers and none of them is null or NaN."""
-    return F.coalesce((F.size(c) == dim) & F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v)), F.lit(False))
+def usable_first(df: DataFrame, dim: int, a: np.ndarray) -> DataFrame:
+    """The rows of ``df`` whose ``embedding`` is not null, has ``dim`` numbers and none that is null or NaN, with ``first``, its first projection.
+
+    Told in one pass over Arrow batches, as expressions on arrays are slow in the JVM.
+    """
+    kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _matrix(pa.chunked_array([b.column("embedding")]), dim)
+            good = ~np.isnan(x).any(axis=1)
+            p = np.full(len(x), np.nan)
+            p[good] = project(x[good], a[:, :1]).ravel()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*b.schema.names, "first"]).filter(pa.array(good))
+
+    return df.where(F.size("embedding") == dim).mapInArrow(run, f"{kinds}, first double")
 
 
 def _phi(x: float) -> float:
@@ -180,7 +193,7 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 
 
 def build_index(bank: DataFrame, path: str, dim: int = 32, block_rows: int = 20_000, m: int = 32, seed: int = 7) -> DataFrame:
-    """Write the index of ``bank`` (bank_key, near_id, near_rank, embedding; usable vectors only) to ``path`` and read it back.
+    """Write the index of ``bank`` (bank_key, near_id, near_rank, embedding) to ``path`` and read it back; unusable vectors are left out.
 
     ``bank_key, block, lo, hi, rows, ids, ranks, x, order``: a row a block of about ``block_rows`` vectors, with the
     range of each projection, the vectors in their layout and the sorted arrays. Blocks are ranges of the first
@@ -189,11 +202,6 @@ def build_index(bank: DataFrame, path: str, dim: int = 32, block_rows: int = 20_
     kind, a = dict(bank.dtypes)["bank_key"], directions(dim, m, seed)
     n = bank.count()
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = project(_matrix(pa.chunked_array([b.column("embedding")]), dim), a[:, :1]).ravel()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*b.schema.names, "first"])
-
     schema = f"bank_key {kind}, block int, lo array<double>, hi array<double>, rows int, ids binary, ranks binary, x binary, order binary"
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,8 +222,7 @@ def build_index(bank: DataFrame, path: str, dim: int = 32, block_rows: int = 20_
             arrays += [blob(ids[i:j][rows].astype(np.int64)), blob(ranks[i:j][rows].astype(np.int64)), blob(x[i:j][rows].astype(np.float32)), blob(order)]
             yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in schema.split(", ")])
 
-    laid = bank.mapInArrow(first, f"bank_key {kind}, near_id bigint, near_rank bigint, embedding array<float>, first double")
-    laid = laid.repartitionByRange(max(1, -(-n // block_rows)), "bank_key", "first", "near_id")
+    laid = usable_first(bank, dim, a).repartitionByRange(max(1, -(-n // block_rows)), "bank_key", "first", "near_id")
     laid.mapInArrow(block, schema).write.mode("overwrite").parquet(path)
     return bank.sparkSession.read.parquet(path)
 
@@ -232,8 +239,8 @@ def nearest(bank: DataFrame, queries: DataFrame, k: int = 5, dim: int = 32, bloc
     Every vector is indexed, once; the index stays at ``path``. A block is shuffled once to its queries, and again only for
     each further ``query_rows`` queries that come to it. A neighbour is missed with probability ``delta`` at most for each block.
     """
-    bank = bank.where(F.col("bank_key").isNotNull() & usable(F.col("embedding"), dim)).select("bank_key", F.col("near_id").cast("bigint"), F.col("near_rank").cast("bigint"), F.col("embedding").cast("array<float>"))
-    queries = queries.where(F.col("bank_key").isNotNull() & usable(F.col("embedding"), dim)).select(F.col("bank_key").alias("bank_key"), F.col("query_id").cast("bigint"), F.col("embedding").cast("array<float>"))
+    bank = bank.where(F.col("bank_key").isNotNull()).select("bank_key", F.col("near_id").cast("bigint"), F.col("near_rank").cast("bigint"), F.col("embedding").cast("array<float>"))
+    queries = queries.where(F.col("bank_key").isNotNull()).select(F.col("bank_key").alias("bank_key"), F.col("query_id").cast("bigint"), F.col("embedding").cast("array<float>"))
     index = build_index(bank, path or new_table_path(bank.sparkSession, "vectors"), dim, block_rows, m, seed)
     a, (l, z) = directions(dim, m, seed), reach(m, share, delta)
     kind = dict(index.dtypes)["bank_key"]
@@ -260,12 +267,7 @@ def nearest(bank: DataFrame, queries: DataFrame, k: int = 5, dim: int = 32, bloc
     blocks = cut(index.select("bank_key", "block", "lo", "hi"))
     starts = blocks.groupBy("bank_key").agg(F.array_sort(F.collect_list(F.struct(F.col("lo")[0].alias("lo"), "block"))).alias("starts"))
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = project(_matrix(pa.chunked_array([b.column("embedding")]), dim), a[:, :1]).ravel()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*b.schema.names, "first"])
-
-    laid = queries.mapInArrow(first, f"bank_key {kind}, query_id bigint, embedding array<float>, first double")
+    laid = usable_first(queries, dim, a)
     laid = skew_join(laid, starts, ["bank_key"], F.col("query_id"))
     before = F.filter("starts", lambda s: s["lo"] <= F.col("first"))
     home = F.coalesce(F.try_element_at(before, F.lit(-1)), F.element_at("starts", 1))["block"]

@@ -106,11 +106,11 @@ def test_neighbours_recall_in_blocks(spark):
 def test_neighbours_ties_short_banks_and_unusable(spark):
     b = np.array([[1.0] * 32, [1.0] * 32, [2.0] * 32], dtype=np.float32)
     nan = [float("nan")] * 32
-    extra = [("k", 7, 7, None, "x"), ("k", 8, 8, [], "x"), ("k", 9, 9, [1.0] * 31, "x"), ("k", 11, 11, nan, "x"), (None, 12, 12, [1.0] * 32, "x"), ("other", 13, 13, [0.0] * 32, "x")]
+    extra = [("k", 7, 7, None, "x"), ("k", 8, 8, [], "x"), ("k", 9, 9, [1.0] * 31, "x"), ("k", 11, 11, nan, "x"), ("k", 14, 14, [None] + [1.0] * 31, "x"), (None, 12, 12, [1.0] * 32, "x"), ("other", 13, 13, [0.0] * 32, "x")]
     bank, qs = _vectors(spark, b, b[:1], extra, [("k", 1, nan, 1), ("k", 2, None, 1), ("nobank", 3, [0.0] * 32, 1), (None, 4, [0.0] * 32, 1)])
     got = [(r.query_id, r.near_id, r.place) for r in neighbours.nearest(bank, qs).orderBy("place").collect()]
     assert got == [(10_000, 0, 1), (10_000, 1, 2), (10_000, 2, 3)]
-    index = neighbours.build_index(bank.where(neighbours.usable(F.col("embedding"), 32) & F.col("bank_key").isNotNull()).select("bank_key", "near_id", "near_rank", "embedding"), neighbours.new_table_path(spark, "test"), block_rows=2)
+    index = neighbours.build_index(bank.where(F.col("bank_key").isNotNull()).select("bank_key", "near_id", "near_rank", "embedding"), neighbours.new_table_path(spark, "test"), block_rows=2)
     assert {(r.bank_key, r["sum(rows)"]) for r in index.groupBy("bank_key").sum("rows").collect()} == {("k", 3), ("other", 1)}
     assert neighbours.nearest(bank.limit(0), qs).count() == 0 and neighbours.nearest(bank, qs.limit(0)).count() == 0
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,20 +118,19 @@ def rendered(value: Column) -> Column:
     return F.coalesce(F.when(value.cast("string") == "true", "yes").when(value.cast("string") == "false", "no").otherwise(value.cast("string")), F.lit("no record"))
 
 
-def match_terms(texts: DataFrame, vocabulary: DataFrame, ident: str, text: str) -> DataFrame:
+def match_terms(texts: DataFrame, vocabulary: DataFrame, ident: str, text: str, part_rows: int = 100_000) -> DataFrame:
     """``ident, term, stage`` of the best term for each text of (ident, text) that has one.
 
     ``vocabulary`` has (term, alias). Stage 1: the text equals the term, whatever the case; 2: it contains an alias;
     3: it contains the term. The lowest stage wins, then the longer match, then the lesser term. Each text is read once
-    by an automaton of all terms and aliases, so its cost does not grow with their number. The vocabulary is a dimension
-    and goes to each task as it is, in parts of so many rows that a part's automaton is bounded.
+    by an automaton of all terms and aliases, so its cost does not grow with their number. A vocabulary of over ``part_rows``
+    rows is taken in parts of that size, one after the other, and texts are read once for each. ``ident`` is unique.
     """
     rows = vocabulary.where("term is not null").select("term", F.lower("term").alias("lt"), F.lower("alias").alias("la")).distinct()
     kind, out = dict(texts.dtypes)[ident], None
-    listed = sorted(rows.collect(), key=str)  # a dimension of names
     texts = texts.select(ident, F.lower(F.col(text)).alias("__t")).where("__t is not null")
-    for i in range(0, max(1, len(listed)), 100_000):
-        part = [tuple(r) for r in listed[i : i + 100_000]]
+    listed = rows.orderBy("term", "la").toLocalIterator()
+    while (part := [tuple(r) for r in islice(listed, part_rows)]) or out is None:
 
         def run(batches, part=part):
             import ahocorasick
@@ -160,9 +161,8 @@ def match_terms(texts: DataFrame, vocabulary: DataFrame, ident: str, text: str)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(stages, pa.int32()), pa.array(sizes, pa.int32()), pa.array(terms, pa.string())], [ident, "stage", "__l", "term"])
 
         one = texts.mapInArrow(run, f"`{ident}` {kind}, stage int, __l int, term string")
-        out = one if out is None else out.unionAll(one)
-    if len(listed) > 100_000:
-        out = out.groupBy(ident).agg(F.min(F.struct("stage", "__l", "term")).alias("x")).select(ident, "x.*")
+        # a part beyond the first is settled before the next is read, so the driver holds one at a time
+        out = one if out is None else cut(out.unionAll(one).groupBy(ident).agg(F.min(F.struct("stage", "__l", "term")).alias("x")).select(ident, "x.*"))
     return out.select(ident, "term", "stage")
 
 

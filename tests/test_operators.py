@@ -294,6 +294,7 @@ def test_terms_of_many_and_long_texts(spark):
     texts = spark.createDataFrame([(1, "z" * 300_000 + "ALIAS 000007" + " term000003"), (2, ""), (3, None), (4, "term000003"), (5, "xxterm000003xx")], "id bigint, text string")
     got = {r.id: (r.term, r.stage) for r in text.match_terms(texts, vocab, "id", "text").collect()}
     assert got == {1: ("term000007", 2), 4: ("term000003", 1), 5: ("term000003", 3)}
+    assert {r.id: (r.term, r.stage) for r in text.match_terms(texts, vocab, "id", "text", part_rows=400).collect()} == got
     assert text.match_terms(texts, vocab.limit(0), "id", "text").count() == 0
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lotmill.operators.skew import skew_join
+from lotmill.operators.skew import skew_join, small_enough
 from lotmill.session import cut, new_table_path
 
 #: A code has BITS bits: the power of two that a score lies above, then MANTISSA bits of where it lies between that and the next.
@@ -93,24 +93,30 @@ class CountTree:
         names.unionAll(row).select(F.lit(now + 1).alias("generation"), F.lit(self.step).alias("step"), "batch").write.mode("append").parquet(f"{self.path}/log")
         return self
 
-    def level(self, v: int) -> DataFrame:
-        """``source, node, n`` of one level, over all batches; reads that level's folders only."""
+    def _nodes(self, v: int) -> DataFrame:
+        """``source, node, n`` of one level, a row a batch; reads that level's folders only."""
         path = f"{self.path}/nodes-{self._generation()}/level={v}"
-        nodes = self.spark.read.schema(self.SCHEMA).parquet(path) if self._exists(path) else self.spark.createDataFrame([], self.SCHEMA)
-        return nodes.groupBy("source", "node").agg(F.sum("n").alias("n")).where("n > 0")
+        return self.spark.read.schema(self.SCHEMA).parquet(path) if self._exists(path) else self.spark.createDataFrame([], self.SCHEMA)
+
+    def level(self, v: int) -> DataFrame:
+        """``source, node, n`` of one level, over all batches."""
+        return self._nodes(v).groupBy("source", "node").agg(F.sum("n").alias("n")).where("n > 0")
 
     def descend(self, ranks: DataFrame) -> DataFrame:
         """``source, leaf, rest``: the leaf of the score at each asked ``rank`` (1 = highest) of a source, and its rank within the leaf.
 
-        Ranks under 1 or beyond a source's count give no row. A level is one join on (source, parent).
+        Ranks under 1 or beyond a source's count give no row. A level is one join on (source, parent): only the children of
+        nodes that a descent is at are summed over the batches.
         """
         at = ranks.select("source", F.col("rank").cast("bigint").alias("rest"), F.lit(0).cast("bigint").alias("node"))
+        few = small_enough(at)  # no level has more rows than there are ranks
         above = Window.partitionBy("source", "node", "rest").orderBy(F.desc("child")).rowsBetween(Window.unboundedPreceding, -1)  # at most 2**step children
         for v in range(1, BITS // self.step + 1):
-            kids = self.level(v).select("source", F.shiftright("node", self.step).alias("node"), F.col("node").alias("child"), "n")
-            met = at.join(kids, ["source", "node"]).withColumn("over", F.coalesce(F.sum("n").over(above), F.lit(0)))
+            kids = self._nodes(v).select("source", F.shiftright("node", self.step).alias("node"), F.col("node").alias("child"), "n")
+            met = skew_join(kids, at, ["source", "node"], F.col("child"), is_small=few)
+            met = met.groupBy("source", "node", "rest", "child").agg(F.sum("n").alias("n")).where("n > 0").withColumn("over", F.coalesce(F.sum("n").over(above), F.lit(0)))
             at = met.where("rest > over and rest <= over + n").select("source", F.col("child").alias("node"), (F.col("rest") - F.col("over")).alias("rest"))
-            if v % 2 == 0:  # a row a source; keeps the plan small
+            if v % 4 == 0:  # a row a rank; keeps the plan small
                 at = cut(at)
         return at.select("source", F.col("node").alias("leaf"), "rest")
 

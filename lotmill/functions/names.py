@@ -28,6 +28,11 @@ def _path(c: Column) -> Column:
     return F.when(path.contains("//"), F.regexp_replace(path, "/+", "/")).otherwise(path)
 
 
+def _shaped(path: Column, shape: str, to: str, empty: str) -> Column:
+    """A path of that shape rewritten to ``to``, any other null; one match a path, as other paths match the whole and come out ``empty``."""
+    return F.nullif(F.regexp_replace(path, rf"^(?:{shape})$|^(?s:.*)\z", to), F.lit(empty))
+
+
 def picture(c: Column) -> Column:
     """``object|class|number`` of a source picture.
 
@@ -36,16 +41,12 @@ def picture(c: Column) -> Column:
     first run of digits of the file name without leading zeros. Anything else names no picture.
     """
     path = _path(F.when(c.contains("%"), F.coalesce(F.try_url_decode(c), c)).otherwise(c))
-    shape = r"^(?:.*/)?([^/]+)/[^/]+/(good|bad)/(?:.*/)?[^/0-9]*0*([0-9]+)[^/]*$"
-    named = F.regexp_replace(path, shape, "$1|$2|$3")  # a name holds no slash, a path that has not this shape keeps its own
-    return F.when(path.contains("/") & ~named.contains("/"), named)
+    return _shaped(path, r"(?:.*/)?([^/]+)/[^/]+/(good|bad)/(?:.*/)?[^/0-9]*0*([0-9]+)[^/]*", "$1|$2|$3", "||")
 
 
 def file_name(c: Column) -> Column:
     """``line/date/lot/stem``: the last four parts of a path; null if it has fewer or one of them is empty."""
-    parts = F.split(_path(c), "/")
-    four = (F.size(parts) >= 4) & (F.try_element_at(parts, F.lit(-4)) != "") & (F.try_element_at(parts, F.lit(-1)) != "")
-    return F.when(four, F.regexp_replace(F.array_join(F.slice(parts, -4, 4), "/"), r"(?<=[^/])\.[^./]*$", ""))
+    return _shaped(F.substring_index(_path(c), "/", -4), r"([^/]+/[^/]+/[^/]+/[^/]+?)(?:\.[^./]*)?", "$1", "")
 
 
 #: The same expressions for DuckDB, as templates over one column.

@@ -39,7 +39,8 @@ def criteria_asof(facts: DataFrame, rules: DataFrame, fact_id: list[str], at: st
     shape = F.concat_ws("", *(F.when(F.col(f"r_{a}").isNull(), "0").otherwise("1") for a in axes)) if axes else F.lit("")
     r = r.withColumn("__shape", shape)
     shapes = sorted((x["__shape"] for x in r.select("__shape").distinct().collect()), key=lambda x: (-x.count("1"), x))  # at most 2**axes
-    few = small_enough(r)  # then so is each part of it
+    if few := small_enough(r):  # then so is each part of it
+        r = r.coalesce(1)
     order = F.struct("rule_order", *values)
     out, picks = facts, []
     for i, x in enumerate(shapes):

@@ -255,11 +255,10 @@ def nearest(bank: DataFrame, queries: DataFrame, k: int = 5, dim: int = 32, bloc
         i, row, d = one.search(_matrix(q["embedding"], dim), k, tie, q["within"].to_numpy())
         return pa.table([q["query_id"].to_numpy()[i], r["ids"][row], r["ranks"][row], d], schema=out)
 
-    def searched(q: DataFrame) -> DataFrame:
-        """q: (bank_key, block, query_id, embedding, within)."""
+    def searched(q: DataFrame, every: bool) -> DataFrame:
+        """q: (bank_key, block, query_id, embedding, within). Unless nearly ``every`` block is asked for, only those that are leave the index."""
         keys = ["bank_key", "block"]
-        asked = q.select(*keys).distinct()
-        own = skew_join(index, cut(asked), keys, F.col("block"), "left_semi")
+        own = index if every else skew_join(index, cut(q.select(*keys).distinct()), keys, F.col("block"), "left_semi")
         many, few = salted(q, own, keys, hot_keys(q, keys, query_rows), F.col("query_id"))
         return few.groupBy(*keys, "__salt").cogroup(many.groupBy(*keys, "__salt")).applyInArrow(search, "query_id bigint, near_id bigint, near_rank bigint, d2 double")
 
@@ -272,7 +271,7 @@ def nearest(bank: DataFrame, queries: DataFrame, k: int = 5, dim: int = 32, bloc
     before = F.filter("starts", lambda s: s["lo"] <= F.col("first"))
     home = F.coalesce(F.try_element_at(before, F.lit(-1)), F.element_at("starts", 1))["block"]
     laid = cut(laid.select("bank_key", home.alias("block"), "query_id", "embedding", F.lit(float("inf")).alias("within"), (F.size("starts") > 1).alias("more")))
-    best = searched(laid.drop("more"))
+    best = searched(laid.drop("more"), True)
     if not blocks.groupBy("bank_key").count().where("count > 1").isEmpty():
         best = cut(best)
         kth = best.groupBy("query_id").agg(F.max("d2").alias("d2"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k).select("query_id", F.sqrt("d2").alias("__within"))
@@ -291,7 +290,7 @@ def nearest(bank: DataFrame, queries: DataFrame, k: int = 5, dim: int = 32, bloc
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(within)], [*names, "within"]).filter(pa.array(met))
 
         asked = asked.mapInArrow(reached, f"bank_key {kind}, block int, query_id bigint, embedding array<float>, within double")
-        best = best.unionByName(searched(cut(asked)))
+        best = best.unionByName(searched(cut(asked), False))
     place = Window.partitionBy("query_id").orderBy("d2", "near_rank", "near_id")
     best = best.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
     return best.select("query_id", "near_id", "near_rank", F.sqrt("d2").alias("distance"), "place")

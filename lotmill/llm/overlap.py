@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lotmill.operators.skew import hot_keys, salted_grid, skew_join
+from lotmill.operators.skew import hot_keys, salted_grid, skew_join, small_enough
 from lotmill.session import cut
 
 #: Stands before, between and behind the parts of a normalised text; names never hold it.
@@ -180,11 +180,11 @@ class Overlap:
 
         Both sides of a text that many rows share are cut into parts, and parts meet parts.
         """
-        keys, out = self.keys, None
+        keys, out, few = self.keys, None, small_enough(self.hits)
         for i, kind in enumerate(self.kinds):
             earlier, same = keys[:i], self._same(keys[i])
-            a = skew_join(self.train, same, [keys[i]], F.col("row_id")).select(F.col(keys[i]).alias("text"), F.col("row_id").alias("train_id"), *(F.col(c).alias(f"a_{c}") for c in earlier))
-            b = skew_join(self.evaluation, same, [keys[i]], F.col("row_id")).select(F.col(keys[i]).alias("text"), F.col("row_id").alias("eval_id"), "split", *(F.col(c).alias(f"b_{c}") for c in earlier))
+            a = skew_join(self.train, same, [keys[i]], F.col("row_id"), is_small=few).select(F.col(keys[i]).alias("text"), F.col("row_id").alias("train_id"), *(F.col(c).alias(f"a_{c}") for c in earlier))
+            b = skew_join(self.evaluation, same, [keys[i]], F.col("row_id"), is_small=few).select(F.col(keys[i]).alias("text"), F.col("row_id").alias("eval_id"), "split", *(F.col(c).alias(f"b_{c}") for c in earlier))
             hot = [hot_keys(x, ["text"], self.rows_per_group) for x in (a, b)]
             a, b = salted_grid(a, b, ["text"], *hot, F.col("train_id"), F.col("eval_id"))
             p = a.join(b, ["text", "__salt", "__salt_b"])

@@ -7,14 +7,19 @@ and the token-prefix of one more epoch in seeded order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from fractions import Fraction
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lotmill.operators.skew import ranked, small_enough
+from lotmill.operators.skew import ranked, running, skew_join, small_enough
+from lotmill.session import cut
 
-#: Budgets are worked out on the driver: a mixture has at most so many target sources, and so many leaves.
-MAX_SOURCES, MAX_LEAVES = 10_000, 200_000
+#: Weights and limits are summed as whole numbers, which add up to the same in any order: a weight counts in 1/UNIT of the largest one, or of up to half of it.
+WHOLE, UNIT = "decimal(38,0)", 1e30
+#: A share that misses a limit or a whole number of tokens by less than the rounding of doubles has reached it.
+NEAR = 1 + 1e-14
 
 
 def budgets(leaves: list[dict], total: float) -> dict[tuple, float]:
@@ -22,6 +27,7 @@ def budgets(leaves: list[dict], total: float) -> dict[tuple, float]:
 
     A node's budget goes to its children by weight; children that reach their limit keep it and the rest is
     shared among the others. What a whole node cannot take is left to its parent, that is to nodes further away.
+    This is the plain version, on lists; :func:`budgeted` does the same on tables of any size.
     """
 
     def node(under: list[dict], depth: int, amount: float) -> dict[tuple, float]:
@@ -47,6 +53,41 @@ def budgets(leaves: list[dict], total: float) -> dict[tuple, float]:
     return node(leaves, 0, total) if leaves else {}
 
 
+def _filled(kids: DataFrame, parent: list[str], key: str, few: bool) -> DataFrame:
+    """``kids`` (``parent``, ``key``, weight, limit, amount of the parent) with ``given``: what each child gets of its parent's amount.
+
+    Children are full in the order of limit to weight: one is if its share of what those before it leave reaches its limit.
+    """
+    w, cap = F.col("weight").cast("double"), F.col("limit").cast("double")
+    laid = running(kids.withColumn("__ratio", cap / w), parent, [F.col("__ratio"), F.col(key)], ["weight", "limit"], totals=True)
+    amount = F.least("amount", F.col("__all_limit").cast("double"))
+    share = (amount - (F.col("__upto_limit") - F.col("limit")).cast("double")) * (w / (F.col("__all_weight") - F.col("__upto_weight") + F.col("weight")).cast("double"))
+    level = laid.groupBy(*parent).agg(*(F.coalesce(F.max(F.when(share * NEAR >= cap, F.col(f"__upto_{c}"))), F.lit(0).cast(WHOLE)).alias(f"__full_{c}") for c in ("weight", "limit")))
+    both = skew_join(laid, level, parent, F.col(key), is_small=few or None)
+    share = (amount - F.col("__full_limit").cast("double")) * (w / (F.col("__all_weight") - F.col("__full_weight")).cast("double"))
+    given = F.when(F.col("__upto_weight") <= F.col("__full_weight"), cap).otherwise(F.greatest(F.lit(0.0), F.least(cap, share)))
+    out = both.select(*kids.columns, given.alias("given"))
+    return out if few else cut(out)
+
+
+def budgeted(leaves: DataFrame, path: list[str], total: float) -> DataFrame:
+    """``leaves`` (``path``, weight > 0 and limit as whole numbers, other columns) with ``given``, as :func:`budgets`, level by level from the root."""
+    above, few = None, small_enough(leaves)  # a node's row is no wider than a leaf's, so where leaves are few all tables here are small
+    for depth, key in enumerate(path, 1):
+        kids = leaves.groupBy(*path[:depth]).agg(F.sum("weight").alias("weight"), F.sum("limit").alias("limit")) if depth < len(path) else leaves
+        if above is None:
+            kids = kids.select("*", F.lit(0).alias("__root"), F.lit(float(total)).alias("amount"))
+        else:
+            kids = skew_join(kids, above.select(*path[: depth - 1], F.col("given").alias("amount")), path[: depth - 1], F.col(key), is_small=few or None)
+        above = _filled(kids, path[: depth - 1] or ["__root"], key, few)
+    return above.select(*leaves.columns, "given")
+
+
+def _floor(c: Column) -> Column:
+    """Whole tokens; what is a rounding error below a whole number is that number."""
+    return F.floor(c * NEAR + 1e-9)
+
+
 def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 5) -> tuple[DataFrame, DataFrame]:
     """(uses, shares) of a mixture.
 
@@ -62,42 +103,33 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
     Null sources and sources that are not listed supply nothing. Documents without tokens are not used. Negative or
     null weights and repeats count as 0; of repeated targets the weights are summed and the largest cap holds.
     A budget ends inside a document at most: the document that crosses it is left out, so a leaf misses its
-    budget by less than one document. Where there are more than MAX_LEAVES leaves, languages and then domains are put
-    together into one: the tree is less deep then, no document is left out.
+    budget by less than one document. Sources and leaves are tables: the tree is the same however many there are.
     """
-    spark = docs.sparkSession
     targets = targets.where("source is not null").groupBy("source").agg(F.sum(F.greatest(F.coalesce(F.col("target_weight").cast("double"), F.lit(0.0)), F.lit(0.0))).alias("weight"), F.max(F.greatest(F.coalesce(F.col("max_repeat").cast("int"), F.lit(0)), F.lit(0))).alias("cap"))
-    wanted = sorted(targets.limit(MAX_SOURCES + 1).collect())
-    if len(wanted) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} target sources")
-    names = spark.createDataFrame([(r["source"],) for r in wanted], "source string")
     domain = F.coalesce(F.col("domain").cast("string"), F.lit("")) if "domain" in docs.columns else F.lit("")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.coalesce("lang", F.lit("")).alias("lang"), domain.alias("domain"), F.col("tokens").cast("bigint").alias("tokens"))
-    docs = docs.where("tokens > 0").join(F.broadcast(names), "source", "left_semi")
-    path = ["domain", "lang", "source"]
-    for flat in ("lang", "domain", None):
-        by_leaf = docs.groupBy(*path).agg(F.sum("tokens").alias("t")).limit(MAX_LEAVES + 1).collect()
-        if len(by_leaf) <= MAX_LEAVES or flat is None:
-            break
-        docs = docs.withColumn(flat, F.lit(""))
-    held: dict = {}
-    for r in by_leaf:
-        held[r["source"]] = held.get(r["source"], 0) + r["t"]
-    of = {r["source"]: (r["weight"], r["cap"]) for r in wanted}
-    leaves = [{"path": (r["domain"], r["lang"], r["source"]), "weight": of[r["source"]][0] * r["t"] / held[r["source"]], "limit": r["t"] * of[r["source"]][1]} for r in sorted(by_leaf)]
-    total = sum(held.values()) if total_tokens is None else total_tokens
-    given, size = budgets(leaves, total), {(r["domain"], r["lang"], r["source"]): r["t"] for r in by_leaf}
-    whole = sum(r["weight"] for r in wanted) or 1.0
-    budget: dict = {}
-    for (_, _, source), b in given.items():
-        budget[source] = budget.get(source, 0.0) + b
-    plan = [(r["source"], r["weight"] / whole, int(budget.get(r["source"], 0)), held.get(r["source"], 0), r["cap"], r["weight"] / whole * total) for r in wanted]
-    plan_df = F.broadcast(spark.createDataFrame(plan, "source string, target_share double, budget bigint, available bigint, cap int, fair double"))
-    leaf = [(*p, int(b) // size[p], int(b) % size[p], of[p[2]][1]) for p, b in given.items()]
-    leaf_df = spark.createDataFrame(leaf, "domain string, lang string, source string, epochs int, open bigint, cap int")
+    docs, path = docs.where("tokens > 0 and source is not null"), ["domain", "lang", "source"]
+    by_leaf = cut(docs.groupBy(*path).agg(F.sum("tokens").alias("size")))
+    plan = cut(targets.join(by_leaf.groupBy("source").agg(F.sum("size").alias("available")), "source", "left").fillna(0, ["available"]))
+    top, held = plan.agg(F.coalesce(F.max("weight"), F.lit(0.0)), F.coalesce(F.sum("available"), F.lit(0))).first()
+    if not math.isfinite(top):
+        raise ValueError("a target weight is not finite")
+    scale, total = 2.0 ** (math.frexp(top)[1] - 1), held if total_tokens is None else total_tokens
+    one, none = F.lit(1).cast(WHOLE), F.lit(0).cast(WHOLE)
+    plan = plan.withColumn("units", F.when(F.col("weight") > 0, F.greatest((F.col("weight") / scale * UNIT).cast(WHOLE), one)).otherwise(none))
+    units = plan.agg(F.sum("units")).first()[0]
+    whole = float(Fraction(int(units or 0)) / Fraction(int(UNIT)) * Fraction(scale)) or 1.0
+
+    leaf = skew_join(by_leaf, plan.where("units > 0").select("source", "units", "cap", "available"), ["source"], F.struct("domain", "lang"))
+    weight = F.greatest((F.col("units").cast("double") * F.col("size") / F.col("available")).cast(WHOLE), one)
+    leaf = budgeted(leaf.select(*path, "size", "cap", weight.alias("weight"), (F.col("size").cast("decimal(19,0)") * F.col("cap")).cast(WHOLE).alias("limit")), path, total)
+    leaf = cut(leaf.select(*path, "size", "cap", "limit", "given"))
+    budget = leaf.groupBy("source").agg(_floor(F.sum(F.col("given").cast("decimal(38,12)")).cast("double")).alias("budget"))
+    leaf = leaf.select(*path, "size", "cap", F.least(_floor(F.col("given")), F.col("limit")).cast("bigint").alias("budget")).where("budget > 0")
+    leaf = leaf.select(*path, F.expr("int(budget div size)").alias("epochs"), F.expr("budget % size").alias("open"), "cap")
 
     # full epochs use every document alike; the order of the last, partial one is drawn for it
-    laid = docs.join(F.broadcast(leaf_df) if small_enough(leaf_df) else leaf_df, path)
+    laid = skew_join(docs, leaf, path, F.col("doc_id"))
     partial = ranked(laid.where("open > 0 and epochs < cap"), path, F.xxhash64(F.lit(seed), "epochs", "doc_id"), ["doc_id"], F.col("tokens"))
     part = partial.where("__upto <= open").select("doc_id", "source", "tokens", (F.col("epochs") + 1).alias("uses"))
     rest = partial.where("__upto > open").select("doc_id", "source", "tokens", F.col("epochs").alias("uses"))
@@ -105,16 +137,16 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
     uses = part.unionByName(rest).unionByName(full).where("uses > 0").select("doc_id", "source", "uses", "tokens")
 
     used = uses.groupBy("source").agg(F.sum(F.col("uses") * F.col("tokens")).alias("used_tokens"), F.count(F.lit(1)).alias("used_documents"))
-    zero, everything = F.lit(0).cast("bigint"), F.sum("used_tokens").over(Window.partitionBy(F.lit(0)))  # at most MAX_SOURCES rows
-    out = plan_df.join(used, "source", "left").withColumn("all_used", everything)
+    zero, everything, share = F.lit(0).cast("bigint"), used.agg(F.sum("used_tokens")).scalar(), F.col("weight") / whole
+    out = plan.join(budget, "source", "left").join(used, "source", "left")
     shares = out.select(
         "source",
-        "target_share",
-        F.coalesce(F.col("used_tokens") / F.col("all_used"), F.lit(0.0)).alias("actual_share"),
+        share.alias("target_share"),
+        F.coalesce(F.col("used_tokens") / everything, F.lit(0.0)).alias("actual_share"),
         F.col("available").alias("available_tokens"),
-        F.col("budget").alias("budget_tokens"),
+        F.coalesce("budget", zero).alias("budget_tokens"),
         F.coalesce("used_tokens", zero).alias("used_tokens"),
         F.coalesce("used_documents", zero).alias("used_documents"),
-        (F.col("fair") > F.col("available") * F.col("cap")).alias("short"),
+        (share * total > F.col("available") * F.col("cap")).alias("short"),
     )
     return uses, shares

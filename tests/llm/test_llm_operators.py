@@ -318,6 +318,46 @@ def test_mix_epochs_prefix_and_edges(spark):
     assert uses.count() == 0 and shares.where("actual_share > 0").count() == 0
 
 
+def _plain_uses(rows, targets, total):
+    """doc_id -> uses, where each leaf is one document: whole epochs of the plain version's budgets."""
+    held = {}
+    for _, s, _, _, t in rows:
+        held[s] = held.get(s, 0) + t
+    given = mixing.budgets([{"path": (d, lang, s), "weight": targets[s][0] * t / held[s], "limit": t * targets[s][1]} for _, s, lang, d, t in rows if s in targets], total)
+    uses = {i: int(given[d, lang, s] * (1 + 1e-12)) // t for i, s, lang, d, t in rows if s in targets}
+    return {i: n for i, n in uses.items() if n}
+
+
+def _mixed_uses(spark, rows, targets, total):
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, domain string, tokens bigint")
+    listed = spark.createDataFrame([(s, w, m) for s, (w, m) in targets.items()], "source string, target_weight double, max_repeat int")
+    return {r.doc_id: r.uses for r in mixing.mix(docs, listed, total_tokens=total)[0].collect()}
+
+
+def test_mix_keeps_the_tree_over_any_number_of_leaves(spark):
+    # over 200,000 leaves languages used to be put together, so that what a runs short of went to c as well as to its sibling b
+    rows = [(3 * d + i, s, lang, f"d{d}", 20 + (7 * d + 11 * i) % 61) for d in range(67_000) for i, (s, lang) in enumerate([("a", "en"), ("b", "en"), ("c", "ko")])]
+    targets = {"a": (6.0, 1), "b": (1.0, 30), "c": (3.0, 30)}
+    total = 3 * sum(r[4] for r in rows)
+    assert _mixed_uses(spark, rows, targets, total) == _plain_uses(rows, targets, total)
+
+
+def test_mix_has_as_many_sources_as_are_listed(spark):
+    rows = [(i, f"s{i}", "en", f"d{i % 9}", 10 + i % 13) for i in range(10_050)]
+    targets = {f"s{i}": (1.0 + i % 5, i % 4) for i in range(10_050)}
+    total = sum(r[4] for r in rows)
+    assert _mixed_uses(spark, rows, targets, total) == _plain_uses(rows, targets, total)
+
+
+def test_mix_equals_the_plain_budgets_on_odd_trees(spark):
+    rng = random.Random(8)
+    rows = [(i, f"s{rng.randrange(9)}", f"l{rng.randrange(3)}", f"d{i // 3}", rng.choice([1, 7, 50, 10**9])) for i in range(60)]
+    rows = list({r[1:4]: r for r in rows}.values())
+    targets = {"s0": (0.0, 5), "s1": (1e-40, 2), "s2": (3.0, 0), "s3": (1e9, 2), "s4": (2.5, 2**31 - 1), "s5": (0.3, 1), "s6": (1 / 3, 3), "none": (7.0, 4)}
+    for total in (500, 10**12, 10**18):
+        assert _mixed_uses(spark, rows, targets, total) == _plain_uses(rows, targets, total), total
+
+
 # truncation -------------------------------------------------------------------------------------------------------
 def _corpus():
     rng = random.Random(3)
